@@ -45,6 +45,22 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f ON f.key = k.key GROUP BY doc_id"""
 
+_WORDS6 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, {_WORDS6} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS6} AS w FROM benchmark),
+bw AS (SELECT item, w, least(10, len(w)) AS size, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM bw),
+s AS (SELECT DISTINCT size FROM v),
+dw AS (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, s WHERE len(w) >= size),
+h AS (SELECT dw.doc_id, dw.i, dw.size, v.item FROM dw JOIN v ON v.size = dw.size AND v.win = array_to_string(dw.w[dw.i:dw.i + dw.size - 1], ' ')),
+p AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS place FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, p.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
 _ESCAPED = "replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
 
 OP10 = f"""
@@ -59,4 +75,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)+') AS valid
 FROM c GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_line_dedup": OP3, "op10_chat_format": OP10}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_line_dedup": OP3, "op6_decontamination": OP6, "op10_chat_format": OP10}

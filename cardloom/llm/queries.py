@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import byte_bpe, chat_format, line_dedup, near_dedup, quality_rules, sharding
+from cardloom.llm import byte_bpe, chat_format, decontamination, line_dedup, near_dedup, quality_rules, sharding
 
 #: Vocabulary of the byte-level BPE queries.
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.scan(docs, _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -58,5 +67,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op5_sharding, op7_byte_bpe, op9_minhash_near_dedup, op10_chat_format)
+    f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op5_sharding, op6_decontamination, op7_byte_bpe, op9_minhash_near_dedup, op10_chat_format)
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import byte_bpe, chat_format, decontamination, line_dedup, near_dedup, quality_rules, sharding
+from cardloom.llm import byte_bpe, chat_format, decontamination, language_id, line_dedup, near_dedup, quality_rules, sharding, toxicity
 
 #: Vocabulary of the byte-level BPE queries.
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _crc(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), use=_crc(5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.drop_shared_lines(docs, min_key_chars=1, min_documents=10)
@@ -47,6 +58,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, BPE_RANKS, use=_crc(4) != 2)
+    return language_id.predict(docs, model).select("doc_id", (_crc(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the group) and is_first: one row per document."""
     return near_dedup.group_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,5 +84,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op5_sharding, op6_decontamination, op7_byte_bpe, op9_minhash_near_dedup, op10_chat_format)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_line_dedup, op5_sharding, op6_decontamination, op7_byte_bpe, op8_language_id, op9_minhash_near_dedup, op10_chat_format)
 }

@@ -2,8 +2,8 @@
 
 No Python runs on the executors and nothing is shuffled: each text is measured where it is read.
 Null text: no words. Empty text: no words, one line. Both fail the base rule. Repeated rows are measured alike;
-an empty table gives an empty one; other columns are passed through untouched (own names win over none: a clash
-gets a trailing underscore inside and the measured column replaces nothing).
+an empty table gives an empty one; other columns are passed through untouched, and a table that already has a
+column of a measure's name keeps it beside the measure.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.llm.common import free_name
+
 #: Characters that split words (space, tab to carriage return), and characters counted as symbols.
 WORD_BREAK, SYMBOLS = r"[\x20\x09-\x0D]+", "[#*$%&|<>]"
 
@@ -81,53 +83,63 @@ def _repeat_words(grams: Column) -> Column:
     )
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the columns of MEASURES (bigint). Windows are compared by chained 64-bit hashes of their words."""
-    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    df = df.withColumn("_text", own)
-    df = df.withColumns({
-        "_words": F.array_remove(F.split("_text", WORD_BREAK), ""),
-        "_lines": F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-    })
-    df = df.withColumn("_codes", F.transform("_words", lambda w: F.xxhash64(w)))
-    n = F.size("_codes")
-    grams = F.when(
-        n >= 5,
-        F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*(F.get("_codes", i + k) for k in range(5)))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_grams", grams)
+def _grams(codes: Column) -> Column:
+    """Chained 64-bit hashes of the 5-word windows."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(codes) - 5), lambda i: F.xxhash64(*(F.get(codes, i + k) for k in range(5))))
+    return F.when(F.size(codes) >= 5, windows).otherwise(F.array().cast("array<bigint>"))
+
+
+def _measures(own: Column, words: Column, codes: Column, lines: Column, grams: Column) -> Column:
     stop = [F.lit(w) for w in dict.fromkeys(STOP_WORDS)]
     values = {
-        "n_words": n,
-        "word_chars": F.length(F.array_join("_words", "")),
-        "n_symbols": _count(F.col("_text"), SYMBOLS),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": F.when(F.size(F.array_distinct("_grams")) == F.size("_grams"), 0).otherwise(_repeat_words(F.col("_grams"))),
-        "n_lines": F.size("_lines"),
-        "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))),
-        "n_capitals": _count(F.col("_text"), "[A-Z]+"),
-        "n_stutter": F.size(F.filter("_codes", lambda c, i: c == F.get("_codes", i - 1))),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": _count(own, SYMBOLS),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(_repeat_words(grams)),
+        "n_lines": F.size(lines),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop))),
+        "n_capitals": _count(own, "[A-Z]+"),
+        "n_stutter": F.size(F.filter(codes, lambda c, i: c == F.get(codes, i - 1))),
     }
-    return df.withColumns({k: v.cast("bigint") for k, v in values.items()}).drop("_text", "_words", "_lines", "_codes", "_grams")
+    return F.struct(*(v.cast("bigint").alias(k) for k, v in values.items()))
 
 
-def _broken(rules: tuple[Rule, ...]) -> Column:
-    of = lambda name: F.lit(1) if name == "one" else F.col(name)
+def _broken(m: Column, rules: tuple[Rule, ...]) -> Column:
+    of = lambda name: F.lit(1) if name == "one" else m[name]
     return F.array_compact(F.array(*(F.when(F.lit(r.left) * of(r.measure) > F.lit(r.right) * of(r.base), F.lit(r.name)) for r in rules)))
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The whole table as one expression: struct of the measures, base_failed, broken_rules and kept.
+
+    Every intermediate array is bound to a lambda variable, so it is built once per row wherever the optimizer
+    moves the expression.
+    """
+    def judged(m: Column) -> Column:
+        base, own = _broken(m, BASE_RULES), _broken(m, rules)
+        return F.struct(
+            *(m[k].alias(k) for k in MEASURES), (F.size(base) > 0).alias("base_failed"), F.concat(base, own).alias("broken_rules"),
+            ((F.size(base) == 0) & (F.size(own) == 0)).alias("kept"),
+        )
+
+    def by_codes(own: Column, words: Column, codes: Column) -> Column:
+        lines = F.filter(F.split(own, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        return _bind(lines, lambda ls: _bind(_grams(codes), lambda gs: _bind(_measures(own, words, codes, ls, gs), judged)))
+
+    own = F.coalesce(text.cast("string"), F.lit(""))
+    words = F.array_remove(F.split(own, WORD_BREAK), "")
+    return _bind(words, lambda ws: _bind(F.transform(ws, lambda w: F.xxhash64(w)), lambda cs: by_codes(own, ws, cs)))
+
+
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measures, base_failed, broken_rules (names, array<string>) and kept."""
-    df = measure(df, text).withColumn("broken_rules", F.concat(_broken(BASE_RULES), _broken(rules)))
-    base = F.lit(False)
-    for r in BASE_RULES:
-        base = base | F.array_contains("broken_rules", r.name)
-    return df.withColumns({"base_failed": base, "kept": F.size("broken_rules") == 0})
+    """Adds the measures, base_failed, broken_rules (names, array<string>) and kept at the end."""
+    name = free_name(df, "_verdict")
+    names = [*MEASURES, "base_failed", "broken_rules", "kept"]
+    judged = df.withColumn(name, verdict(F.col(f"`{text}`"), rules))
+    return judged.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"{name}.{n}").alias(n) for n in names))
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Only the rows that no rule rejects, with their columns as they were."""
-    names = [f"_c{i}" for i in range(len(df.columns))]
-    at = df.columns.index(text)
-    inner = df.toDF(*names)
-    return apply_rules(inner, names[at], rules).filter("kept").select(*names).toDF(*df.columns)
+    return df.filter(verdict(F.col(f"`{text}`"), rules)["kept"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import byte_bpe, chat_format, decontamination, language_id, line_dedup, near_dedup, quality_rules, sharding, toxicity
+from cardloom.llm import byte_bpe, chat_format, decontamination, language_id, line_dedup, near_dedup, quality_rules, sharding, token_counts, toxicity
+from cardloom.llm.common import scratch_dir
 
 #: Vocabulary of the byte-level BPE queries.
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +43,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the documents as flat token files, then counts from these files alone."""
+    eod = 50256
+    path = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_counts.write_token_files(_table(spark, sf_dir, "documents"), path, BPE_RANKS, public_tokenizers.PATTERN, eod)
+    found = token_counts.scan_token_files(spark, path, eod)
+    return found.withColumn("file", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -84,5 +95,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_line_dedup, op5_sharding, op6_decontamination, op7_byte_bpe, op8_language_id, op9_minhash_near_dedup, op10_chat_format)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_line_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_byte_bpe, op8_language_id, op9_minhash_near_dedup, op10_chat_format)
 }

@@ -31,9 +31,10 @@ def _join(sep: str, *parts: Column) -> Column:
 
 def compose_description(cards: DataFrame) -> DataFrame:
     """Adds description_new: null where there is nothing to say (no content, or only `name.`)."""
-    cards = has_content(cards).withColumn("_map", parsed(F.col("attributes"))).withColumn("_name", F.coalesce(filled_stripped(F.col("name")), F.lit("Questa carta")))
     value = lambda v: F.when(F.schema_of_variant(v) != "VOID", F.nullif(filled_stripped(text_of(v)), F.lit("-")))
-    g = lambda k: value(F.try_element_at("_map", F.lit(k)))
+    texts = F.transform_values(parsed(F.col("attributes")), lambda _, v: value(v))
+    cards = has_content(cards).withColumn("_map", texts).withColumn("_name", F.coalesce(filled_stripped(F.col("name")), F.lit("Questa carta")))
+    g = lambda k: F.try_element_at("_map", F.lit(k))
     put = lambda before, k, after="": F.concat(F.lit(before), k if isinstance(k, Column) else g(k), F.lit(after))
     low = lambda k: F.lower(g(k))
     say = lambda *parts: F.concat(*(F.coalesce(p, F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts))
@@ -55,7 +56,7 @@ def compose_description(cards: DataFrame) -> DataFrame:
     race = _join(" ", F.concat(F.lit("I "), name, F.coalesce(put(" hanno ", traits, "."), F.lit(" sono un popolo dalle antiche origini."))), put("Parlano: ", "linguaggi", "."))
     class_ = _join(" ", say(name, " è una classe", put(" incentrata su ", "abilita_primaria"), "."), put("Dado vita: ", "dado_vita", "."), put("Tiri salvezza: ", "tiri_salvezza", "."))
     feat = _join(" ", F.concat(name, F.lit(" è un talento che conferisce vantaggi unici.")), put("Prerequisito: ", "prerequisito", "."))
-    pairs = F.filter(F.transform(F.map_entries("_map"), lambda e: F.concat(attribute_label(e["key"]), F.lit(": "), value(e["value"]))), lambda x: x.isNotNull())
+    pairs = F.filter(F.transform(F.map_entries("_map"), lambda e: F.concat(attribute_label(e["key"]), F.lit(": "), e["value"])), lambda x: x.isNotNull())
     extra = F.nullif(F.array_join(F.slice(pairs, 1, 6), " · "), F.lit(""))
     other = _join(" ", F.concat(name, F.lit(".")), F.concat(extra, F.lit(".")))
 

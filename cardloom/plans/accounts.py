@@ -75,21 +75,26 @@ add("jn_9_lookup_or_missing", "requests cards", lambda r, c: joins.lookup_or_mis
     "SELECT r.id, request_id, name, CASE WHEN c.id IS NULL THEN 404 ELSE 200 END AS status FROM (SELECT request_id, card_id || CASE WHEN request_id % 3 = 0 THEN 'x' ELSE '' END AS id FROM requests) r LEFT JOIN cards c ON c.id = r.id")
 
 _N = "split_part(user_id, '_', 2)::BIGINT"
-_n = F.substring_index("user_id", "_", -1).cast("bigint")
-add("mut_4_set_premium", "users", lambda u: mutations.set_premium(u, u.filter(_n % 3 == 0).select("user_id", (_n % 2 == 0).alias("enabled"))).select("user_id", "premium_manual"),
+
+
+def _n():
+    return F.substring_index("user_id", "_", -1).cast("bigint")
+
+
+add("mut_4_set_premium", "users", lambda u: mutations.set_premium(u, u.filter(_n() % 3 == 0).select("user_id", (_n() % 2 == 0).alias("enabled"))).select("user_id", "premium_manual"),
     f"SELECT user_id, CASE WHEN {_N} % 3 = 0 THEN {_N} % 2 = 0 ELSE premium_manual END AS premium_manual FROM users")
 
 
 def _profiles(users):
-    known = users.filter(_n % 4 == 0).select(F.upper("email").alias("email"), F.lit("Rinominato").alias("name"), F.when(_n % 8 == 0, "pic").alias("picture"), F.concat(F.lit("new_"), "user_id").alias("new_id"))
-    fresh = users.filter(_n % 4 == 1).select(F.concat(F.lit("x"), "email").alias("email"), "name", F.lit("pic").alias("picture"), F.concat(F.lit("new_"), "user_id").alias("new_id"))
+    known = users.filter(_n() % 4 == 0).select(F.upper("email").alias("email"), F.lit("Rinominato").alias("name"), F.when(_n() % 8 == 0, "pic").alias("picture"), F.concat(F.lit("new_"), "user_id").alias("new_id"))
+    fresh = users.filter(_n() % 4 == 1).select(F.concat(F.lit("x"), "email").alias("email"), "name", F.lit("pic").alias("picture"), F.concat(F.lit("new_"), "user_id").alias("new_id"))
     return known.unionByName(fresh)
 
 
 add("mut_5_upsert_profiles", "users", lambda u: mutations.upsert_profiles(u, _profiles(u)),
     f"""SELECT user_id, email, CASE WHEN {_N} % 4 = 0 THEN 'Rinominato' ELSE name END AS name, CASE WHEN {_N} % 8 = 0 THEN 'pic' END AS picture, auth_provider FROM users
         UNION ALL SELECT 'new_' || user_id, 'x' || email, name, 'pic', 'google' FROM users WHERE {_N} % 4 = 1""")
-add("mut_6_ensure_admins", "users", lambda u: mutations.ensure_admins(u, u.filter(_n % 50 < 2).select(F.when(_n % 50 == 0, F.upper("email")).otherwise(F.concat(F.lit("x"), "email")).alias("email"), F.concat(F.lit("new_"), "user_id").alias("new_id"))),
+add("mut_6_ensure_admins", "users", lambda u: mutations.ensure_admins(u, u.filter(_n() % 50 < 2).select(F.when(_n() % 50 == 0, F.upper("email")).otherwise(F.concat(F.lit("x"), "email")).alias("email"), F.concat(F.lit("new_"), "user_id").alias("new_id"))),
     f"""SELECT user_id, email, is_admin OR {_N} % 50 = 0 AS is_admin, premium_manual OR {_N} % 50 = 0 AS premium_manual FROM users
         UNION ALL SELECT 'new_' || user_id, 'x' || email, true, true FROM users WHERE {_N} % 50 = 1""")
 add("mut_7_revoke_sessions", "sessions", lambda s: mutations.revoke_sessions(s, s.filter("session_token like '%7'").select(F.col("session_token").alias("token"))).select("session_token", "user_id"),

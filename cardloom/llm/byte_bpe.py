@@ -33,6 +33,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+_STEP, _FACTOR, _MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+
+
+def _slots(codes: np.ndarray, tries: np.ndarray, n: int) -> np.ndarray:
+    """Slot of each hash code in each try; candidate() computes the same for one code."""
+    x = codes + tries * np.uint64(_STEP)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(_FACTOR)
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(n)).astype(np.int64)
+
+
 class PerfectHash:
     """Minimal perfect hash by hash-and-displace: as many slots as keys, found by two array reads."""
 
@@ -54,19 +64,15 @@ class PerfectHash:
             if sizes[b] < 2:
                 break
             own = order[edges[b] : edges[b + 1]]
-            low, high = codes[own] & np.uint64(0xFFFFFFFF), (codes[own] >> np.uint64(32)) | np.uint64(1)
-            first = np.uint64(0)
-            while True:
-                slots = ((low[None, :] + (tries[:, None] + first) * high[None, :]) % np.uint64(n)).astype(np.int64)
+            first = 0
+            while True:  # each try draws all slots of the bucket anew
+                slots = _slots(codes[own][None, :], tries[:, None] + np.uint64(first), n)
                 good = free[slots].all(axis=1)
-                for t in np.flatnonzero(good):
-                    if len(set(slots[t].tolist())) == len(own):
-                        break
-                else:
-                    first += np.uint64(256)
-                    continue
-                break
-            self.shift[b] = int(t) + int(first)
+                t = next((t for t in np.flatnonzero(good) if len(set(slots[t].tolist())) == len(own)), None)
+                if t is not None:
+                    break
+                first += len(tries)
+            self.shift[b] = int(t) + first
             free[slots[t]], self.entry[slots[t]] = False, own
         for b, slot in zip(np.flatnonzero(sizes == 1), np.flatnonzero(free), strict=False):
             self.shift[b] = -slot - 1  # a lone key is sent straight to a free slot
@@ -79,7 +85,9 @@ class PerfectHash:
         shift = self.shift_list[code % self.buckets]
         if shift < 0:
             return self.entry_list[-shift - 1]
-        return self.entry_list[((code & 0xFFFFFFFF) + shift * ((code >> 32) | 1)) % self.size]
+        code = (code + shift * _STEP) & _MASK
+        code = ((code ^ (code >> 32)) * _FACTOR) & _MASK
+        return self.entry_list[(code ^ (code >> 29)) % self.size]
 
 
 class _Memo(dict):

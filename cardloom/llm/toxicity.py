@@ -96,16 +96,19 @@ def gain_counts(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def _stems(train: DataFrame, settings: Training) -> list[bytes]:
-    """Word beginnings that mark toxic texts: counted in Spark, at most 3 times a text, ranked by the square root of the
-    likelihood ratio; of those that contain one another the best stays."""
-    word = F.explode(F.split("t", r"\s+"))
-    words = train.select("id", "y", word.alias("w")).filter("w <> ''").withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-    totals = {r["y"]: r["n"] for r in words.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Word beginnings that mark toxic texts, ranked by the square root of the likelihood ratio; of those that contain
+    one another the best stays. Occurrences between the same two neighbours count once in a class, so that copies of
+    a text don't make its words a mark, and at most three times in one text."""
+    words = F.array_remove(F.split("t", r"\s+"), "")
+    near = lambda ws: F.transform(ws, lambda w, i: F.struct(F.concat(F.lit(" "), w, F.lit(" ")).alias("w"), F.xxhash64(F.get(ws, i - 1), w, F.get(ws, i + 1)).alias("c")))
+    seen = train.select("id", "y", words.alias("ws")).select("id", "y", F.explode(near(F.col("ws"))).alias("x"))
+    seen = materialise(seen.groupBy("y", "x.c").agg(F.min("id").alias("id"), F.first("x.w").alias("w")), "toxicity-words")
+    totals = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     nt, no = totals.get(1, 0), totals.get(0, 0)
     if not nt or not no:
         return []
     sizes = F.sequence(F.lit(settings.shortest), F.least(F.lit(settings.longest), F.length("w")))
-    stems = words.filter(F.length("w") >= settings.shortest).select("id", "y", F.explode(F.transform(sizes, lambda k: F.substring("w", F.lit(1), k))).alias("s"))
+    stems = seen.filter(F.length("w") >= settings.shortest).select("id", "y", F.explode(F.transform(sizes, lambda k: F.substring("w", F.lit(1), k))).alias("s"))
     per_text = stems.groupBy("id", "y", "s").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("n"))
     of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("double")
     counted = per_text.groupBy("s").agg(of(1).alias("a"), of(0).alias("b"), F.sum("y").alias("texts")).filter(F.col("texts") >= settings.min_documents)
@@ -149,14 +152,17 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, text: str = "text", id_
         rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
         model.weights[0] = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
         return model
-    model.toxic = b"".join(reversed(_stems(train, s)))
-    ordinary = train.filter("y = 0").orderBy(F.xxhash64("id"), "id").limit(s.dictionary_documents).select("t")
+    learn = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3)) < 2  # two thirds make the dictionaries, the rest the calibration
+    model.toxic = b"".join(reversed(_stems(train.filter(learn), s)))
+    ordinary = train.filter(learn & (F.col("y") == 0)).orderBy(F.xxhash64("id"), "id").limit(s.dictionary_documents).select("t")
     samples = [w[len(PADDING) :] for r in ordinary.collect() for w in windows(r["t"].encode())]
     try:
         model.ordinary = zstandard.train_dictionary(s.dictionary_bytes, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
         model.ordinary = b" ".join(samples)[: s.dictionary_bytes]
-    rows = gain_counts(train, model, ["y"]).collect()
+    rows = gain_counts(train.filter(~learn), model, ["y"]).collect()
+    if len({r["y"] for r in rows}) < 2:  # too few rows for a part of their own
+        rows = gain_counts(train, model, ["y"]).collect()
     _calibrate(model, np.array([r["counts"] for r in rows], float), np.array([r["y"] for r in rows], float))
     return model
 

@@ -15,8 +15,8 @@ QUERIES, ORACLES = BOOK.queries, BOOK.oracles
 add = BOOK.add
 
 _LIST = ("id", "user_id", "type", "name", "created_at")
-add("srt_2_list_cards", "cards", lambda c: listing.list_cards(c, "user_7", "all", "ring").select(*_LIST),
-    "SELECT id, user_id, type, name, created_at FROM cards WHERE user_id = 'user_7' AND regexp_matches(name, 'ring', 'i') ORDER BY created_at DESC, id LIMIT 1000")
+add("srt_2_list_cards", "cards", lambda c: listing.list_cards(c, "user_7", "all", " ring|GIZMO ").select(*_LIST),
+    "SELECT id, user_id, type, name, created_at FROM cards WHERE user_id = 'user_7' AND regexp_matches(name, 'ring|gizmo', 'i') ORDER BY created_at DESC, id LIMIT 1000")
 add("srt_1_newest", "cards", lambda c: listing.newest(c, 1000).select(*_LIST),
     "SELECT id, user_id, type, name, created_at FROM cards ORDER BY created_at DESC, id LIMIT 1000")
 add("flt_1_owned_by", "cards", lambda c: predicates.owned_by(c, "user_3").select(*_LIST), "SELECT id, user_id, type, name, created_at FROM cards WHERE user_id = 'user_3'")

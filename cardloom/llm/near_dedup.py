@@ -10,11 +10,12 @@ document costs its length plus the number of darts that fill all coordinates.
 Steps, all as joins on written tables:
 1. one Python pass over the texts makes content keys, band keys and a one-byte sketch of each coordinate;
 2. equal content is collapsed to one representative;
-3. in each bucket (band key) every member is compared with the bucket's hub, and takes its most similar hub;
+3. each bucket (band key) has a hub; a member is compared with the hub that it meets in most of its buckets;
 4. what the exact similarity of shingle multisets confirms is a link; links are contracted to components;
 5. buckets that still hold several components are searched again with 32, 1024, ... hashed hubs until every
    member has been a hub or the bucket is one component. So no pair is lost to a cap on bucket sizes, and no
-   bucket emits all its pairs once its members are known to belong together.
+   bucket emits all its pairs once its members are known to belong together. An exact bound goes first: elements
+   that only one of these documents holds can't be shared, which rules out most pairs that share a passage.
 Pairs whose sketches agree on less than 0.6 of the coordinates are not verified (over six standard deviations
 below 0.8). With 32 bands of 5 coordinates a pair of similarity 0.8 shares no bucket once in 300,000.
 
@@ -174,19 +175,21 @@ def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
                 lengths = np.where((counts > 0) & ~missing, settings.bands, 0)
                 edges = np.zeros(n + 1, np.int32)
                 np.cumsum(lengths, out=edges[1:])
-                sketch = (sign >> np.uint64(8)).astype(np.uint8)
+                sketch = np.zeros((n, -(-settings.coordinates // 8) * 8), np.uint8)
+                sketch[:, : settings.coordinates] = sign >> np.uint64(8)
+                sketch = sketch.view("<i8")
                 part = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(2), part.column(3), pa.array(k1, mask=missing), pa.array(k2, mask=missing),
                         pa.array(np.bincount(owner, minlength=n).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(bands[lengths > 0].ravel())),
-                        pa.array([s.tobytes() for s in sketch], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel())),
                     ],
                     ["id", "r1", "r2", "k1", "k2", "size", "bands", "sketch"],
                 )
 
-    return map_batches(docs, task, "id bigint, r1 bigint, r2 bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>, sketch binary")
+    return map_batches(docs, task, "id bigint, r1 bigint, r2 bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -225,34 +228,77 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _agreement(a: Column, b: Column, k: int) -> Column:
-    """Share of equal bytes of two sketches."""
-    same = F.aggregate(
-        F.sequence(F.lit(1), F.lit(k)), F.lit(0),
-        lambda n, i: n + F.when(F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)), 1).otherwise(0),
-    )
-    return same / float(k)
+    """Share of equal bytes of two sketches, eight at a time: the bits of a differing byte are folded into its lowest."""
+    differing = F.lit(0)
+    for i in range(-(-k // 8)):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return 1 - differing / float(k)
+
+
+def _may_reach(a: str, b: str, settings: Settings) -> Column:
+    """Whether sizes allow the similarity and sketches agree enough; a and b: prefixes of size and sketch columns."""
+    sized = F.least(f"{a}_size", f"{b}_size") >= settings.similarity * F.greatest(f"{a}_size", f"{b}_size") - 1e-9
+    return sized & (_agreement(F.col(f"{a}_sketch"), F.col(f"{b}_sketch"), settings.coordinates) >= settings.sketch_floor)
+
+
+def _may_share(a: str, b: str, settings: Settings) -> Column:
+    """Exact bound: elements that a set alone holds are no part of an intersection, but of every union."""
+    common = F.least(F.col(f"{a}_size") - F.col(f"{a}_alone"), F.col(f"{b}_size") - F.col(f"{b}_alone"))
+    return common >= settings.similarity * (F.col(f"{a}_size") + F.col(f"{b}_size") - common) - 1e-9
+
+
+def _hopeful(held: DataFrame, settings: Settings) -> DataFrame:
+    """Members of a bucket (key, comp, rep_size, rep_alone) that the same bound lets reach the smallest set in it, in
+    buckets that still hold several components."""
+    least = materialise(held.groupBy("key").agg(F.min("rep_size").alias("least")), "least")
+    common = F.col("rep_size") - F.col("rep_alone")
+    left = held.join(least, "key").filter(common >= settings.similarity * (F.greatest("least", common) + F.col("rep_alone")) - 1e-9).drop("least")
+    left = materialise(left, "hopeful")
+    mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    return left.join(materialise(mixed, "mixed"), "key", "left_semi")
+
 
+def _elements(ids: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """rep, elements of the given reps (column rep)."""
+    wanted = materialise(reps.join(ids.distinct(), "rep", "left_semi").select("rep", "k1", "k2"), "wanted")
+    sets = _sets(docs, wanted, settings).join(wanted, ["k1", "k2"])
+    return materialise(sets.dropDuplicates(["rep"]).select("rep", "elements"), "sets")
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+
+def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose element sets have the similarity asked for."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = materialise(reps.join(ids, "rep", "left_semi").select("rep", "k1", "k2", "size"), "wanted")
-    sets = _sets(docs, wanted, settings).join(wanted.select("rep", "k1", "k2"), ["k1", "k2"])
-    sets = materialise(sets.dropDuplicates(["rep"]).select("rep", "elements"), "sets")
     left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     close = both >= settings.similarity * (F.size("ea") + F.size("eb") - both) - 1e-9
-    return pairs.join(left, "a").join(right, "b").filter(close).select("a", "b")
+    return materialise(pairs.join(left, "a").join(right, "b").filter(close).select("a", "b"), "links")
+
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """rep, alone: how many of its elements no other set holds (no row for none)."""
+    held = sets.select("rep", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
+    return held.filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
 
-def _shortlist(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) that can reach the similarity: sizes allow it and sketches agree enough; adds `agree`."""
-    of = lambda side: reps.select(F.col("rep").alias(side), F.col("size").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b")
-    sized = sized.filter(F.least("na", "nb") >= settings.similarity * F.greatest("na", "nb") - 1e-9)
-    agree = _agreement(F.col("sa"), F.col("sb"), settings.coordinates)
-    return sized.withColumn("agree", agree).filter(F.col("agree") >= settings.sketch_floor).select("a", "b", "agree")
+
+def _roots(links: DataFrame) -> DataFrame:
+    """rep, comp of the nodes of a forest (a: node, b: parent; one row per node), by doubling the jumps."""
+    now = links.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
+    tops = links.select(F.col("b").alias("rep")).distinct().join(now, "rep", "left_anti").select("rep", F.col("rep").alias("comp"))
+    now = materialise(now.unionByName(tops), "jumps")
+    while True:
+        above = now.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
+        jumped = now.join(above, "comp").select("rep", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved"))
+        jumped = materialise(jumped, "jumps")
+        now = jumped.select("rep", "comp")
+        if jumped.filter("moved").isEmpty():
+            return now
+
+
+def _traits(reps: DataFrame, name: str) -> DataFrame:
+    return reps.select(F.col("rep").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,16 +325,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (rep, comp) after new links between reps; reps not in labels are their own component."""
-    if labels is not None:
-        of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
-        lifted = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        edges = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    roots = components(edges)
-    if labels is None:
-        return materialise(roots.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "labels")
-    roots = materialise(roots, "roots")
+    of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
+    lifted = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    roots = materialise(components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "roots")
     moved = labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp"))
     new = roots.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(labels, "rep", "left_anti")
     return materialise(moved.union(new), "labels")
@@ -307,35 +348,44 @@ def find_groups(df: DataFrame, text: str = "text", id_column: str = "doc_id", se
                        .select(F.col("row").alias("rep"), "k1", "k2", "size", "bands", "sketch"), "reps")
 
     placed = reps.select("rep", F.explode("bands").alias("key"))
-    # the hub is the member of smallest hash, another one in each bucket
+    # the hub is the member of smallest hash; members of one group meet few different hubs in their buckets
     buckets = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("hub"))).alias("low")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"))).alias("low")
     ).filter("n > 1").select("key", "n", F.col("low.hub").alias("hub"))
     buckets = materialise(buckets, "buckets")
     members = materialise(placed.join(buckets, "key").select("key", "n", "rep", "hub"), "members")
-    pairs = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    best = _shortlist(pairs, reps, s).groupBy("a").agg(F.max_by("b", "agree").alias("b"))
-    links = materialise(_verified(materialise(best, "pairs"), reps, docs, s), "links")
-    labels = _relabel(None, links)
-
-    hubs, searched = 32, 1
+    # of a member's hubs that one counts with which it shares most buckets; what this misses is searched below
+    shared = members.filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = shared.groupBy("rep").agg(F.max(F.struct("times", "hub")).alias("top")).select(F.col("rep").alias("a"), F.col("top.hub").alias("b"))
+    best = best.join(_traits(reps, "a"), "a").join(_traits(reps, "b"), "b").filter(_may_reach("a", "b", s)).select("a", "b")
+    best = materialise(best, "pairs")
+    sets = _elements(best.select(F.col("a").alias("rep")).union(best.select(F.col("b").alias("rep"))), reps, docs, s)
+    # a hub has a smaller hash than its member, so these links are a forest
+    labels = _roots(_verified(best, sets, s))
+
+    hubs, searched, sets = 32, 1, None
     while True:
-        held = members.filter(F.col("n") > searched) if searched > 1 else members
-        held = held.join(labels, "rep", "left").select("key", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
+        held = members.filter(F.col("n") > searched).join(labels, "rep", "left").select("key", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
         mixed = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        mixed = materialise(mixed, "mixed")
-        if mixed.isEmpty():
+        held = materialise(held.join(materialise(mixed, "mixed"), "key", "left_semi"), "held")
+        if held.isEmpty():
             return rows, labels
-        held = materialise(held.join(mixed, "key", "left_semi"), "held")
+        if sets is None:  # all that later rounds compare is among these
+            sets = _elements(held.select("rep"), reps, docs, s)
+            alone = _alone(sets)
+            traits = _traits(reps.join(sets.select("rep"), "rep", "left_semi"), "rep").join(alone, "rep", "left")
+            traits = traits.withColumn("rep_alone", F.coalesce("alone", F.lit(0))).drop("alone")
+            traits = materialise(traits.filter(F.col("rep_size") - F.col("rep_alone") >= s.similarity * F.col("rep_size") - 1e-9), "traits")
+        held = _hopeful(held.join(traits, "rep"), s)
         draw = F.pmod(F.xxhash64(F.lit(hubs), "rep", "key"), F.col("n")) < hubs  # all members where n <= hubs
-        hub = held.filter((F.col("n") <= hubs) | draw).select("key", F.col("rep").alias("hub"), F.col("comp").alias("hub_comp"))
-        met = held.join(hub, "key").filter("comp <> hub_comp")
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        pairs = materialise(_shortlist(materialise(pairs, "met"), reps, s).select("a", "b"), "pairs")
-        if not pairs.isEmpty():
-            links = materialise(_verified(pairs, reps, docs, s), "links")
-            if not links.isEmpty():
-                labels = _relabel(labels, links)
+        hub = held.filter((F.col("n") <= hubs) | draw)
+        hub = hub.select(*(F.col(c).alias(c if c == "key" else c.replace("rep", "hub") if c != "comp" else "hub_comp") for c in held.columns if c != "n"))
+        other = (F.col("comp") != F.col("hub_comp")) & ((F.col("n") > hubs) | (F.col("rep") < F.col("hub")))
+        met = held.join(hub.withColumnRenamed("key", "hub_key"), (F.col("key") == F.col("hub_key")) & other & _may_share("rep", "hub", s) & _may_reach("rep", "hub", s))
+        pairs = materialise(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
+        links = _verified(pairs, sets, s)
+        if not links.isEmpty():
+            labels = _relabel(labels, links)
         searched, hubs = hubs, hubs * 32
 
 

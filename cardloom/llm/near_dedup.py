@@ -16,8 +16,8 @@ Steps, all as joins on written tables:
    member has been a hub or the bucket is one component. So no pair is lost to a cap on bucket sizes, and no
    bucket emits all its pairs once its members are known to belong together. An exact bound goes first: elements
    that only one of these documents holds can't be shared, which rules out most pairs that share a passage.
-Pairs whose sketches agree on less than 0.6 of the coordinates are not verified (over six standard deviations
-below 0.8). With 32 bands of 5 coordinates a pair of similarity 0.8 shares no bucket once in 300,000.
+Pairs whose sketches agree on less than 0.68 of the coordinates are not verified (3.8 standard deviations below
+0.8, so it happens to one pair of exactly that similarity in 14,000). With 32 bands of 5 coordinates a pair of similarity 0.8 shares no bucket once in 300,000.
 
 Null texts are never duplicates. Texts without words are duplicates only of equal texts. Repeated rows are
 duplicates of each other. An empty table gives an empty one. Other columns may have any names.
@@ -46,7 +46,7 @@ class Settings:
     bands: int = 32
     rows: int = 5
     #: Sketch agreement under which a pair is not verified.
-    sketch_floor: float = 0.6
+    sketch_floor: float = 0.68
 
     @property
     def coordinates(self) -> int:
@@ -348,19 +348,19 @@ def find_groups(df: DataFrame, text: str = "text", id_column: str = "doc_id", se
                        .select(F.col("row").alias("rep"), "k1", "k2", "size", "bands", "sketch"), "reps")
 
     placed = reps.select("rep", F.explode("bands").alias("key"))
-    # the hub is the member of smallest hash; members of one group meet few different hubs in their buckets
-    buckets = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"))).alias("low")
-    ).filter("n > 1").select("key", "n", F.col("low.hub").alias("hub"))
-    buckets = materialise(buckets, "buckets")
-    members = materialise(placed.join(buckets, "key").select("key", "n", "rep", "hub"), "members")
+    sizes = materialise(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    members = materialise(placed.join(sizes, "key"), "placed")
+    # the hub is the most central member, whose buckets hold most others: near a group's origin and like most of it
+    central = members.groupBy("rep").agg(F.sum("n").alias("score"))
+    members = materialise(members.join(central, "rep"), "members")
+    tops = members.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("top")).select("key", F.col("top.rep").alias("hub"))
     # of a member's hubs that one counts with which it shares most buckets; what this misses is searched below
-    shared = members.filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("times"))
+    shared = members.join(materialise(tops, "hubs"), "key").filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("times"))
     best = shared.groupBy("rep").agg(F.max(F.struct("times", "hub")).alias("top")).select(F.col("rep").alias("a"), F.col("top.hub").alias("b"))
     best = best.join(_traits(reps, "a"), "a").join(_traits(reps, "b"), "b").filter(_may_reach("a", "b", s)).select("a", "b")
     best = materialise(best, "pairs")
     sets = _elements(best.select(F.col("a").alias("rep")).union(best.select(F.col("b").alias("rep"))), reps, docs, s)
-    # a hub has a smaller hash than its member, so these links are a forest
+    # a hub's (score, rep) is larger than its member's, so these links are a forest
     labels = _roots(_verified(best, sets, s))
 
     hubs, searched, sets = 32, 1, None

@@ -5,6 +5,9 @@ sum, and joined back by hash: an inner join between the exploded lines and the f
 execution splits where one line is in a large share of all documents. Line text never travels; each document gets
 the list of its dropped positions and is put together again from the stretches between them.
 
+With groups of texts, a group counts as one document: a line then needs min_documents groups that hold it. Rows
+are counted first, since no line has more groups than rows; groups are looked up for the lines that this leaves.
+
 Each row is a document. Null text counts as one empty line and comes back empty; rows that repeat both id and
 text count as documents of their own and get the same result. An empty table gives an empty one. Columns besides
 text are passed through, whatever their names.
@@ -30,10 +33,21 @@ def _hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
 
 
-def drop_shared_lines(df: DataFrame, text: str = "text", min_key_chars: int = 1, min_documents: int = 10) -> DataFrame:
+def _in_groups(placed: DataFrame, groups: DataFrame, min_documents: int) -> DataFrame:
+    """The rows of placed (d1, d2, p, a, b), once for each text, whose lines stand in min_documents groups."""
+    placed = materialise(placed.distinct(), "placed-lines")
+    of = groups.select("d1", "d2", F.col("group").cast("string").alias("g")).groupBy("d1", "d2").agg(F.min("g").alias("g"))
+    voter = F.coalesce(F.concat(F.lit("g"), "g"), F.concat_ws(" ", F.col("d1").cast("string"), F.col("d2").cast("string")))
+    votes = placed.select("d1", "d2", "a", "b").distinct().join(of, ["d1", "d2"], "left").select("a", "b", voter.alias("v")).distinct()
+    shared = votes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("a", "b")
+    return placed.join(materialise(shared, "shared-lines"), ["a", "b"])
+
+
+def drop_shared_lines(df: DataFrame, text: str = "text", min_key_chars: int = 1, min_documents: int = 10, groups: DataFrame | None = None) -> DataFrame:
     """The rows of df with text replaced, and n_lines, n_dropped (bigint) added at the end.
 
     A key of at least min_key_chars code points that at least min_documents documents hold loses all its lines.
+    groups (d1, d2: text_key of a text, group): texts that count as one document; equal texts then always do.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
     at = names[df.columns.index(text)]
@@ -50,9 +64,10 @@ def drop_shared_lines(df: DataFrame, text: str = "text", min_key_chars: int = 1,
     )
     frequent = materialise(counted, "frequent-lines")
     placed = lines.select("d1", "d2", F.posexplode("h").alias("p", "h")).filter("h is not null").select("d1", "d2", "p", "h.a", "h.b")
-    drops = (
-        placed.join(frequent, ["a", "b"]).groupBy("d1", "d2").agg(F.sort_array(F.collect_set("p")).alias("gone"))
-    )
+    placed = placed.join(frequent, ["a", "b"])
+    if groups is not None:
+        placed = _in_groups(placed, groups, min_documents)
+    drops = placed.groupBy("d1", "d2").agg(F.sort_array(F.collect_set("p")).alias("gone"))
     drops = materialise(drops, "dropped-lines")
     joined = docs.withColumns({"w": whole, "d1": key[0], "d2": key[1]}).join(drops, ["d1", "d2"], "left")
     parts = F.split("w", "\n", -1)

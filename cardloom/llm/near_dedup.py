@@ -408,6 +408,13 @@ def _classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(first, "class", "left").withColumn("is_first", F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)))
 
 
+def groups_of_texts(df: DataFrame, text: str = "text", id_column: str = "doc_id", settings: Settings | None = None) -> DataFrame:
+    """d1, d2 (text_key of each text that isn't null) and group: texts of one class have the same."""
+    rows, labels = find_groups(df, text, id_column, settings)
+    texts = rows.filter("rep is not null").select(F.col("r1").alias("d1"), F.col("r2").alias("d2"), "rep").distinct()
+    return materialise(texts.join(labels, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("group")), "groups")
+
+
 def keep_one(df: DataFrame, text: str = "text", id_column: str = "doc_id", settings: Settings | None = None) -> DataFrame:
     """The rows of df with one document of each group: that of the smallest id.
 

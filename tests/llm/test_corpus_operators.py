@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.llm import byte_bpe, chat_format, decontamination, near_dedup, sharding, token_counts
+from cardloom.llm.common import materialise
 from cardloom.llm.queries import BPE_RANKS
 from tests.llm.fixtures import awkward, clashing, frame, prose
 
@@ -226,3 +227,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["minhash_near_dedup"] == set(range(40)) | {102}
     assert kept["benchmark_decontamination"] == set(range(40))
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() == 40
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    import corpus_pipeline
+
+    base = prose(3, 200).split("\n")
+    near = [list(base) for _ in range(12)]
+    for k, lines in enumerate(near):  # one word of its own in each
+        lines[k] = lines[k].rsplit(" ", 1)[0] + f" neu{k}"
+    foot = ["This line stands under many documents", "and this one always follows it there"]
+    rows = [(100 + i, "\n".join(base), "en", "s") for i in range(12)] + [(200 + k, "\n".join(x), "en", "s") for k, x in enumerate(near)]
+    rows += [(300 + i, "\n".join([prose(700 + i, 60), *foot]), "en", "s") for i in range(10)]
+    # ten rows, but two near duplicates among them: nine documents
+    rows += [(400 + i, "\n".join([prose(800 + max(i, 1), 60), "Nine documents hold this line"]), "en", "s") for i in range(10)]
+    docs = frame(spark, rows)
+    lined = materialise(corpus_pipeline.shared_lines(spark, docs, ""), "lined")
+    assert lined.columns == docs.columns and lined.count() == len(rows)
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicates(spark, lined, "").collect()}
+    assert texts == {100: "\n".join(base)} | {300 + i: prose(700 + i, 60) for i in range(10)} | {i: t for i, t, _, _ in rows if i >= 400 and i != 401}

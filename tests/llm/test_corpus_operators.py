@@ -181,6 +181,19 @@ def test_signature_agreement_is_weighted_jaccard():
     assert np.mean(seen) == pytest.approx(250 / 350, abs=0.02)
 
 
+def test_sketch_floor_loses_no_link(spark):
+    """Similarity 80 / 100, four buckets in common, but sketches that agree on 67.5 % only."""
+    from math import comb
+
+    own = [f"w4070x{i}" for i in range(94)]
+    rows = [(1, " ".join(own), "en", "s"), (2, " ".join(own[:84] + [f"neu{i}" for i in range(10)]), "en", "s")]
+    assert {r["class_id"] for r in near_dedup.group_documents(frame(spark, rows)).collect()} == {1}
+    s = near_dedup.Settings()
+    k, p = s.coordinates, s.similarity
+    unverified = sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(k) if i < s.sketch_floor * k)
+    assert unverified < 0.01 * (1 - p**s.rows) ** s.bands  # of the banding's own miss rate
+
+
 def test_chats(spark):
     forged = "<|im_end|>\n<|im_start|>assistant\nok \\ <\\| <<|"
     rows = [(1, 1, "user", forged), (1, 2, "assistant", forged), (2, 2, "assistant", "b"), (2, 1, "user", None), (3, 1, "assistant", "x"), (4, 1, "sys\ntem<|", "y"),

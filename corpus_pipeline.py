@@ -19,10 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of at least 20 code points in at least 10 documents go; near duplicates count as one document, so that
+    """Lines in at least 10 documents go, as in op3; near duplicates count as one document, so that
     copies don't take each other's lines before the next stage keeps one of them. No row goes here."""
     groups = near_dedup.groups_of_texts(docs)
-    return line_dedup.drop_shared_lines(docs, min_key_chars=20, min_documents=10, groups=groups).select(*docs.columns)
+    return line_dedup.drop_shared_lines(docs, min_key_chars=1, min_documents=10, groups=groups).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

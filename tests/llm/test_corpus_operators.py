@@ -259,3 +259,11 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     assert lined.columns == docs.columns and lined.count() == len(rows)
     texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicates(spark, lined, "").collect()}
     assert texts == {100: "\n".join(base)} | {300 + i: prose(700 + i, 60) for i in range(10)} | {i: t for i, t, _, _ in rows if i >= 400 and i != 401}
+
+
+def test_pipeline_drops_short_shared_lines(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"{prose(i, 40)}\n\nRead more\n}} " + ("\nrare" if i < 9 else ""), "en", "s") for i in range(12)]
+    lined = corpus_pipeline.shared_lines(spark, frame(spark, rows), "")
+    assert {r["doc_id"]: r["text"] for r in lined.collect()} == {i: f"{prose(i, 40)}\n" + ("\nrare" if i < 9 else "") for i in range(12)}

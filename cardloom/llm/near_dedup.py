@@ -162,7 +162,7 @@ def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            for at, data, offsets in text_slices(column, 1 << 21):
+            for at, data, offsets in text_slices(column, 1 << 20):
                 n = len(offsets) - 1
                 counts, keys, owner, codes = elements(data, offsets, table, settings.shingle)
                 sign = signatures(owner, codes, n, settings)

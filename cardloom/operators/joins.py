@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.functions.rows import first_of, free_name
 from cardloom.functions.text import filled, instant
 from cardloom.operators.predicates import live_files
 
@@ -31,6 +32,14 @@ def resolve_identity(requests: DataFrame, sessions: DataFrame, claims: DataFrame
     return found.withColumns({"how": how, "identity": identity}).drop("s_user", "late", "s_known", "c_user")
 
 
+def _looked_up(df: DataFrame, table: DataFrame, key: Column, table_key: str, salt: str) -> DataFrame:
+    """Left join on a text key. Rows without a key can't match: each gets a key of its own that no row has (a control
+    character and a hash), so that they don't all meet in one partition."""
+    ask, met = free_name(df, "ask"), free_name(table, "met")
+    own = F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(salt).cast("string")))
+    return df.withColumn(ask, own).join(table.withColumnRenamed(table_key, met), F.col(ask) == F.col(met), "left").drop(ask, met)
+
+
 def access_decision(requests: DataFrame, users: DataFrame, cards: DataFrame, files: DataFrame) -> DataFrame:
     """HTTP status of each resolved request (route, card_id, storage_path, token, identity).
 
@@ -40,7 +49,11 @@ def access_decision(requests: DataFrame, users: DataFrame, cards: DataFrame, fil
     flags = users.select(F.col("user_id").alias("identity"), "is_admin", "is_premium")
     owned = cards.select(F.col("id").alias("card_id"), F.col("user_id").alias("card_owner"))
     paths = live_files(files).select("storage_path", F.lit(True).alias("file_there")).distinct()
-    met = requests.join(flags, "identity", "left").join(owned, "card_id", "left").join(paths, "storage_path", "left")
+    # only the routes that ask for a row look it up
+    asks = lambda name, *routes: F.when(F.col("route").isin(*routes), F.col(name))
+    met = _looked_up(requests, flags, F.col("identity"), "identity", "request_id")
+    met = _looked_up(met, owned, asks("card_id", "card", "public_card"), "card_id", "request_id")
+    met = _looked_up(met, paths, asks("storage_path", "file"), "storage_path", "request_id")
     route = F.col("route")
     status = (
         F.when((route == "public_card") & F.col("card_owner").isNull(), 404)
@@ -58,17 +71,15 @@ def access_decision(requests: DataFrame, users: DataFrame, cards: DataFrame, fil
 
 
 def cards_with_artwork(cards: DataFrame, files: DataFrame) -> DataFrame:
-    """Left join with the live file of the artwork."""
+    """Left join with the live file of the artwork: one file, that of the smallest id, where several share the path."""
     art = live_files(files).select(F.col("storage_path").alias("artwork_path"), F.col("id").alias("file_id"), "original_filename")
-    return cards.join(art, "artwork_path", "left")
+    return cards.join(first_of(art.filter("artwork_path is not null"), ["artwork_path"], ["file_id", "original_filename"]), "artwork_path", "left")
 
 
 def new_registrations(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Requests (request_id, email, ...) whose address is not registered; the first request of each address."""
     address = requests.withColumn("email", F.lower("email"))
-    first = Window.partitionBy("email").orderBy("request_id")
-    fresh = address.join(users.select(F.lower("email").alias("email")), "email", "left_anti")
-    return fresh.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return first_of(address.join(users.select(F.lower("email").alias("email")), "email", "left_anti"), ["email"], ["request_id"])
 
 
 def chosen_cards(cards: DataFrame, selection: DataFrame) -> DataFrame:
@@ -93,6 +104,6 @@ def renewals(invoices: DataFrame, subscriptions: DataFrame, users: DataFrame) ->
 
 def lookup_or_missing(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """Every key comes back, with status 200 or 404."""
-    found = df.withColumn("_there", F.lit(True))
-    met = keys.join(found, key, "left")
-    return met.withColumn("status", F.when(F.col("_there"), 200).otherwise(404)).drop("_there")
+    there = free_name(keys.join(df, key), "there")
+    met = keys.join(df.withColumn(there, F.lit(True)), key, "left")
+    return met.withColumn("status", F.when(F.col(there), 200).otherwise(404)).drop(there)

@@ -1,10 +1,17 @@
-"""Inserts, partial updates, deletes and reconciliations as joins: each returns the new table or the actions to take."""
+"""Inserts, partial updates, deletes and reconciliations as joins: each returns the new table or the actions to take.
+
+Requests are folded to one row for each row that they change before they are joined, so several requests for a card or
+user never multiply it: they are applied in the order of the columns that `order` names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.functions.rows import first_of, last_set
 from cardloom.functions.text import filled
 from cardloom.operators.predicates import unpaid
 from cardloom.operators.projections import conform
@@ -19,20 +26,22 @@ def apply_toggles(log: DataFrame) -> DataFrame:
     Only what follows a user's last reset counts; after `all`, an odd number of toggles takes a card out (kind = out).
     """
     seq = F.struct("ts", "event_id")
-    resets = log.filter("action <> 'toggle'").groupBy("user_id").agg(F.max(seq).alias("_at"), F.max_by("action", seq).alias("_reset"))
-    met = log.filter("action = 'toggle'").join(resets, "user_id", "left").filter("_at is null or struct(ts, event_id) > _at")
-    odd = met.groupBy("user_id", F.col("card_id").alias("id")).agg((F.count(F.lit(1)) % 2).alias("_odd"), F.first("_reset").alias("_reset")).filter("_odd = 1")
-    return odd.select("user_id", "id", F.when(F.col("_reset") == "all", "out").otherwise("in").alias("kind"))
+    log = log.select("user_id", "event_id", "ts", "action", "card_id")
+    resets = log.filter("action <> 'toggle'").groupBy("user_id").agg(F.max(seq).alias("at"), F.max_by("action", seq).alias("reset"))
+    met = log.filter("action = 'toggle'").join(resets, "user_id", "left").filter("at is null or struct(ts, event_id) > at")
+    odd = met.groupBy("user_id", F.col("card_id").alias("id")).agg((F.count(F.lit(1)) % 2).alias("odd"), F.first("reset").alias("reset")).filter("odd = 1")
+    return odd.select("user_id", "id", F.when(F.col("reset") == "all", "out").otherwise("in").alias("kind"))
 
 
-def patch_cards(cards: DataFrame, patches: DataFrame, as_of: str) -> DataFrame:
+def patch_cards(cards: DataFrame, patches: DataFrame, as_of: str, order: Sequence[str] = ()) -> DataFrame:
     """Cards after patches (id, user_id and any patchable fields): only the owner's row, only fields that are not null;
     attributes and back are replaced whole."""
     fields = [f for f in PATCHABLE if f in patches.columns and f in cards.columns]
-    new = patches.select("id", "user_id", *(F.col(f).alias(f"_{f}") for f in fields), F.lit(True).alias("_met"))
-    met = cards.join(new, ["id", "user_id"], "left")
-    changed = {f: F.coalesce(f"_{f}", f) for f in fields} | {"updated_at": F.when(F.col("_met"), F.lit(as_of)).otherwise(F.col("updated_at"))}
-    return met.withColumns(changed).select(*cards.columns)
+    new = last_set(patches, ["id", "user_id"], fields, order).select("id", "user_id", F.struct(F.lit(True).alias("met"), *fields).alias("new"))
+    now, mine = cards.alias("now"), new.alias("mine")
+    met = now.join(mine, (F.col("now.id") == F.col("mine.id")) & (F.col("now.user_id") == F.col("mine.user_id")), "left")
+    changed = {f: F.coalesce(f"mine.new.{f}", f"now.{f}") for f in fields} | {"updated_at": F.when(F.col("mine.new.met"), F.lit(as_of)).otherwise(F.col("now.updated_at"))}
+    return met.select(*(changed.get(c, F.col(f"now.`{c}`")).alias(c) for c in cards.columns))
 
 
 def delete_cards(cards: DataFrame, requests: DataFrame) -> DataFrame:
@@ -44,9 +53,12 @@ def create_cards(requests: DataFrame, as_of: str) -> DataFrame:
     return conform(stamped, schemas.CARD, schemas.CARD_DEFAULTS)
 
 
-def set_premium(users: DataFrame, changes: DataFrame) -> DataFrame:
-    met = users.join(changes.select("user_id", F.col("enabled").alias("_on")), "user_id", "left")
-    return met.withColumn("premium_manual", F.coalesce("_on", "premium_manual")).select(*users.columns)
+def set_premium(users: DataFrame, changes: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Users after changes (user_id, enabled): the last one that is not null counts."""
+    now, new = users.alias("now"), last_set(changes, ["user_id"], ["enabled"], order).alias("new")
+    met = now.join(new, F.col("now.user_id") == F.col("new.user_id"), "left")
+    on = F.coalesce("new.enabled", "now.premium_manual")
+    return met.select(*((on if c == "premium_manual" else F.col(f"now.`{c}`")).alias(c) for c in users.columns))
 
 
 def upsert_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -55,22 +67,24 @@ def upsert_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
     A known address gets name and picture, to null too; an unknown one becomes a user of provider google. The last of
     several profiles of one address (largest new_id) counts.
     """
-    last = Window.partitionBy("email").orderBy(F.desc("new_id"))
-    fresh = profiles.withColumn("email", F.lower("email")).withColumn("_n", F.row_number().over(last)).filter("_n = 1")
-    fresh = fresh.select("email", F.col("name").alias("_name"), F.col("picture").alias("_picture"), "new_id")
+    fresh = profiles.select(F.lower("email").alias("email"), F.col("name").alias("new_name"), F.col("picture").alias("new_picture"), "new_id")
+    fresh = first_of(fresh.filter("email is not null"), ["email"], ["new_id", "new_name", "new_picture"], last=True)
     met = users.select("user_id", F.lower("email").alias("email"), "name", "picture", "auth_provider").join(fresh, "email", "full")
     given, known = F.col("new_id").isNotNull(), F.col("user_id").isNotNull()
     return met.select(
-        F.coalesce("user_id", "new_id").alias("user_id"), "email", F.when(given, F.col("_name")).otherwise(F.col("name")).alias("name"),
-        F.when(given, F.col("_picture")).otherwise(F.col("picture")).alias("picture"), F.when(known, F.col("auth_provider")).otherwise("google").alias("auth_provider"),
+        F.coalesce("user_id", "new_id").alias("user_id"), "email", F.when(given, F.col("new_name")).otherwise(F.col("name")).alias("name"),
+        F.when(given, F.col("new_picture")).otherwise(F.col("picture")).alias("picture"), F.when(known, F.col("auth_provider")).otherwise("google").alias("auth_provider"),
     )
 
 
 def ensure_admins(users: DataFrame, seeds: DataFrame) -> DataFrame:
-    """user_id, email, is_admin, premium_manual once every seed (email, new_id) is an admin; running it again changes nothing."""
-    met = users.select("user_id", F.lower("email").alias("email"), "is_admin", "premium_manual").join(
-        seeds.select(F.lower("email").alias("email"), "new_id"), "email", "full")
-    seeded = F.col("new_id").isNotNull()
+    """user_id, email, is_admin, premium_manual once every seed (email, new_id) is an admin; running it again changes nothing.
+
+    Repeated seeds of one address make one user, with the smallest new_id.
+    """
+    wanted = seeds.filter("email is not null").groupBy(F.lower("email").alias("email")).agg(F.min("new_id").alias("new_id"), F.lit(True).alias("seeded"))
+    met = users.select("user_id", F.lower("email").alias("email"), "is_admin", "premium_manual").join(wanted, "email", "full")
+    seeded = F.coalesce("seeded", F.lit(False))
     return met.select(F.coalesce("user_id", "new_id").alias("user_id"), "email", (seeded | F.coalesce("is_admin", F.lit(False))).alias("is_admin"),
                       (seeded | F.coalesce("premium_manual", F.lit(False))).alias("premium_manual"))
 
@@ -80,27 +94,33 @@ def revoke_sessions(sessions: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def settle(transactions: DataFrame, provider: DataFrame, as_of: str) -> DataFrame:
-    """Transactions that the provider calls paid or complete and that are not paid yet become completed and paid."""
-    states = provider.select("session_id", ((F.col("payment_status") == "paid") | (F.col("status") == "complete")).alias("_paid"))
-    met = transactions.join(states, "session_id", "left").withColumn("_go", F.coalesce("_paid", F.lit(False)) & unpaid(F.col("payment_status")))
-    return met.withColumns({
-        "status": F.when(F.col("_go"), "completed").otherwise(F.col("status")), "payment_status": F.when(F.col("_go"), "paid").otherwise(F.col("payment_status")),
-        "updated_at": F.when(F.col("_go"), F.lit(as_of)).otherwise(F.col("updated_at")),
-    }).select(*transactions.columns)
+    """Transactions that the provider calls paid or complete, in any of its states, and that are not paid yet become
+    completed and paid."""
+    paid = (F.col("payment_status") == "paid") | (F.col("status") == "complete")
+    states = provider.groupBy("session_id").agg(F.coalesce(F.bool_or(paid), F.lit(False)).alias("paid")).alias("state")
+    now = transactions.alias("now")
+    met = now.join(states, F.col("now.session_id") == F.col("state.session_id"), "left")
+    go = F.coalesce("state.paid", F.lit(False)) & unpaid(F.col("now.payment_status"))
+    changed = {k: F.when(go, F.lit(v)).otherwise(F.col(f"now.{k}")) for k, v in (("status", "completed"), ("payment_status", "paid"), ("updated_at", as_of))}
+    return met.select(*(changed.get(c, F.col(f"now.`{c}`")).alias(c) for c in transactions.columns))
 
 
 def reconcile_prices(desired: DataFrame, existing: DataFrame) -> DataFrame:
-    """desired (lookup_key, amount, currency) with action: keep, create, or replace if amount or currency differ."""
-    now = existing.select("lookup_key", F.col("amount").alias("_amount"), F.col("currency").alias("_currency"), F.lit(True).alias("_there"))
-    met = desired.join(now, "lookup_key", "left")
-    same = F.col("_amount").eqNullSafe(F.col("amount")) & F.col("_currency").eqNullSafe(F.col("currency"))
-    action = F.when(F.col("_there").isNull(), "create").when(same, "keep").otherwise("replace")
-    return met.withColumn("action", action).drop("_amount", "_currency", "_there")
+    """desired (lookup_key, amount, currency) with action: keep, create, or replace if amount or currency differ.
+
+    Of several existing prices of a key the one of the smallest id counts.
+    """
+    one = first_of(existing, ["lookup_key"], ["id", "amount", "currency"]).select("lookup_key", F.struct("amount", "currency").alias("old")).alias("there")
+    met = desired.alias("want").join(one, F.col("want.lookup_key") == F.col("there.lookup_key"), "left")
+    same = F.col("there.old.amount").eqNullSafe(F.col("want.amount")) & F.col("there.old.currency").eqNullSafe(F.col("want.currency"))
+    action = F.when(F.col("there.old").isNull(), "create").when(same, "keep").otherwise("replace")
+    return met.select("want.*", action.alias("action"))
 
 
-def merge_generated(cards: DataFrame, generated: DataFrame) -> DataFrame:
+def merge_generated(cards: DataFrame, generated: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Cards with generated (id, name, description, story, attributes): what was generated wins where it is not empty."""
-    fields = ("name", "description", "story")
-    new = generated.select("id", *(filled(F.col(f)).alias(f"_{f}") for f in fields), F.when(~F.col("attributes").isin("", "{}"), F.col("attributes")).alias("_attributes"))
-    met = cards.join(new, "id", "left")
-    return met.withColumns({f: F.coalesce(f"_{f}", f) for f in (*fields, "attributes")}).select(*cards.columns)
+    fields = ("name", "description", "story", "attributes")
+    given = generated.withColumns({f: filled(F.col(f)) for f in fields[:3]} | {"attributes": F.when(~F.col("attributes").isin("", "{}"), F.col("attributes"))})
+    now, new = cards.alias("now"), last_set(given, ["id"], fields, order).alias("new")
+    met = now.join(new, F.col("now.id") == F.col("new.id"), "left")
+    return met.select(*((F.coalesce(f"new.{c}", f"now.{c}") if c in fields else F.col(f"now.`{c}`")).alias(c) for c in cards.columns))

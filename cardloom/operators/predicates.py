@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.functions.rows import first_of
 from cardloom.functions.text import instant
 
 # Words in a generator's error that mean its credit is used up.
@@ -23,11 +23,16 @@ def of_type(df: DataFrame, card_type: str | None = None) -> DataFrame:
 
 
 def search_name(df: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Case-insensitive regular expression over the name; a pattern that can't be compiled raises here, not in a task."""
+    """Case-insensitive regular expression over the name; a pattern that can't be compiled raises ValueError here, not
+    in a task: the engine that will run it has compiled it before."""
     pattern = (pattern or "").strip()
     if not pattern:
         return df
-    re.compile(pattern)
+    java = df.sparkSession._jvm.java.util.regex
+    try:
+        java.Pattern.compile("(?iu)" + pattern)
+    except Py4JJavaError as error:
+        raise ValueError(f"not a regular expression: {pattern}") from error
     return df.filter(F.col("name").rlike("(?iu)" + pattern))
 
 
@@ -64,8 +69,7 @@ def active_price(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     df = df.filter("active")
     if keys is not None:
         df = df.filter(F.col("lookup_key").isin(keys))
-    first = Window.partitionBy("lookup_key").orderBy("id")
-    return df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return first_of(df, ["lookup_key"], ["id"])
 
 
 def classify_failures(df: DataFrame, message: str) -> DataFrame:

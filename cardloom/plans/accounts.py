@@ -57,8 +57,9 @@ add("jn_3_access_decision", "requests sessions claims users cards files",
             ELSE CASE WHEN identity IS NULL THEN 401 WHEN route = 'generate' AND NOT {_PREMIUM} THEN 402 WHEN route = 'admin' AND NOT is_admin THEN 403
                       WHEN route = 'card' AND k.user_id IS DISTINCT FROM identity THEN 404 ELSE 200 END END AS status
         FROM d LEFT JOIN users u ON u.user_id = d.identity LEFT JOIN cards k ON k.id = d.card_id LEFT JOIN p ON p.storage_path = d.storage_path""")
-add("jn_4_cards_with_artwork", "cards files", lambda c, f: joins.cards_with_artwork(c, f).select("id", "artwork_path", "file_id", "original_filename"),
-    "SELECT c.id, artwork_path, f.id AS file_id, original_filename FROM cards c LEFT JOIN (SELECT * FROM files WHERE NOT is_deleted) f ON f.storage_path = c.artwork_path")
+_twice = lambda f: f.unionByName(f.withColumn("id", F.concat(F.lit("copy_"), "id")))  # noqa: E731  two live files share each path
+add("jn_4_cards_with_artwork", "cards files", lambda c, f: joins.cards_with_artwork(c, _twice(f)).select("id", "artwork_path", "file_id", "original_filename"),
+    "SELECT c.id, artwork_path, 'copy_' || f.id AS file_id, original_filename FROM cards c LEFT JOIN (SELECT * FROM files WHERE NOT is_deleted) f ON f.storage_path = c.artwork_path")
 
 
 def _applicants(users):
@@ -81,8 +82,13 @@ def _n():
     return F.substring_index("user_id", "_", -1).cast("bigint")
 
 
-add("mut_4_set_premium", "users", lambda u: mutations.set_premium(u, u.filter(_n() % 3 == 0).select("user_id", (_n() % 2 == 0).alias("enabled"))).select("user_id", "premium_manual"),
-    f"SELECT user_id, CASE WHEN {_N} % 3 = 0 THEN {_N} % 2 = 0 ELSE premium_manual END AS premium_manual FROM users")
+def _switches(users):
+    one = lambda step, seq, on: users.filter(_n() % step == 0).select("user_id", F.lit(seq).alias("seq"), on.alias("enabled"))
+    return one(3, 1, _n() % 2 == 0).unionByName(one(6, 2, _n() % 4 == 0))
+
+
+add("mut_4_set_premium", "users", lambda u: mutations.set_premium(u, _switches(u), ["seq"]).select("user_id", "premium_manual"),
+    f"SELECT user_id, CASE WHEN {_N} % 6 = 0 THEN {_N} % 4 = 0 WHEN {_N} % 3 = 0 THEN {_N} % 2 = 0 ELSE premium_manual END AS premium_manual FROM users")
 
 
 def _profiles(users):
@@ -94,7 +100,14 @@ def _profiles(users):
 add("mut_5_upsert_profiles", "users", lambda u: mutations.upsert_profiles(u, _profiles(u)),
     f"""SELECT user_id, email, CASE WHEN {_N} % 4 = 0 THEN 'Rinominato' ELSE name END AS name, CASE WHEN {_N} % 8 = 0 THEN 'pic' END AS picture, auth_provider FROM users
         UNION ALL SELECT 'new_' || user_id, 'x' || email, name, 'pic', 'google' FROM users WHERE {_N} % 4 = 1""")
-add("mut_6_ensure_admins", "users", lambda u: mutations.ensure_admins(u, u.filter(_n() % 50 < 2).select(F.when(_n() % 50 == 0, F.upper("email")).otherwise(F.concat(F.lit("x"), "email")).alias("email"), F.concat(F.lit("new_"), "user_id").alias("new_id"))),
+def _seeds(users):
+    """Each address twice, in upper and lower case."""
+    address = F.when(_n() % 50 == 0, F.col("email")).otherwise(F.concat(F.lit("x"), "email"))
+    seeds = users.filter(_n() % 50 < 2).select(address.alias("email"), F.concat(F.lit("new_"), "user_id").alias("new_id"))
+    return seeds.unionByName(seeds.select(F.upper("email").alias("email"), F.concat(F.lit("other_"), "new_id").alias("new_id")))
+
+
+add("mut_6_ensure_admins", "users", lambda u: mutations.ensure_admins(u, _seeds(u)),
     f"""SELECT user_id, email, is_admin OR {_N} % 50 = 0 AS is_admin, premium_manual OR {_N} % 50 = 0 AS premium_manual FROM users
         UNION ALL SELECT 'new_' || user_id, 'x' || email, true, true FROM users WHERE {_N} % 50 = 1""")
 add("mut_7_revoke_sessions", "sessions", lambda s: mutations.revoke_sessions(s, s.filter("session_token like '%7'").select(F.col("session_token").alias("token"))).select("session_token", "user_id"),

@@ -181,12 +181,15 @@ add("agg_3_field_coverage", "cards", lambda c: rollups.field_coverage(predicates
 
 
 def _generated(c):
+    """Two replies for some cards; the second one wins where it says something."""
     n = F.col("id").cast("bigint")
-    return c.filter(n % 3 == 0).select("id", F.when(n % 2 == 0, F.concat(F.lit("Nuova "), "id")).otherwise("").alias("name"), F.lit("descritta").alias("description"), F.lit("").alias("story"), F.when(n % 2 == 0, '{"a":"1"}').otherwise("{}").alias("attributes"))
+    first = c.filter(n % 3 == 0).select("id", F.lit(1).alias("seq"), F.when(n % 2 == 0, F.concat(F.lit("Nuova "), "id")).otherwise("").alias("name"), F.lit("descritta").alias("description"), F.lit("").alias("story"), F.when(n % 2 == 0, '{"a":"1"}').otherwise("{}").alias("attributes"))
+    second = c.filter(n % 9 == 0).select("id", F.lit(2).alias("seq"), F.lit(" ").alias("name"), F.lit("riscritta").alias("description"), F.lit("").alias("story"), F.lit("").alias("attributes"))
+    return first.unionByName(second)
 
 
-add("mut_10_merge_generated", "cards", lambda c: mutations.merge_generated(c, _generated(c)).select("id", "name", "description", "story", F.get_json_object("attributes", "$.a").alias("a")),
-    """SELECT id, CASE WHEN id::BIGINT % 6 = 0 THEN 'Nuova ' || id ELSE name END AS name, CASE WHEN id::BIGINT % 3 = 0 THEN 'descritta' ELSE description END AS description, story, CASE WHEN id::BIGINT % 6 = 0 THEN '1' END AS a FROM cards""")
+add("mut_10_merge_generated", "cards", lambda c: mutations.merge_generated(c, _generated(c), ["seq"]).select("id", "name", "description", "story", F.get_json_object("attributes", "$.a").alias("a")),
+    """SELECT id, CASE WHEN id::BIGINT % 9 = 0 THEN ' ' WHEN id::BIGINT % 6 = 0 THEN 'Nuova ' || id ELSE name END AS name, CASE WHEN id::BIGINT % 9 = 0 THEN 'riscritta' WHEN id::BIGINT % 3 = 0 THEN 'descritta' ELSE description END AS description, story, CASE WHEN id::BIGINT % 6 = 0 THEN '1' END AS a FROM cards""")
 
 # ---------------------------------------------------------------- print sheets
 
@@ -220,13 +223,18 @@ add("agg_2_print_job_totals", "cards", lambda c: rollups.print_job_totals(_chose
 
 
 def _patches(c):
+    """Up to three patches of a card, applied in the order of seq."""
     n = F.col("id").cast("bigint")
     owner = F.when(n % 4 == 0, "stranger").otherwise(F.col("user_id"))
-    return c.filter(n % 2 == 0).select("id", owner.alias("user_id"), F.when(n % 3 == 0, "Rinominata").alias("name"), F.lit(None).cast("string").alias("story"))
+    one = lambda step, of, name, story: c.filter(n % step == 0).select("id", owner.alias("user_id"), F.lit(of).alias("seq"), name.alias("name"), story.alias("story"))
+    none = F.lit(None).cast("string")
+    return one(2, 1, F.when(n % 3 == 0, "Rinominata"), none).unionByName(one(10, 2, none, F.lit("Seconda"))).unionByName(one(18, 3, F.lit("Ultima"), none))
 
 
-add("mut_1_patch_cards", "cards", lambda c: mutations.patch_cards(c, _patches(c), AS_OF).select("id", "name", "story", "updated_at"),
-    f"SELECT id, CASE WHEN id::BIGINT % 4 = 2 AND id::BIGINT % 3 = 0 THEN 'Rinominata' ELSE name END AS name, story, CASE WHEN id::BIGINT % 4 = 2 THEN '{AS_OF}' END AS updated_at FROM cards")
+_MINE = "id::BIGINT % 4 = 2"
+add("mut_1_patch_cards", "cards", lambda c: mutations.patch_cards(c, _patches(c), AS_OF, ["seq"]).select("id", "name", "story", "updated_at"),
+    f"""SELECT id, CASE WHEN {_MINE} AND id::BIGINT % 18 = 0 THEN 'Ultima' WHEN {_MINE} AND id::BIGINT % 3 = 0 THEN 'Rinominata' ELSE name END AS name,
+        CASE WHEN {_MINE} AND id::BIGINT % 10 = 0 THEN 'Seconda' ELSE story END AS story, CASE WHEN {_MINE} THEN '{AS_OF}' END AS updated_at FROM cards""")
 _doomed = lambda c: c.filter(F.col("id").cast("bigint") % 5 == 0).select("id", F.when(F.col("id").cast("bigint") % 2 == 0, F.col("user_id")).otherwise("stranger").alias("user_id"))
 add("mut_2_delete_cards", "cards", lambda c: mutations.delete_cards(c, _doomed(c)).select("id", "user_id"), "SELECT id, user_id FROM cards WHERE id::BIGINT % 10 <> 0")
 add("agg_1_mutation_counts", "cards", lambda c: rollups.mutation_counts(c, _doomed(c), ["id", "user_id"]),

@@ -1,12 +1,14 @@
-"""One row of several, as aggregates with map-side combination, and names for helper columns."""
+"""One row of several, as aggregates with map-side combination; row numbers; names for helper columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.functions.scratch import new_path, written
+
 
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the table does not use yet (case is ignored, as Spark does)."""
@@ -34,3 +36,27 @@ def last_set(df: DataFrame, by: Sequence[str], fields: Sequence[str], order: Seq
     """
     known = lambda f: F.when(F.col(f"`{f}`").isNotNull(), _key([*order, f]))
     return df.groupBy(*(F.col(f"`{c}`") for c in by)).agg(*(F.max_by(F.col(f"`{f}`"), known(f)).alias(f) for f in fields))
+
+
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """Adds a gapless number from 0 within each group of rows that agree in `by`, in the given order.
+
+    Range partitions on group and order (a hash splits rows that agree in all) are written once with their partition
+    number; each numbers its own rows of a group, and a running sum of the counts tells where it starts. So a group is
+    never held by one task, whatever its share of the rows.
+    """
+    salt, part, n, start, row = (free_name(df, x) for x in ("salt", "part", "n", "start", "row"))
+    keys = [F.col(f"`{b}`") for b in by]
+    sort = [*(F.col(f"`{o}`") if isinstance(o, str) else o for o in order), F.col(salt)]
+    ranged = df.withColumn(salt, F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*keys, *sort)
+    ranged = written(ranged.withColumn(part, F.spark_partition_id()), new_path(df.sparkSession, "ranged"))
+    counts = ranged.groupBy(part, *keys).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(part, *keys, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    own = Window.partitionBy(part, *by).orderBy(*sort)
+    left, right = ranged.withColumn(row, F.row_number().over(own) - 1).alias("l"), starts.alias("r")
+    same = F.col(f"l.{part}") == F.col(f"r.{part}")
+    for b in by:
+        same = same & F.col(f"l.`{b}`").eqNullSafe(F.col(f"r.`{b}`"))
+    out = left.join(right, same)
+    return out.select(*(F.col(f"l.`{c}`") for c in df.columns), (F.col(f"r.{start}") + F.col(f"l.{row}")).alias(name))

@@ -5,9 +5,12 @@ Attributes are parsed as a map of variants, which keeps the order of keys (a top
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.functions.rows import free_name
 from cardloom.functions.text import filled, plain_number, strip
 from cardloom.operators.projections import attribute_label
 
@@ -57,32 +60,49 @@ def explode_attributes(cards: DataFrame) -> DataFrame:
 
 def ability_block(cards: DataFrame, public: bool = False) -> DataFrame:
     """Adds abilities, array<struct<key, value>>: present and not empty (public view: not blank)."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), text_of(F.try_element_at("_map", F.lit(k))).alias("value")) for k in ABILITIES))
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), text_of(F.try_element_at(parsed(F.col("attributes")), F.lit(k))).alias("value")) for k in ABILITIES))
     seen = (lambda x: strip(x["value"]) != "") if public else (lambda x: x["value"] != "")
-    return cards.withColumn("_map", parsed(F.col("attributes"))).withColumn("abilities", F.filter(pairs, seen)).drop("_map")
+    return cards.withColumn("abilities", F.filter(pairs, seen))
 
 
-def _sections(cards: DataFrame, public: bool) -> DataFrame:
-    """id, section, key, label, item, text: scalars, list items and objects of a stat block."""
-    rows = explode_attributes(cards).withColumn("text", text_of(F.col("value")))
-    shown = strip(F.col("text")) != "" if public else F.col("text") != ""
-    scalars = rows.filter((F.col("kind") == "scalar") & shown & ~F.col("key").isin(*ABILITIES)).select("id", F.lit("scalar").alias("section"), "pos", "key", F.lit(0).alias("item"), "text")
-    items = rows.filter("kind = 'string-list'").select("id", "pos", "key", F.posexplode(F.filter(F.try_variant_get("value", "$", "array<string>"), lambda x: strip(x) != "")).alias("item", "text"))
-    items = items.select("id", F.lit("list").alias("section"), "pos", "key", "item", "text")
-    objects = rows.filter("kind = 'object-list'")
-    if not public:
-        objects = objects.filter(F.col("key") != SLOTS)
-    objects = objects.select("id", "pos", "key", F.posexplode(F.try_variant_get("value", "$", "array<map<string,string>>")).alias("item", "o"))
-    of = lambda *names: F.coalesce(*(filled(F.try_element_at("o", F.lit(n))) for n in names))
+def _entry(section: str, pos: Column, key: Column, item: Column, text: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), pos.cast("int").alias("pos"), key.alias("key"), item.cast("int").alias("item"), text.alias("text"))
+
+
+def _object_text(o: Column, public: bool) -> Column:
+    """What is printed for an object of a list: name and description; the public view knows spell slots too."""
+    of = lambda *names: F.coalesce(*(filled(F.try_element_at(o, F.lit(n))) for n in names))
     name, body = of("nome", "name"), of("descrizione", "description")
-    if public:
-        head = F.when(name.isNotNull(), F.concat(name, F.lit(". "))).otherwise(F.concat(F.lit("Liv. "), F.coalesce(F.try_element_at("o", F.lit("livello")), F.lit("undefined")), F.lit(": ")))
-        slots = filled(F.try_element_at("o", F.lit("totale")))
-        body = F.coalesce(body, F.concat(F.when(slots != "0", slots), F.lit(" slot")), F.lit(""))
-    else:
-        head, body = F.concat(F.coalesce(name, F.lit("")), F.lit(". ")), F.coalesce(body, F.lit(""))
-    objects = objects.select("id", F.lit("object").alias("section"), "pos", "key", "item", F.concat(head, body).alias("text"))
-    return scalars.unionByName(items).unionByName(objects).withColumn("label", attribute_label(F.col("key")))
+    if not public:
+        return F.concat(F.coalesce(name, F.lit("")), F.lit(". "), F.coalesce(body, F.lit("")))
+    head = F.when(name.isNotNull(), F.concat(name, F.lit(". "))).otherwise(F.concat(F.lit("Liv. "), F.coalesce(F.try_element_at(o, F.lit("livello")), F.lit("undefined")), F.lit(": ")))
+    slots = filled(F.try_element_at(o, F.lit("totale")))
+    return F.concat(head, F.coalesce(body, F.concat(F.when(slots != "0", slots), F.lit(" slot")), F.lit("")))
+
+
+def _block_entries(attributes: Column, public: bool) -> Column:
+    """array<struct<section, pos, key, item, text>> of a stat block: scalars, list items and objects, in one pass over the map."""
+    empty = F.filter(F.array(_entry("scalar", F.lit(0), F.lit(""), F.lit(0), F.lit(""))), lambda _: F.lit(False))
+
+    def of(e: Column, pos: Column) -> Column:
+        key, value = e["key"], e["value"]
+        kind, text = kind_of(value), text_of(value)
+        shown = (strip(text) != "" if public else text != "") & ~key.isin(*ABILITIES)
+        items = F.filter(F.try_variant_get(value, "$", "array<string>"), lambda x: strip(x) != "")
+        objects = F.try_variant_get(value, "$", "array<map<string,string>>")
+        told = kind == "object-list" if public else (kind == "object-list") & (key != SLOTS)
+        return (
+            F.when((kind == "scalar") & shown, F.array(_entry("scalar", pos, key, F.lit(0), text)))
+            .when(kind == "string-list", F.transform(items, lambda x, i: _entry("list", pos, key, i, x)))
+            .when(told, F.transform(objects, lambda o, i: _entry("object", pos, key, i, _object_text(o, public))))
+        )
+
+    return F.flatten(F.transform(F.map_entries(parsed(attributes)), lambda e, i: F.coalesce(of(e, i), empty)))
+
+
+def _sections(cards: DataFrame, public: bool) -> DataFrame:
+    """id, section, pos, key, item, text, label of a stat block."""
+    return cards.select("id", F.inline(_block_entries(F.col("attributes"), public))).withColumn("label", attribute_label(F.col("key")))
 
 
 def stat_block(cards: DataFrame) -> DataFrame:
@@ -96,38 +116,40 @@ def public_stat_block(cards: DataFrame) -> DataFrame:
 
 def quick_stats(cards: DataFrame) -> DataFrame:
     """Adds show_abilities and quick, array<struct<key, value>> of at most six fields."""
-    cards = cards.withColumn("_map", parsed(F.col("attributes")))
-    texts = F.transform(F.map_entries("_map"), lambda e: F.struct(e["key"].alias("key"), F.when(kind_of(e["value"]) == "scalar", text_of(e["value"])).alias("value")))
-    cards = cards.withColumn("_shown", F.filter(texts, lambda e: strip(e["value"]) != ""))
+    texts = F.transform(F.map_entries(parsed(F.col("attributes"))), lambda e: F.struct(e["key"].alias("key"), F.when(kind_of(e["value"]) == "scalar", text_of(e["value"])).alias("value")))
+    shown = free_name(cards, "shown")
+    cards = cards.withColumn(shown, F.filter(texts, lambda e: strip(e["value"]) != ""))
     table = F.create_map(*(x for t, names in QUICK_FIELDS.items() for x in (F.lit(t), F.array(*map(F.lit, names)))))
     wanted = F.coalesce(F.try_element_at(table, F.col("type")), F.array().cast("array<string>"))
-    named = F.flatten(F.transform(wanted, lambda k: F.filter("_shown", lambda e: e["key"] == k)))
-    abilities = F.col("type").isin("monster", "character") & F.exists("_shown", lambda e: e["key"].isin(*ABILITIES))
-    others = F.slice(F.filter("_shown", lambda e: ~e["key"].isin(*ABILITIES)), 1, 4)
-    cards = cards.withColumn("show_abilities", abilities).withColumn("_named", named)
-    quick = F.when((F.size("_named") == 0) & ~F.col("show_abilities"), others).otherwise(F.slice("_named", 1, 6))
-    return cards.withColumn("quick", quick).drop("_map", "_shown", "_named")
+    named = F.flatten(F.transform(wanted, lambda k: F.filter(shown, lambda e: e["key"] == k)))
+    abilities = F.col("type").isin("monster", "character") & F.exists(shown, lambda e: e["key"].isin(*ABILITIES))
+    others = F.slice(F.filter(shown, lambda e: ~e["key"].isin(*ABILITIES)), 1, 4)
+    quick = F.when((F.size(named) == 0) & ~abilities, others).otherwise(F.slice(named, 1, 6))
+    return cards.withColumns({"show_abilities": abilities, "quick": quick}).drop(shown)
 
 
 def sheet_header(cards: DataFrame) -> DataFrame:
     """Adds header: race, class and level, where they are set (a numeric 0 is not)."""
-    get = lambda k: F.try_element_at("_map", F.lit(k))
+    get = lambda k: F.try_element_at(parsed(F.col("attributes")), F.lit(k))
     number = lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL)") & (text_of(v).try_cast("double") == 0)
     value = lambda k: F.when(~F.coalesce(number(get(k)), F.lit(False)), filled(text_of(get(k))))
-    header = F.concat_ws(" · ", value("razza"), value("classe"), F.concat(F.lit("Livello "), value("livello")))
-    return cards.withColumn("_map", parsed(F.col("attributes"))).withColumn("header", header).drop("_map")
+    return cards.withColumn("header", F.concat_ws(" · ", value("razza"), value("classe"), F.concat(F.lit("Livello "), value("livello"))))
 
 
 def character_sheet(cards: DataFrame) -> DataFrame:
     """id, section, key, item, text of a printable sheet: abilities with a dash for missing ones, scalars, list items, slots."""
-    base = cards.select("id", parsed(F.col("attributes")).alias("_map"))
-    value = lambda k: filled(text_of(F.try_element_at("_map", F.lit(k))))
-    abilities = base.select("id", F.posexplode(F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(value(k), F.lit("—")).alias("text")) for k in ABILITIES))).alias("item", "a"))
-    abilities = abilities.select("id", F.lit("ability").alias("section"), "a.key", "item", "a.text")
-    rest = _sections(cards, public=False).filter("section <> 'object'").select("id", "section", "key", "item", "text")
-    slots = _slots(cards).select("id", F.lit("slot").alias("section"), F.lit(SLOTS).alias("key"), "item", F.concat(
-        F.lit("Livello "), F.coalesce("level", (F.col("item") + 1).cast("string")), F.lit(": "), F.coalesce(F.try_element_at("o", F.lit("totale")), F.lit("undefined")), F.lit(" slot")).alias("text"))
-    return abilities.unionByName(rest).unionByName(slots)
+    attributes, none = F.col("attributes"), F.lit(0)
+    value = lambda k: filled(text_of(F.try_element_at(parsed(attributes), F.lit(k))))
+    abilities = F.array(*(_entry("ability", none, F.lit(k), F.lit(i), F.coalesce(value(k), F.lit("—"))) for i, k in enumerate(ABILITIES)))
+    rest = F.filter(_block_entries(attributes, public=False), lambda e: e["section"] != "object")
+
+    def slot(v: Column, i: Column) -> Column:
+        total = F.try_variant_get(F.try_element_at(v, F.lit("totale")), "$", "string")
+        level = F.coalesce(_truthy(v, "livello"), (i + 1).cast("string"))
+        return _entry("slot", none, F.lit(SLOTS), i, F.concat(F.lit("Livello "), level, F.lit(": "), F.coalesce(total, F.lit("undefined")), F.lit(" slot")))
+
+    rows = cards.select("id", F.inline(F.concat(abilities, rest, F.transform(_slot_list(attributes), slot))))
+    return rows.select("id", "section", "key", "item", "text")
 
 
 def _truthy(o: Column, name: str) -> Column:
@@ -142,46 +164,80 @@ def _slot_list(attributes: Column) -> Column:
     return F.coalesce(F.try_variant_get(F.try_element_at(parsed(attributes), F.lit(SLOTS)), "$", "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))
 
 
-def _slots(cards: DataFrame) -> DataFrame:
-    """id, item, o (map of texts), level (null if not set): every slot."""
-    rows = cards.select("id", F.posexplode(_slot_list(F.col("attributes"))).alias("item", "v"))
-    return rows.select("id", "item", F.transform_values("v", lambda _, x: F.try_variant_get(x, "$", "string")).alias("o"), _truthy(F.col("v"), "livello").alias("level"))
+def _set_slots(attributes: Column) -> Column:
+    """The slots that have a level or a total, as array<map<string, variant>>; positions count after that filter."""
+    return F.filter(_slot_list(attributes), lambda s: _truthy(s, "livello").isNotNull() | _truthy(s, "totale").isNotNull())
+
+
+def _slot_number(slot: Column, name: str) -> Column:
+    return plain_number(F.coalesce(F.try_variant_get(F.try_element_at(slot, F.lit(name)), "$", "string"), F.lit("")))
 
 
 def slot_table(cards: DataFrame) -> DataFrame:
     """id, item, level, total, used, remaining of slots that have a level or a total; positions count after that filter."""
-    kept = F.filter(_slot_list(F.col("attributes")), lambda s: _truthy(s, "livello").isNotNull() | _truthy(s, "totale").isNotNull())
-    rows = cards.select("id", F.posexplode(kept).alias("item", "v"))
-    number = lambda k: plain_number(F.coalesce(F.try_variant_get(F.try_element_at("v", F.lit(k)), "$", "string"), F.lit("")))
-    out = rows.select("id", "item", F.coalesce(_truthy(F.col("v"), "livello"), (F.col("item") + 1).cast("string")).alias("level"), number("totale").alias("total"), number("usati").alias("used"))
+    rows = cards.select("id", F.posexplode(_set_slots(F.col("attributes"))).alias("item", "v"))
+    level = F.coalesce(_truthy(F.col("v"), "livello"), (F.col("item") + 1).cast("string"))
+    out = rows.select("id", "item", level.alias("level"), _slot_number(F.col("v"), "totale").alias("total"), _slot_number(F.col("v"), "usati").alias("used"))
     return out.withColumn("remaining", F.col("total") - F.col("used"))
 
 
-def spend_slots(slots: DataFrame, actions: DataFrame) -> DataFrame:
-    """slots (id, item, total, used) after actions (id, item, delta): used is kept between 0 and total."""
-    met = slots.join(actions, ["id", "item"], "left")
-    used = F.greatest(F.lit(0.0), F.least(F.col("total"), F.col("used") + F.col("delta")))
-    return met.withColumn("used", F.when(F.col("delta").isNull(), F.col("used")).otherwise(used)).drop("delta").withColumn("remaining", F.col("total") - F.col("used"))
+def _with_used(attributes: Column, used: Callable[[Column, Column], Column]) -> Column:
+    """Attributes as JSON text once each set slot has used(slot, position); text without such slots stays as it is.
 
+    Slots without level and total go, as a client that writes its list back leaves them out.
+    """
+    def spent(slot: Column, i: Column) -> Column:
+        number = used(slot, i)
+        value = F.when(number == F.floor(number), number.cast("bigint").cast("variant")).otherwise(number.cast("variant"))
+        return F.map_concat(F.map_filter(slot, lambda k, _: k != "usati"), F.create_map(F.lit("usati"), value))
 
-def long_rest(slots: DataFrame) -> DataFrame:
-    return slots.withColumn("used", F.lit(0.0)).withColumn("remaining", F.col("total"))
+    slots = _set_slots(attributes)
+    changed = F.transform_values(parsed(attributes), lambda k, v: F.when(k == SLOTS, F.to_variant_object(F.transform(slots, spent))).otherwise(v))
+    return F.when(F.size(slots) > 0, F.to_json(changed)).otherwise(attributes)
+
+
+def spend_slots(cards: DataFrame, actions: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Cards after actions (id, item, delta), one after another in the given order: a slot's `usati` stays between 0 and
+    its total. Actions on slots that are not there change nothing. A card's actions are folded as one list.
+    """
+    moves = F.sort_array(F.collect_list(F.struct(*order, "item", F.col("delta").cast("double").alias("delta"))))
+    by_card = actions.filter("item is not null and delta is not null").groupBy(F.col("id").alias("of")).agg(moves.alias("moves"))
+    now = cards.alias("now").join(by_card.alias("log"), F.col("now.id") == F.col("log.of"), "left")
 
+    def used(slot: Column, i: Column) -> Column:
+        own = F.filter("log.moves", lambda m: m["item"] == i)
+        clamp = lambda u, m: F.greatest(F.lit(0.0), F.least(_slot_number(slot, "totale"), u + m["delta"]))
+        return F.aggregate(own, _slot_number(slot, "usati"), clamp)
 
-def edit_attributes(cards: DataFrame, edits: DataFrame) -> DataFrame:
-    """attributes (map<string, string>, key order kept) after one edit per card: action set, remove or add (id, action, key, value).
+    spent = F.when(F.col("log.moves").isNull(), F.col("now.attributes")).otherwise(_with_used(F.col("now.attributes"), used))
+    return now.select(*((spent if c == "attributes" else F.col(f"now.`{c}`")).alias(c) for c in cards.columns))
 
-    `add` takes the first free campo_1, campo_2, ...
+
+def long_rest(cards: DataFrame) -> DataFrame:
+    """Cards whose slots are all unused again."""
+    return cards.withColumn("attributes", _with_used(F.col("attributes"), lambda _, __: F.lit(0.0)))
+
+
+def edit_attributes(cards: DataFrame, edits: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """id, attributes (map<string, string>, key order kept) after a log of edits (id, action, key, value): set, remove
+    or add, one after another in the given order. A card's edits are folded as one list.
+
+    `add` takes the first free campo_1, campo_2, ...; set and remove without key change nothing.
     """
-    now = F.coalesce(F.from_json("attributes", "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
-    met = cards.select("id", now.alias("_map")).join(edits, "id", "left")
-    free = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.size("_map") + 1), lambda i: F.concat(F.lit("campo_"), i.cast("string"))), lambda k: ~F.map_contains_key("_map", k)), F.lit(0))
-    key = F.when(F.col("action") == "add", free).otherwise(F.col("key"))
-    met = met.withColumn("_key", key).withColumn("_value", F.when(F.col("action") == "add", "").otherwise(F.col("value")))
-    replaced = F.transform_values("_map", lambda k, v: F.when(k == F.col("_key"), F.col("_value")).otherwise(v))
-    put = F.when(F.map_contains_key("_map", F.col("_key")), replaced).otherwise(F.map_concat("_map", F.create_map("_key", "_value")))
-    out = F.when(F.col("action").isNull(), F.col("_map")).when(F.col("action") == "remove", F.map_filter("_map", lambda k, _: k != F.col("_key"))).otherwise(put)
-    return met.select("id", out.alias("attributes"))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    steps = F.sort_array(F.collect_list(F.struct(*order, "action", "key", "value")))
+    log = edits.filter("action = 'add' or key is not null").groupBy("id").agg(steps.alias("steps"))
+
+    def apply(m: Column, e: Column) -> Column:
+        names = F.transform(F.sequence(F.lit(1), F.size(m) + 1), lambda i: F.concat(F.lit("campo_"), i.cast("string")))
+        free = F.get(F.filter(names, lambda k: ~F.map_contains_key(m, k)), F.lit(0))
+        put = F.when(F.map_contains_key(m, e["key"]), F.transform_values(m, lambda k, v: F.when(k == e["key"], e["value"]).otherwise(v))).otherwise(
+            F.map_concat(m, F.create_map(e["key"], e["value"])))
+        return F.when(e["action"] == "add", F.map_concat(m, F.create_map(free, F.lit("")))).when(e["action"] == "remove", F.map_filter(m, lambda k, _: k != e["key"])).when(
+            e["action"] == "set", put).otherwise(m)
+
+    met = cards.select("id", F.coalesce(F.from_json("attributes", "map<string,string>"), none).alias("now")).join(log, "id", "left")
+    return met.select("id", F.when(F.col("steps").isNull(), F.col("now")).otherwise(F.aggregate("steps", F.col("now"), apply)).alias("attributes"))
 
 
 def lines_to_list(text: Column) -> Column:
@@ -200,11 +256,12 @@ def parse_generated(df: DataFrame, reply: str = "reply") -> DataFrame:
     text = strip(F.col(reply))
     fenced = F.split_part(text, F.lit("```"), F.lit(2))
     fenced = F.when(fenced.startswith("json"), F.substr(fenced, F.lit(5))).otherwise(fenced)
-    df = df.withColumn("_t", strip(F.when(text.startswith("```"), fenced).otherwise(text)))
-    start, back = F.locate("{", F.col("_t")), F.locate("}", F.reverse("_t"))
-    cut = F.when((start > 0) & (back > 0), F.substr("_t", start, F.length("_t") - back - start + 2)).otherwise(F.col("_t"))
-    df = df.withColumn("_v", F.try_parse_json(cut)).withColumn("ok", F.col("_v").isNotNull())
-    get = lambda k: F.try_variant_get("_v", f"$.{k}", "string")
+    t, v = free_name(df, "bare"), free_name(df, "parsed")
+    df = df.withColumn(t, strip(F.when(text.startswith("```"), fenced).otherwise(text)))
+    start, back = F.locate("{", F.col(t)), F.locate("}", F.reverse(t))
+    cut = F.when((start > 0) & (back > 0), F.substr(t, start, F.length(t) - back - start + 2)).otherwise(F.col(t))
+    df = df.withColumn(v, F.try_parse_json(cut)).withColumn("ok", F.col(v).isNotNull())
+    get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
     out = {k: F.when(F.col("ok"), F.coalesce(get(k), F.lit(""))) for k in ("name", "description", "story")}
     out["attributes"] = F.when(F.col("ok"), F.coalesce(get("attributes"), F.lit("{}")))
-    return df.withColumns(out).drop("_t", "_v")
+    return df.withColumns(out).drop(t, v)

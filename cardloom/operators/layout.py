@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.functions.rows import free_name, number_rows
+
 # Card width and height in mm, columns and rows of an A4 page, by format.
 FORMATS = {"mini": (44.0, 61.6, 4, 4), "standard": (63.0, 88.2, 3, 3), "grande": (86.0, 120.4, 2, 2)}
 PAGE_WIDTH, PAGE_HEIGHT, GAP = 210.0, 297.0, 3.0
@@ -24,9 +26,9 @@ def _place(df: DataFrame, fmt: str, side: str) -> DataFrame:
 def impose(chosen: DataFrame, fmt: str = "standard") -> DataFrame:
     """Adds page, slot, row, col, x, y, side to (user_id, id, created_at): newest first, per owner, from page 0."""
     per_page = FORMATS[fmt][2] * FORMATS[fmt][3]
-    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "id")
-    numbered = chosen.withColumn("_n", F.row_number().over(order) - 1)
-    placed = numbered.withColumns({"page": F.floor(F.col("_n") / per_page).cast("int"), "slot": (F.col("_n") % per_page).cast("int")}).drop("_n")
+    n = free_name(chosen, "n")
+    numbered = number_rows(chosen, ["user_id"], [F.desc("created_at"), "id"], n)
+    placed = numbered.withColumns({"page": F.floor(F.col(n) / per_page).cast("int"), "slot": (F.col(n) % per_page).cast("int")}).drop(n)
     return _place(placed, fmt, "front")
 
 
@@ -36,10 +38,18 @@ def impose_backs(imposed: DataFrame, fmt: str = "standard") -> DataFrame:
     return imposed.withColumn("sheet", F.col("page") * 2).unionByName(backs.withColumn("sheet", F.col("page") * 2 + 1))
 
 
-def render_steps(placed: DataFrame) -> DataFrame:
-    """Adds step from 1: all fronts of a page, then its backs."""
-    order = Window.partitionBy("user_id").orderBy("page", F.desc("side"), "slot")
-    return placed.withColumn("step", F.row_number().over(order))
+def render_steps(placed: DataFrame, fmt: str = "standard") -> DataFrame:
+    """Adds step from 1 to what impose_backs() gives: all fronts of a page, then its backs.
+
+    All pages but an owner's last are full, so a step follows from page, side and slot; only the backs of the last page
+    need the number of its cards, a count by owner.
+    """
+    per_page = FORMATS[fmt][2] * FORMATS[fmt][3]
+    counts = placed.filter("side = 'front'").groupBy(F.col("user_id").alias("owner")).agg(F.count(F.lit(1)).alias("cards")).alias("all")
+    met = placed.alias("one").join(counts, F.col("one.user_id").eqNullSafe(F.col("all.owner")))
+    on_page = F.least(F.lit(per_page), F.col("all.cards") - F.col("one.page") * per_page)
+    step = F.col("one.page") * 2 * per_page + F.when(F.col("one.side") == "back", on_page).otherwise(0) + F.col("one.slot") + 1
+    return met.select("one.*", step.cast("int").alias("step"))
 
 
 def crop_marks(imposed: DataFrame, fmt: str = "standard") -> DataFrame:
@@ -73,4 +83,5 @@ def debounce(events: DataFrame, milliseconds: int = 250) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     after = F.lead("ts").over(order)
     late = after.isNull() | (F.timestamp_diff("MICROSECOND", F.col("ts"), after) > milliseconds * 1000)
-    return events.withColumn("_last", late).filter("_last").drop("_last")
+    last = free_name(events, "last")
+    return events.withColumn(last, late).filter(last).drop(last)

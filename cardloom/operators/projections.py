@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,48 +35,52 @@ ATTRIBUTE_LABELS = {
 }
 MIME_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp"}
 
-# Attribute keys of each card type, in order; a bracket marks a list, braces a list of objects.
+_OBJECT = {"nome": "", "descrizione": ""}
+
+# The empty attributes of each card type, in order.
 TEMPLATES = {
-    "spell": "livello scuola azione tempo_lancio gittata area componenti durata concentrazione danno effetto",
-    "class": "dado_vita abilita_primaria tiri_salvezza competenze [caratteristiche]",
-    "race": "bonus_caratteristiche velocita taglia linguaggi [tratti]",
-    "weapon": "danno tipo_danno proprieta peso costo categoria",
-    "feat": "prerequisito [benefici]",
-    "monster": "classe_armatura punti_ferita velocita for des cos int sag car tiri_salvezza resistenze vulnerabilita immunita sensi linguaggi grado_sfida {azioni}",
-    "character": "classe razza livello for des cos int sag car bonus_competenza classe_armatura punti_ferita cd_incantesimi competenze [abilita_sottoclasse] [slot_incantesimi]",
-    "custom": "",
+    "spell": {
+        "livello": "", "scuola": "", "azione": "", "tempo_lancio": "", "gittata": "", "area": "", "componenti": "", "durata": "",
+        "concentrazione": "", "danno": "", "effetto": "",
+    },
+    "class": {"dado_vita": "", "abilita_primaria": "", "tiri_salvezza": "", "competenze": "", "caratteristiche": []},
+    "race": {"bonus_caratteristiche": "", "velocita": "", "taglia": "", "linguaggi": "", "tratti": []},
+    "weapon": {"danno": "", "tipo_danno": "", "proprieta": "", "peso": "", "costo": "", "categoria": ""},
+    "feat": {"prerequisito": "", "benefici": []},
+    "monster": {
+        "classe_armatura": "", "punti_ferita": "", "velocita": "", "for": "", "des": "", "cos": "", "int": "", "sag": "", "car": "",
+        "tiri_salvezza": "", "resistenze": "", "vulnerabilita": "", "immunita": "", "sensi": "", "linguaggi": "", "grado_sfida": "",
+        "azioni": [_OBJECT],
+    },
+    "character": {
+        "classe": "", "razza": "", "livello": "", "for": "", "des": "", "cos": "", "int": "", "sag": "", "car": "", "bonus_competenza": "",
+        "classe_armatura": "", "punti_ferita": "", "cd_incantesimi": "", "competenze": "", "abilita_sottoclasse": [], "slot_incantesimi": [],
+    },
+    "custom": {},
+}
+# What a text prompt shows instead of an empty field.
+PROMPT_SEEDS = {
+    "spell": {
+        "azione": "(Azione, Azione bonus o Reazione)", "area": "(es. Sfera 6 m, oppure - se a bersaglio singolo)", "concentrazione": "(Sì o No)",
+        "danno": "(es. 8d6 fuoco, oppure - se non infligge danni)",
+    },
+    "class": {"caratteristiche": ["tratto1", "tratto2"]},
+    "race": {"tratti": ["tratto1", "tratto2"]},
+    "feat": {"benefici": ["beneficio1", "beneficio2"]},
+    "character": {"abilita_sottoclasse": ["abilita1"], "slot_incantesimi": [{"livello": 1, "totale": 2}]},
+    "custom": {"campo1": "", "campo2": ""},
 }
 
 
 def template_json(card_type: str) -> str:
     """The empty attributes of a card type, as JSON text in key order."""
-    def one(key: str) -> str:
-        if key[0] == "[":
-            return f'"{key[1:-1]}":[]'
-        if key[0] == "{":
-            return f'"{key[1:-1]}":[{{"nome":"","descrizione":""}}]'
-        return f'"{key}":""'
-
-    return "{" + ",".join(map(one, TEMPLATES[card_type].split())) + "}"
-
-
-# The seeds that prompts show for the fields of each type; other fields are shown empty.
-PROMPT_SEEDS = {
-    ("spell", "azione"): "(Azione, Azione bonus o Reazione)", ("spell", "area"): "(es. Sfera 6 m, oppure - se a bersaglio singolo)",
-    ("spell", "concentrazione"): "(Sì o No)", ("spell", "danno"): "(es. 8d6 fuoco, oppure - se non infligge danni)",
-    ("class", "caratteristiche"): '["tratto1", "tratto2"]', ("race", "tratti"): '["tratto1", "tratto2"]',
-    ("feat", "benefici"): '["beneficio1", "beneficio2"]', ("monster", "azioni"): '[{"nome": "", "descrizione": ""}]',
-    ("character", "abilita_sottoclasse"): '["abilita1"]', ("character", "slot_incantesimi"): '[{"livello": 1, "totale": 2}]',
-}
+    return json.dumps(TEMPLATES[card_type], ensure_ascii=False, separators=(",", ":"))
 
 
 def prompt_schema(card_type: str) -> str:
     """The attribute template that a text prompt asks for."""
-    if card_type == "custom":
-        return '"attributes": {"campo1": "", "campo2": ""}'
-    keys = [k.strip("[]{}") for k in TEMPLATES[card_type].split()]
-    seeds = {k: PROMPT_SEEDS.get((card_type, k), "") for k in keys}
-    return '"attributes": {' + ", ".join(f'"{k}": {v}' if v[:1] == "[" else f'"{k}": "{v}"' for k, v in seeds.items()) + "}"
+    shown = TEMPLATES[card_type] | PROMPT_SEEDS.get(card_type, {})
+    return f'"attributes": {json.dumps(shown, ensure_ascii=False)}'
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict) -> DataFrame:

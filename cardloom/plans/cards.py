@@ -121,21 +121,37 @@ _NUM = lambda k: f"coalesce(try_cast(json_extract_string(o, '$.{k}') AS DOUBLE),
 _TABLE = f"""{_SLOT}, f AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY item) - 1 AS item, o FROM x WHERE {_SET('livello')} IS NOT NULL OR {_SET('totale')} IS NOT NULL),
         t AS (SELECT id, item, coalesce({_SET('livello')}, (item + 1)::VARCHAR) AS level, {_NUM('totale')} AS total, {_NUM('usati')} AS used FROM f)"""
 add("att_8_slot_table", "cards", att.slot_table, f"WITH {_TABLE} SELECT id, item::INT AS item, level, total, used, total - used AS remaining FROM t")
-add("att_9_spend_slots", "cards", lambda c: att.spend_slots(att.slot_table(c), c.select("id", F.lit(1).alias("item"), F.lit(2.0).alias("delta"))).select("id", "item", "level", "total", "used", "remaining"),
-    f"WITH {_TABLE}, u AS (SELECT id, item, level, total, CASE WHEN item = 1 THEN greatest(0, least(total, used + 2)) ELSE used END AS used FROM t) SELECT id, item::INT AS item, level, total, used, total - used AS remaining FROM u")
-add("att_10_long_rest", "cards", lambda c: att.long_rest(att.slot_table(c)), f"WITH {_TABLE} SELECT id, item::INT AS item, level, total, 0.0::DOUBLE AS used, total AS remaining FROM t")
+
+
+def _actions(c):
+    """Three clicks on the second slot of each card: 2 more, 5 fewer, 1 more; and one on a slot that isn't there."""
+    log = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(item).alias("item"), F.lit(delta).alias("delta")) for i, (item, delta) in enumerate(((1, 2.0), (1, -5.0), (1, 1.0), (7, 1.0)))))
+    return c.select("id", F.inline(log))
+
+
+_SLOTS_NOW = ("id", "item", "level", "total", "used", "remaining")
+_WRITTEN = "id, item::INT AS item, level, total, used, total - used AS remaining FROM u"
+_CLICKED = "greatest(0, least(total, greatest(0, least(total, greatest(0, least(total, used + 2)) - 5)) + 1))"
+add("att_9_spend_slots", "cards", lambda c: att.slot_table(att.spend_slots(c, _actions(c), ["seq"])).select(*_SLOTS_NOW),
+    f"WITH {_TABLE}, u AS (SELECT id, item, level, total, CASE WHEN item = 1 THEN {_CLICKED} ELSE used END AS used FROM t) SELECT {_WRITTEN}")
+add("att_10_long_rest", "cards", lambda c: att.slot_table(att.long_rest(c)).select(*_SLOTS_NOW),
+    f"WITH {_TABLE}, u AS (SELECT id, item, level, total, 0.0::DOUBLE AS used FROM t) SELECT {_WRITTEN}")
 
 
 def _edits(c):
+    """A log of up to three edits a card, in the order of seq."""
     n = F.col("id").cast("bigint")
-    edits = c.filter(n % 4 != 3).select("id", F.when(n % 4 == 0, "set").when(n % 4 == 1, "remove").otherwise("add").alias("action"), F.lit("danno").alias("key"), F.lit("9d9").alias("value"))
-    return att.edit_attributes(c, edits).select("id", F.array_join(F.map_keys("attributes"), ",").alias("keys"), F.try_element_at("attributes", F.lit("danno")).alias("danno"))
+    one = lambda rows, seq, action, key, value: rows.select("id", F.lit(seq).alias("seq"), F.lit(action).alias("action"), F.lit(key).alias("key"), F.lit(value).alias("value"))
+    edits = one(c.filter(n % 4 == 0), 1, "set", "danno", "9d9").unionByName(one(c.filter(n % 4 == 1), 1, "remove", "danno", None)).unionByName(one(c.filter(n % 4 == 2), 1, "add", None, None))
+    edits = edits.unionByName(one(c.filter(n % 4 == 2), 2, "add", None, None)).unionByName(one(c.filter(n % 8 == 1), 2, "set", "danno", "1d1")).unionByName(one(c.filter(n % 4 == 2), 3, "remove", "campo_1", None))
+    return att.edit_attributes(c, edits, ["seq"]).select("id", F.array_join(F.map_keys("attributes"), ",").alias("keys"), F.try_element_at("attributes", F.lit("danno")).alias("danno"))
 
 
 add("att_11_edit_attributes", "cards", _edits,
-    f"""WITH k AS (SELECT id, id::BIGINT % 4 AS m, json_keys(attributes) AS ks, {_J('danno')} AS danno FROM cards)
-        SELECT id, array_to_string(CASE WHEN m = 0 AND NOT list_contains(ks, 'danno') THEN list_append(ks, 'danno') WHEN m = 1 THEN list_filter(ks, lambda x: x <> 'danno') WHEN m = 2 THEN list_append(ks, 'campo_1') ELSE ks END, ',') AS keys,
-        CASE m WHEN 0 THEN '9d9' WHEN 1 THEN NULL ELSE danno END AS danno FROM k""")
+    f"""WITH k AS (SELECT id, id::BIGINT % 8 AS m, json_keys(attributes) AS ks, {_J('danno')} AS danno FROM cards), r AS (SELECT *, list_filter(ks, lambda x: x <> 'danno') AS without FROM k)
+        SELECT id, array_to_string(CASE WHEN m % 4 = 0 AND NOT list_contains(ks, 'danno') THEN list_append(ks, 'danno') WHEN m = 1 THEN list_append(without, 'danno') WHEN m = 5 THEN without
+            WHEN m % 4 = 2 THEN list_append(ks, 'campo_2') ELSE ks END, ',') AS keys,
+        CASE WHEN m % 4 = 0 THEN '9d9' WHEN m = 1 THEN '1d1' WHEN m = 5 THEN NULL ELSE danno END AS danno FROM r""")
 add("att_12_lines", "cards", lambda c: c.select("id", F.concat("name", F.lit("\n"), "type", F.lit("\n")).alias("t")).select("id", F.size(att.lines_to_list(F.col("t"))).cast("bigint").alias("n_items"), att.list_to_lines(att.lines_to_list(F.col("t"))).alias("lines")),
     "SELECT id, len(string_split(name || chr(10) || type || chr(10), chr(10)))::BIGINT AS n_items, name || chr(10) || type || chr(10) AS lines FROM cards")
 _nameless = lambda c: c.withColumn("name", F.when(F.col("id").cast("bigint") % 3 == 0, " ").otherwise(F.col("name")))
@@ -193,8 +209,8 @@ add("mut_10_merge_generated", "cards", lambda c: mutations.merge_generated(c, _g
 
 # ---------------------------------------------------------------- print sheets
 
-_CHOSEN = "c AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) - 1 AS n FROM cards WHERE id::BIGINT % 3 <> 0)"
-_chosen = lambda c: c.filter(F.col("id").cast("bigint") % 3 != 0).select("user_id", "id", "created_at")
+_CHOSEN = "c AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) - 1 AS n FROM cards)"
+_chosen = lambda c: c.select("user_id", "id", "created_at")  # noqa: E731  every card is printed
 _PLACED = f"""{_CHOSEN}, p AS (SELECT user_id, id, (n // 9)::INT AS page, (n % 9)::INT AS slot FROM c),
     f AS (SELECT *, (slot % 3)::INT AS col, (slot // 3)::INT AS row, 'front' AS side FROM p), b AS (SELECT *, (2 - slot % 3)::INT AS col, (slot // 3)::INT AS row, 'back' AS side FROM p),
     u AS (SELECT *, page * 2 AS sheet FROM f UNION ALL SELECT *, page * 2 + 1 AS sheet FROM b),
@@ -217,7 +233,7 @@ def _marks_sql() -> str:
 
 
 add("win_4_crop_marks", "cards", lambda c: layout.crop_marks(layout.impose(_chosen(c))), _marks_sql())
-add("agg_2_print_job_totals", "cards", lambda c: rollups.print_job_totals(_chosen(c)), "SELECT user_id, count(*) AS cards, ceil(count(*) / 9.0)::BIGINT AS pages, count(*) * 2 AS steps FROM cards WHERE id::BIGINT % 3 <> 0 GROUP BY user_id")
+add("agg_2_print_job_totals", "cards", lambda c: rollups.print_job_totals(_chosen(c)), "SELECT user_id, count(*) AS cards, ceil(count(*) / 9.0)::BIGINT AS pages, count(*) * 2 AS steps FROM cards GROUP BY user_id")
 
 # ---------------------------------------------------------------- mutations of cards
 

@@ -108,7 +108,7 @@ COLLECTIONS = {
     "keystrokes": lambda d: f"""select event_id, {d.at(d.micros('ts'))} as ts, 'user_' || cast(user_id as string) as user_id from {d.table('events')} where event_type = 'view'""",
     "selections": lambda d: f"""select event_id, {d.at(d.micros('ts'))} as ts, 'user_' || cast(user_id % 150 as string) as user_id,
         case event_type when 'click' then 'toggle' when 'purchase' then 'clear' else 'all' end as action, cast({d.k} * 150 + user_id % 150 as string) as card_id
-        from {d.table('events')} where event_type in ('click', 'purchase', 'signup') and (event_type = 'click' or event_id % 40 = 0)""",
+        from {d.table('events')} where event_type in ('click', 'purchase', 'signup')""",
     "builds": lambda d: f"""select event_id, {d.at(d.micros('ts'))} as ts, 'src_' || cast(user_id as string) as source, {_BUILD} as kind from {d.table('events')}""",
     "replies": lambda d: f"""select cast(conv_id as string) || '_' || cast(turn as string) as id, {_REPLY.replace('J', _REPLY_JSON)} as reply from {d.table('conversations')} where role = 'assistant'""",
     "failures": lambda d: f"""select conv_id, turn, coalesce(text, '') || case when conv_id % 3 = 0 then ' Quota reached' else '' end as message from {d.table('conversations')} where role = 'user'""",

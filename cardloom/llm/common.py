@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,10 +21,13 @@ _PACKAGE_ROOT = Path(__file__).resolve().parents[2]
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that driver and executors share: the one in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made and set.
+    Where that setting is missing, a temporary folder is made and set, but on one machine only (local mode): on a
+    cluster every executor would write into a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-cardloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cardloom-{spark.sparkContext.applicationId}"
@@ -31,10 +35,40 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared scratch folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+#: Spark then deletes a query's shuffle files when the query has ended, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one call, in a folder of their own that goes when the block ends; what the call returns
+    must be written with materialise() before that."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{scratch_dir(spark)}/call-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex}")
+
+    def __exit__(self, *error) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -72,21 +106,21 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
 
 
-def bitmap_of(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
     """One-hash Bloom filter over a long column, built by Spark's bitmap aggregate.
 
-    The result always has 2**bits bits (4 MB at 25) whatever the table's size; when it fills up it lets
-    more rows through, and the exact join that follows every use drops them.
+    16 bits or more for each key, at least 2**20 and at most 2**30 (128 MB, the most that is ever broadcast): beyond
+    67 million keys it lets more rows through, and the exact join that follows every use drops them.
     """
+    bits = min(30, max(20, (16 * keys.count()).bit_length()))
     position = F.pmod(F.col(column), F.lit(1 << bits))
     parts = (
         keys.select(position.alias("p"))
         .groupBy(F.expr("p div 32768").alias("part"))
         .agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
-        .collect()
     )
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in parts:
+    for row in parts.toLocalIterator():
         raw = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
         out[row["part"] * 4096 : row["part"] * 4096 + len(raw)] = raw
     return out
@@ -185,8 +219,9 @@ def ascii_words() -> np.ndarray:
     return kept
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Cut a string column into runs of whole texts of about limit bytes: first row, bytes, offsets from 0.
+def text_slices(column: pa.Array, limit: int = 1 << 22, rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Cut a string column into runs of whole texts, about limit bytes and at most so many rows each: first row, bytes,
+    offsets from 0.
 
     Nulls count as empty. One text longer than the limit is a run of its own.
     """
@@ -204,6 +239,6 @@ def text_slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, n
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, at + rows, max(at + 1, to))
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to

@@ -8,16 +8,17 @@ probability equal to the weighted Jaccard similarity. Columns hit too late to ma
 document costs its length plus the number of darts that fill all coordinates.
 
 Steps, all as joins on written tables:
-1. one Python pass over the texts makes content keys, band keys and a one-byte sketch of each coordinate;
+1. one Python pass over the texts makes content keys, band keys and a parity bitmap of the elements' hashes;
 2. equal content is collapsed to one representative;
 3. each bucket (band key) has a hub; a member is compared with the hub that it meets in most of its buckets;
 4. what the exact similarity of shingle multisets confirms is a link; links are contracted to components;
-5. buckets that still hold several components are searched again with 32, 1024, ... hashed hubs until every
-   member has been a hub or the bucket is one component. So no pair is lost to a cap on bucket sizes, and no
-   bucket emits all its pairs once its members are known to belong together. An exact bound goes first: elements
-   that only one of these documents holds can't be shared, which rules out most pairs that share a passage.
-Pairs whose sketches agree on less than 0.6 of the coordinates are not verified (over six standard deviations
-below 0.8). With 32 bands of 5 coordinates a pair of similarity 0.8 shares no bucket once in 300,000.
+5. members of buckets that still hold several components meet 16 hashed hubs of the bucket, links are contracted
+   again, and what is left in mixed buckets meets every member of another component, in blocks of 4,096. So no pair
+   is lost to a cap on bucket sizes, and members known to belong together are never paired.
+A pair is only verified if two exact bounds allow the similarity: sizes, and parity bitmaps. Each element that one
+set alone holds flips one bit, so two bitmaps differ in at most as many bits as the sets have elements of their own;
+this rules out nearly all pairs below the similarity, and none at or above it. With 32 bands of 5 coordinates a pair
+of similarity 0.8 shares no bucket once in 300,000; nothing else can lose a link.
 
 Null texts are never duplicates. Texts without words are duplicates only of equal texts. Repeated rows are
 duplicates of each other. An empty table gives an empty one. Other columns may have any names.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import WordTable, ascii_words, bitmap_of, in_bitmap, map_batches, materialise, mix, text_key, text_slices
+from cardloom.llm.common import Scratch, WordTable, ascii_words, bitmap_of, in_bitmap, map_batches, materialise, mix, text_key, text_slices
 
 _GOLDEN, _ROUND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -45,8 +47,11 @@ class Settings:
     similarity: float = 0.8
     bands: int = 32
     rows: int = 5
-    #: Sketch agreement under which a pair is not verified.
-    sketch_floor: float = 0.6
+    #: 64-bit words of the parity bitmap (a multiple of 8).
+    parity_words: int = 32
+    #: Members of a bucket that all others meet before the rest is compared, and members in a block of that rest.
+    hubs: int = 16
+    block: int = 4096
 
     @property
     def coordinates(self) -> int:
@@ -152,17 +157,29 @@ def band_keys(sign: np.ndarray, settings: Settings) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity(owner: np.ndarray, codes: np.ndarray, texts: int, words: int) -> np.ndarray:
+    """texts x words bitmap: a bit is set if an odd number of elements hash to it."""
+    out = np.zeros(texts * words, np.uint64)
+    bit = mix(codes ^ _GOLDEN) % np.uint64(words * 64)
+    np.bitwise_xor.at(out, owner * words + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(texts, words).view(np.int64)
+
+
 # ---------------------------------------------------------------- Spark steps
 
+#: Texts that are signed at once: each needs some 60 kB of darts, however short it is.
+_TEXTS_AT_ONCE = 512
+_FOLD = 8
+
 
 def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
-    """rows (id, t, r1, r2) to id, r1, r2, content keys k1, k2 (null without text), size, bands, sketch."""
+    """rows (id, t, r1, r2) to id, r1, r2, content keys k1, k2 (null without text), size, bands, parity."""
     table = WordTable(ascii_words())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            for at, data, offsets in text_slices(column, 1 << 20):
+            for at, data, offsets in text_slices(column, 1 << 20, _TEXTS_AT_ONCE):
                 n = len(offsets) - 1
                 counts, keys, owner, codes = elements(data, offsets, table, settings.shingle)
                 sign = signatures(owner, codes, n, settings)
@@ -175,21 +192,19 @@ def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
                 lengths = np.where((counts > 0) & ~missing, settings.bands, 0)
                 edges = np.zeros(n + 1, np.int32)
                 np.cumsum(lengths, out=edges[1:])
-                sketch = np.zeros((n, -(-settings.coordinates // 8) * 8), np.uint8)
-                sketch[:, : settings.coordinates] = sign >> np.uint64(8)
-                sketch = sketch.view("<i8")
+                odd = parity(owner, codes, n, settings.parity_words)
                 part = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(2), part.column(3), pa.array(k1, mask=missing), pa.array(k2, mask=missing),
                         pa.array(np.bincount(owner, minlength=n).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(bands[lengths > 0].ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * odd.shape[1]), pa.array(odd.ravel())),
                     ],
-                    ["id", "r1", "r2", "k1", "k2", "size", "bands", "sketch"],
+                    ["id", "r1", "r2", "k1", "k2", "size", "bands", "parity"],
                 )
 
-    return map_batches(docs, task, "id bigint, r1 bigint, r2 bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>, sketch array<bigint>")
+    return map_batches(docs, task, "id bigint, r1 bigint, r2 bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>, parity array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -227,94 +242,67 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     return map_batches(docs, task, "k1 bigint, k2 bigint, elements array<bigint>")
 
 
-def _agreement(a: Column, b: Column, k: int) -> Column:
-    """Share of equal bytes of two sketches, eight at a time: the bits of a differing byte are folded into its lowest."""
-    differing = F.lit(0)
-    for i in range(-(-k // 8)):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return 1 - differing / float(k)
-
-
 def _may_reach(a: str, b: str, settings: Settings) -> Column:
-    """Whether sizes allow the similarity and sketches agree enough; a and b: prefixes of size and sketch columns."""
-    sized = F.least(f"{a}_size", f"{b}_size") >= settings.similarity * F.greatest(f"{a}_size", f"{b}_size") - 1e-9
-    return sized & (_agreement(F.col(f"{a}_sketch"), F.col(f"{b}_sketch"), settings.coordinates) >= settings.sketch_floor)
-
-
-def _may_share(a: str, b: str, settings: Settings) -> Column:
-    """Exact bound: elements that a set alone holds are no part of an intersection, but of every union."""
-    common = F.least(F.col(f"{a}_size") - F.col(f"{a}_alone"), F.col(f"{b}_size") - F.col(f"{b}_alone"))
-    return common >= settings.similarity * (F.col(f"{a}_size") + F.col(f"{b}_size") - common) - 1e-9
-
-
-def _hopeful(held: DataFrame, settings: Settings) -> DataFrame:
-    """Members of a bucket (key, comp, rep_size, rep_alone) that the same bound lets reach the smallest set in it, in
-    buckets that still hold several components."""
-    least = materialise(held.groupBy("key").agg(F.min("rep_size").alias("least")), "least")
-    common = F.col("rep_size") - F.col("rep_alone")
-    left = held.join(least, "key").filter(common >= settings.similarity * (F.greatest("least", common) + F.col("rep_alone")) - 1e-9).drop("least")
-    left = materialise(left, "hopeful")
-    mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    return left.join(materialise(mixed, "mixed"), "key", "left_semi")
-
+    """Exact bounds on a pair: sizes, and the bits in which parity bitmaps differ (no more than elements of one set only).
 
-def _elements(ids: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """rep, elements of the given reps (column rep)."""
-    wanted = materialise(reps.join(ids.distinct(), "rep", "left_semi").select("rep", "k1", "k2"), "wanted")
-    sets = _sets(docs, wanted, settings).join(wanted, ["k1", "k2"])
-    return materialise(sets.dropDuplicates(["rep"]).select("rep", "elements"), "sets")
+    The bitmap folded to 8 words, a parity bitmap too, goes first: it rules out most pairs at a small part of the cost.
+    """
+    t, both = settings.similarity, F.col(f"{a}_size") + F.col(f"{b}_size")
+    sized = F.least(f"{a}_size", f"{b}_size") >= t * F.greatest(f"{a}_size", f"{b}_size") - 1e-9
+    most = both * ((1 - t) / (1 + t)) + 1e-6
+    folded = sum((F.bit_count(F.col(f"{a}_f{i}").bitwiseXOR(F.col(f"{b}_f{i}"))) for i in range(_FOLD)), F.lit(0))
+    bits = F.zip_with(f"{a}_parity", f"{b}_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return sized & (folded <= most) & (F.aggregate(bits, F.lit(0), lambda n, x: n + x) <= most)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings, hold: Scratch) -> DataFrame:
     """The pairs (a, b) whose element sets have the similarity asked for."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = hold.table(reps.select("rep", "k1", "k2").join(ids, "rep"), "wanted")
+    sets = _sets(docs, wanted, settings).join(wanted, ["k1", "k2"])
+    sets = hold.table(sets.dropDuplicates(["rep"]).select("rep", "elements"), "sets")
     left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     close = both >= settings.similarity * (F.size("ea") + F.size("eb") - both) - 1e-9
-    return materialise(pairs.join(left, "a").join(right, "b").filter(close).select("a", "b"), "links")
-
-
-def _alone(sets: DataFrame) -> DataFrame:
-    """rep, alone: how many of its elements no other set holds (no row for none)."""
-    held = sets.select("rep", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
-    return held.filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    return hold.table(pairs.join(left, "a").join(right, "b").filter(close).select("a", "b"), "links")
 
 
-def _roots(links: DataFrame) -> DataFrame:
+def _roots(links: DataFrame, hold: Scratch) -> DataFrame:
     """rep, comp of the nodes of a forest (a: node, b: parent; one row per node), by doubling the jumps."""
     now = links.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
     tops = links.select(F.col("b").alias("rep")).distinct().join(now, "rep", "left_anti").select("rep", F.col("rep").alias("comp"))
-    now = materialise(now.unionByName(tops), "jumps")
+    now = hold.table(now.unionByName(tops), "jumps")
     while True:
         above = now.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
         jumped = now.join(above, "comp").select("rep", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved"))
-        jumped = materialise(jumped, "jumps")
+        jumped = hold.table(jumped, "jumps")
         now = jumped.select("rep", "comp")
         if jumped.filter("moved").isEmpty():
             return now
 
 
-def _traits(reps: DataFrame, name: str) -> DataFrame:
-    return reps.select(F.col("rep").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
+def _traits(reps: DataFrame, name: str, settings: Settings) -> DataFrame:
+    """The reps (as name) with what _may_reach() looks at."""
+    word = lambda i: F.get("parity", F.lit(i))
+    folded = [reduce(Column.bitwiseXOR, (word(i) for i in range(f, settings.parity_words, _FOLD))) for f in range(_FOLD)]
+    return reps.select(F.col("rep").alias(name), F.col("size").alias(f"{name}_size"), F.col("parity").alias(f"{name}_parity"), *(x.alias(f"{name}_f{i}") for i, x in enumerate(folded)))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hold: Scratch) -> DataFrame:
     """node, root (smallest node of its component) for every node of edges (a, b), by alternating large-star and
     small-star contractions; each pass is a join and an aggregate over a written table."""
-    now = materialise(
+    now = hold.table(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
+        low = hold.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialise(large, "edges")
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        large = hold.table(large, "edges")
+        low = hold.table(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        small = materialise(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        small = hold.table(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         # stars: every node has one edge, and no root has one
         done = small.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty() and small.join(
             small.select(F.col("u").alias("v")), "v", "left_semi"
@@ -325,68 +313,77 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def _relabel(labels: DataFrame, edges: DataFrame, hold: Scratch) -> DataFrame:
     """Labels (rep, comp) after new links between reps; reps not in labels are their own component."""
     of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
     lifted = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    roots = materialise(components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "roots")
+    roots = hold.table(components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), hold), "roots")
     moved = labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp"))
     new = roots.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(labels, "rep", "left_anti")
-    return materialise(moved.union(new), "labels")
+    return hold.table(moved.union(new), "labels")
 
 
 def find_groups(df: DataFrame, text: str = "text", id_column: str = "doc_id", settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (row, id, r1, r2, rep: null without text) and labels (rep, comp) of reps with a partner."""
     s = settings or Settings()
     docs = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
-    r1, r2 = text_key(F.col("t"))
-    signed = _sign(docs.select("id", "t", r1.alias("r1"), r2.alias("r2")), s).withColumn("row", F.monotonically_increasing_id())
-    signed = materialise(signed, "signed")
-    contents = materialise(signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("rep")), "contents")
-    rows = signed.select("row", "id", "r1", "r2", "k1", "k2").join(contents, ["k1", "k2"], "left").drop("k1", "k2")
-    reps = materialise(signed.join(contents.select(F.col("rep").alias("row")), "row", "left_semi").filter("size > 0")
-                       .select(F.col("row").alias("rep"), "k1", "k2", "size", "bands", "sketch"), "reps")
-
+    with Scratch(df.sparkSession) as hold:
+        r1, r2 = text_key(F.col("t"))
+        signed = _sign(docs.select("id", "t", r1.alias("r1"), r2.alias("r2")), s).withColumn("row", F.monotonically_increasing_id())
+        signed = hold.table(signed, "signed")
+        contents = hold.table(signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("rep")), "contents")
+        rows = signed.select("row", "id", "r1", "r2", "k1", "k2").join(contents, ["k1", "k2"], "left").drop("k1", "k2")
+        rows = materialise(rows, "rows")
+        reps = hold.table(signed.join(contents.select(F.col("rep").alias("row")), "row", "left_semi").filter("size > 0")
+                          .select(F.col("row").alias("rep"), "k1", "k2", "size", "bands", "parity"), "reps")
+        return rows, materialise(_labels(docs, reps, s, hold), "labels")
+
+
+def _labels(docs: DataFrame, reps: DataFrame, s: Settings, hold: Scratch) -> DataFrame:
+    """Components (rep, comp) of the links between representatives."""
     placed = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = materialise(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members = materialise(placed.join(sizes, "key"), "placed")
+    sizes = hold.table(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    members = hold.table(placed.join(sizes, "key"), "placed")
     # the hub is the most central member, whose buckets hold most others: near a group's origin and like most of it
     central = members.groupBy("rep").agg(F.sum("n").alias("score"))
-    members = materialise(members.join(central, "rep"), "members")
-    tops = members.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("top")).select("key", F.col("top.rep").alias("hub"))
+    scored = hold.table(members.join(central, "rep"), "members")
+    tops = scored.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("top")).select("key", F.col("top.rep").alias("hub"))
     # of a member's hubs that one counts with which it shares most buckets; what this misses is searched below
-    shared = members.join(materialise(tops, "hubs"), "key").filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("times"))
+    shared = members.join(hold.table(tops, "hubs"), "key").filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("times"))
     best = shared.groupBy("rep").agg(F.max(F.struct("times", "hub")).alias("top")).select(F.col("rep").alias("a"), F.col("top.hub").alias("b"))
-    best = best.join(_traits(reps, "a"), "a").join(_traits(reps, "b"), "b").filter(_may_reach("a", "b", s)).select("a", "b")
-    best = materialise(best, "pairs")
-    sets = _elements(best.select(F.col("a").alias("rep")).union(best.select(F.col("b").alias("rep"))), reps, docs, s)
+    best = best.join(_traits(reps, "a", s), "a").join(_traits(reps, "b", s), "b").filter(_may_reach("a", "b", s)).select("a", "b")
     # a hub's (score, rep) is larger than its member's, so these links are a forest
-    labels = _roots(_verified(best, sets, s))
+    labels = _roots(_verified(hold.table(best, "pairs"), reps, docs, s, hold), hold)
 
-    hubs, searched, sets = 32, 1, None
-    while True:
-        held = members.filter(F.col("n") > searched).join(labels, "rep", "left").select("key", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
-        mixed = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        held = materialise(held.join(materialise(mixed, "mixed"), "key", "left_semi"), "held")
+    # only reps that stand in a bucket of several components are looked at again
+    held = _mixed(members, labels, hold)
+    traits = hold.table(_traits(reps.join(held.select("rep").distinct(), "rep", "left_semi"), "rep", s), "traits")
+    drawn = F.pmod(F.xxhash64("rep"), F.col("n")) < s.hubs  # all members of a bucket of so many
+    for few in (True, False):
         if held.isEmpty():
-            return rows, labels
-        if sets is None:  # all that later rounds compare is among these
-            sets = _elements(held.select("rep"), reps, docs, s)
-            alone = _alone(sets)
-            traits = _traits(reps.join(sets.select("rep"), "rep", "left_semi"), "rep").join(alone, "rep", "left")
-            traits = traits.withColumn("rep_alone", F.coalesce("alone", F.lit(0))).drop("alone")
-            traits = materialise(traits.filter(F.col("rep_size") - F.col("rep_alone") >= s.similarity * F.col("rep_size") - 1e-9), "traits")
-        held = _hopeful(held.join(traits, "rep"), s)
-        draw = F.pmod(F.xxhash64(F.lit(hubs), "rep", "key"), F.col("n")) < hubs  # all members where n <= hubs
-        hub = held.filter((F.col("n") <= hubs) | draw)
-        hub = hub.select(*(F.col(c).alias(c if c == "key" else c.replace("rep", "hub") if c != "comp" else "hub_comp") for c in held.columns if c != "n"))
-        other = (F.col("comp") != F.col("hub_comp")) & ((F.col("n") > hubs) | (F.col("rep") < F.col("hub")))
-        met = held.join(hub.withColumnRenamed("key", "hub_key"), (F.col("key") == F.col("hub_key")) & other & _may_share("rep", "hub", s) & _may_reach("rep", "hub", s))
-        pairs = materialise(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
-        links = _verified(pairs, sets, s)
+            break
+        side = hold.table(held.join(traits, "rep"), "sides")
+        hub = (side.filter(drawn) if few else side).select(*(F.col(c).alias(f"hub_{c.removeprefix('rep_')}" if c.startswith("rep_") else f"hub_{c}") for c in side.columns))
+        on = (F.col("key") == F.col("hub_key")) & (F.col("comp") != F.col("hub_comp"))
+        if not few:  # a bucket of more than a block is dealt to several tasks: each block of members meets all others
+            blocks = lambda n: F.ceil(F.col(n) / F.lit(s.block))
+            side = side.withColumn("at", F.pmod(F.xxhash64(F.lit("block"), "rep"), blocks("n")))
+            hub = hub.withColumn("hub_at", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks("hub_n") - 1)))
+            on = on & (F.col("at") == F.col("hub_at")) & (F.col("rep") < F.col("hub_rep"))
+        met = side.join(hub, on & _may_reach("rep", "hub", s))
+        pairs = met.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
+        links = _verified(hold.table(pairs, "pairs"), reps, docs, s, hold)
         if not links.isEmpty():
-            labels = _relabel(labels, links)
-        searched, hubs = hubs, hubs * 32
+            labels = _relabel(labels, links, hold)
+            held = _mixed(held.drop("comp"), labels, hold) if few else held
+    return labels
+
+
+def _mixed(members: DataFrame, labels: DataFrame, hold: Scratch) -> DataFrame:
+    """key, rep, n, comp of the members of buckets that hold several components."""
+    held = hold.table(members.join(labels, "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "held")
+    several = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    return hold.table(held.join(hold.table(several, "several"), "key", "left_semi"), "mixed")
 
 
 def group_documents(df: DataFrame, text: str = "text", id_column: str = "doc_id", settings: Settings | None = None) -> DataFrame:
@@ -418,8 +415,8 @@ def groups_of_texts(df: DataFrame, text: str = "text", id_column: str = "doc_id"
 def keep_one(df: DataFrame, text: str = "text", id_column: str = "doc_id", settings: Settings | None = None) -> DataFrame:
     """The rows of df with one document of each group: that of the smallest id.
 
-    The rows to drop are named by id and text hash. Where a kept row has twins of the same id and text, one of
-    them is kept: these few rows are taken apart and de-duplicated.
+    The rows to drop are named by id and text hash, so one join takes them out. Where a kept row has twins of the same
+    id and text, one of them is kept: only if there are such rows, they are taken apart and de-duplicated.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
     id_at, text_at = names[df.columns.index(id_column)], names[df.columns.index(text)]
@@ -429,9 +426,11 @@ def keep_one(df: DataFrame, text: str = "text", id_column: str = "doc_id", setti
     fate = materialise(fate, "fate")
     key = text_key(F.col(text_at).cast("string"))
     ident = F.col(id_at).cast("bigint")
-    keyed = df.toDF(*names).withColumns({"i": F.coalesce(ident, F.lit(0)), "z": ident.isNull(), "r1": key[0], "r2": key[1]})
-    keyed = keyed.withColumn("textless", F.col(text_at).isNull())
     on = ["i", "z", "r1", "r2"]
-    plain = keyed.join(fate, on, "left").filter("textless or n is null").select(*names)
-    twins = keyed.join(fate.filter("stays"), on).filter("not textless").dropDuplicates(on).select(*names)
-    return plain.union(twins).toDF(*df.columns)
+    # no key where the text is null: such a row meets nothing
+    keyed = df.toDF(*names).withColumns({"i": F.when(F.col(text_at).isNotNull(), F.coalesce(ident, F.lit(0))), "z": ident.isNull(), "r1": key[0], "r2": key[1]})
+    out = keyed.join(fate.select(*on), on, "left_anti").select(*names)
+    twins = fate.filter("stays")
+    if not twins.isEmpty():
+        out = out.union(keyed.join(twins.select(*on), on, "left_semi").dropDuplicates(on).select(*names))
+    return out.toDF(*df.columns)

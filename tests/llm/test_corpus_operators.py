@@ -1,5 +1,6 @@
 """Operators that need other rows: token files, sharding, decontamination, near duplicates, chats, the pipeline."""
 
+import os
 import random
 import re
 import zlib
@@ -181,17 +182,51 @@ def test_signature_agreement_is_weighted_jaccard():
     assert np.mean(seen) == pytest.approx(250 / 350, abs=0.02)
 
 
-def test_sketch_floor_loses_no_link(spark):
-    """Similarity 80 / 100, four buckets in common, but sketches that agree on 67.5 % only."""
-    from math import comb
-
+def test_bounds_lose_no_link(spark):
+    """Similarity 80 / 100, four buckets in common, but signatures that agree on 67.5 % only."""
     own = [f"w4070x{i}" for i in range(94)]
     rows = [(1, " ".join(own), "en", "s"), (2, " ".join(own[:84] + [f"neu{i}" for i in range(10)]), "en", "s")]
     assert {r["class_id"] for r in near_dedup.group_documents(frame(spark, rows)).collect()} == {1}
-    s = near_dedup.Settings()
-    k, p = s.coordinates, s.similarity
-    unverified = sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(k) if i < s.sketch_floor * k)
-    assert unverified < 0.01 * (1 - p**s.rows) ** s.bands  # of the banding's own miss rate
+
+
+def test_parity_never_differs_more_than_the_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a = rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)
+        b = np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64)])
+        owner = np.repeat([0, 1], [len(a), len(b)])
+        bits = near_dedup.parity(owner, np.concatenate([a, b]), 2, 32)
+        folded = np.bitwise_xor.reduce(bits.reshape(2, 4, 8), axis=1)
+        for x in (bits, folded):
+            assert int(np.bitwise_count((x[0] ^ x[1]).view(np.uint64)).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_large_group_of_variants(spark):
+    """700 variants of one text, pairwise on both sides of 0.8: buckets end in several components and in blocks."""
+    rng = random.Random(12)
+    base = prose(31, 90, 200).split()
+    rows = []
+    for i in range(700):
+        own = list(base)
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(90)] = f"neu{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small = near_dedup.Settings(hubs=2, block=16)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.group_documents(df, settings=small).collect()}
+    assert got == dict(enumerate(groups(rows)))
+    assert near_dedup.group_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no generated tables here")
+def test_near_duplicates_of_the_given_table(spark):
+    """Recall 1 and no false link against all pairs of the whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.group_documents(docs).collect()}
+    assert got == {doc: rows[c][0] for (doc, _), c in zip(rows, groups(rows), strict=True)}
 
 
 def test_chats(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +28,9 @@ def search_name(df: DataFrame, pattern: str | None = None) -> DataFrame:
     pattern = (pattern or "").strip()
     if not pattern:
         return df
-    java = df.sparkSession._jvm.java.util.regex
     try:
-        java.Pattern.compile("(?iu)" + pattern)
-    except Py4JJavaError as error:
+        df.sparkSession.sql("SELECT '' RLIKE :pattern", args={"pattern": "(?iu)" + pattern}).collect()
+    except PySparkException as error:
         raise ValueError(f"not a regular expression: {pattern}") from error
     return df.filter(F.col("name").rlike("(?iu)" + pattern))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardloom.plans import accounts, cards, events
+from cardloom.plans import accounts, cards, events, sources
 
-QUERIES = cards.QUERIES | accounts.QUERIES | events.QUERIES
-ORACLES = cards.ORACLES | accounts.ORACLES | events.ORACLES
+QUERIES = cards.QUERIES | accounts.QUERIES | events.QUERIES | sources.QUERIES
+ORACLES = cards.ORACLES | accounts.ORACLES | events.ORACLES | sources.ORACLES

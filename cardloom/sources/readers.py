@@ -38,11 +38,11 @@ def read_transactions(spark: SparkSession, path: str, kind: str = "json") -> Dat
 
 
 def flatten_events(raw: DataFrame) -> DataFrame:
-    """Envelope {type, data: {object: ...}} to flat columns."""
+    """Envelope {id, created, type, data: {object: ...}} to flat columns; (ts, event_id) is the order that folds keep."""
     of = lambda name: F.col(f"data.object.{name}")
     return raw.select(
-        "type", of("id").alias("session_id"), of("payment_status").alias("payment_status"), of("metadata.user_id").alias("user_id"),
-        of("subscription").alias("subscription"), of("customer").alias("customer"),
+        F.col("id").alias("event_id"), F.timestamp_seconds("created").alias("ts"), "type", of("id").alias("session_id"), of("payment_status").alias("payment_status"),
+        of("metadata.user_id").alias("user_id"), of("subscription").alias("subscription"), of("customer").alias("customer"),
     )
 
 

@@ -25,8 +25,9 @@ FILE = _of(id=_S, storage_path=_S, user_id=_S, original_filename=_S, content_typ
 TRANSACTION = _of(
     session_id=_S, user_id=_S, lookup_key=_S, amount=_L, currency=_S, status=_S, payment_status=_S, created_at=_S, updated_at=_S
 )
+#: created: seconds since 1970.
 EVENT = _of(
-    type=_S,
+    id=_S, created=_L, type=_S,
     data=_of(object=_of(id=_S, payment_status=_S, metadata=_of(user_id=_S), subscription=_S, customer=_S)),
 )
 

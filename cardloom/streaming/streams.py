@@ -6,11 +6,11 @@ needs no more than its partial maxima.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from cardloom.functions.rows import first_of
 from cardloom.operators.rollups import STATES
 
 CHECKOUT, DELETED, INVOICES = "checkout.session.completed", "customer.subscription.deleted", ("invoice.paid", "invoice.payment_succeeded")
@@ -23,22 +23,35 @@ def route_events(events: DataFrame) -> DataFrame:
     return events.withColumn("route", route).filter("route is not null")
 
 
-def fold_transactions(events: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Transactions after checkout events: completed with the event's payment status (paid if it has none), frozen once paid."""
+def checkout_states(events: DataFrame) -> DataFrame:
+    """session_id, ts, event_id, last, paid after checkout events: the last status (paid if an event has none) and
+    whether any was paid. On a stream the state keeps (ts, event_id), so a late event doesn't undo a newer one."""
     seq = F.struct("ts", "event_id")
     status = F.coalesce("payment_status", F.lit("paid"))
     done = events.filter(F.col("type") == CHECKOUT).groupBy("session_id").agg(
-        F.max_by(status, seq).alias("_last"), F.max((status == "paid").cast("int")).alias("_paid"))
-    met = transactions.join(done, "session_id", "left")
-    go = F.col("_last").isNotNull() & ~F.col("payment_status").eqNullSafe("paid")
-    return met.withColumns({
-        "status": F.when(go, "completed").otherwise(F.col("status")),
-        "payment_status": F.when(go, F.when(F.col("_paid") == 1, "paid").otherwise(F.col("_last"))).otherwise(F.col("payment_status")),
-    }).select(*transactions.columns)
+        F.max(seq).alias("at"), F.max_by(status, seq).alias("last"), F.max((status == "paid").cast("int")).alias("paid"))
+    return done.select("session_id", "at.ts", "at.event_id", "last", (F.col("paid") == 1).alias("paid"))
 
 
-def fold_entitlements(events: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
-    """user_id, premium_until after each known user's last effective event. Replays count again, paid or not."""
+def apply_checkouts(transactions: DataFrame, states: DataFrame) -> DataFrame:
+    """Transactions after checkout_states(): completed with the status that the fold has reached, frozen once paid."""
+    now = transactions.alias("now")
+    met = now.join(states.select(F.col("session_id").alias("of"), "last", "paid").alias("done"), F.col("now.session_id") == F.col("done.of"), "left")
+    go = F.col("done.last").isNotNull() & ~F.col("now.payment_status").eqNullSafe("paid")
+    changed = {
+        "status": F.when(go, "completed").otherwise(F.col("now.status")),
+        "payment_status": F.when(go, F.when(F.col("done.paid"), "paid").otherwise(F.col("done.last"))).otherwise(F.col("now.payment_status")),
+    }
+    return met.select(*(changed.get(c, F.col(f"now.`{c}`")).alias(c) for c in transactions.columns))
+
+
+def fold_transactions(events: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Transactions after checkout events: completed with the event's payment status (paid if it has none), frozen once paid."""
+    return apply_checkouts(transactions, checkout_states(events))
+
+
+def entitlement_states(events: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
+    """user_id, ts, event_id, premium_until after each known user's last effective event. Replays count again, paid or not."""
     subs = subscriptions.select(F.col("sub_id").alias("subscription"), F.col("user_id").alias("s_user"), "current_period_end")
     met = route_events(events).join(subs, "subscription", "left")
     period = F.timestamp_seconds("current_period_end")
@@ -49,7 +62,13 @@ def fold_entitlements(events: DataFrame, subscriptions: DataFrame, users: DataFr
     )
     effects = met.select(person.alias("user_id"), until.alias("until"), "ts", "event_id").filter("user_id is not null and until is not null")
     effects = effects.join(users.select("user_id"), "user_id", "left_semi")
-    return effects.groupBy("user_id").agg(F.max_by("until", F.struct("ts", "event_id")).alias("premium_until"))
+    seq = F.struct("ts", "event_id")
+    last = effects.groupBy("user_id").agg(F.max(seq).alias("at"), F.max_by("until", seq).alias("premium_until"))
+    return last.select("user_id", "at.ts", "at.event_id", "premium_until")
+
+
+def fold_entitlements(events: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
+    return entitlement_states(events, subscriptions, users).select("user_id", "premium_until")
 
 
 def build_state(events: DataFrame) -> DataFrame:
@@ -66,6 +85,15 @@ def debounce_stream(events: DataFrame, milliseconds: int = 250, lateness: str =
     return bursts.select("user_id", "last.event_id", "last.ts")
 
 
-def fold_stream(events: DataFrame, fold: Callable[[DataFrame], None], checkpoint: str):
-    """Runs a batch fold on each micro-batch of what has arrived; returns the started query."""
-    return events.writeStream.foreachBatch(lambda batch, _: fold(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_states(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes a streaming fold (checkout_states, entitlement_states) as Parquet: each micro-batch puts the rows that it
+    has changed into a folder of its own, so a batch that is run again replaces what it wrote before."""
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_states(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The newest row of each key that write_states() has written: the fold's state, by the number of its batch."""
+    return first_of(spark.read.parquet(path), [key], ["batch"], last=True).drop("batch")

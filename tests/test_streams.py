@@ -43,19 +43,26 @@ def test_build_state(spark, arrived):
     assert sorted(spark.table("builds_now").collect()) == sorted(streams.build_state(table).collect())
 
 
-def test_transactions_and_entitlements_by_batches(spark, arrived):
-    table, stream, check = arrived("payments")
+@pytest.mark.parametrize("late", [False, True])
+def test_transactions_and_entitlements(spark, tmp_path, late):
+    """States written by streams equal the batch folds, whether events come in order or the newest come first."""
+    table = collection(spark, DATA, "payments")
     users, subs, start = (collection(spark, DATA, n) for n in ("users", "subscriptions", "transactions"))
-    state = {"txn": start, "until": {}}
-
-    def fold(batch):
-        state["txn"] = spark.createDataFrame(streams.fold_transactions(batch, state["txn"]).collect(), start.schema)
-        state["until"] |= {r["user_id"]: r["premium_until"] for r in streams.fold_entitlements(batch, subs, users).collect()}
-
-    streams.fold_stream(stream, fold, check).awaitTermination(180)
+    edges = table.agg(F.percentile_approx("event_id", [0.34, 0.67])).first()[0]
+    parts = [table.filter(F.col("event_id") <= edges[0]), table.filter(F.col("event_id").between(edges[0] + 1, edges[1])), table.filter(F.col("event_id") > edges[1])]
+    where = str(tmp_path / "payments")
+    os.mkdir(where)
+    stream = spark.readStream.schema(table.schema).parquet(where)
+    folds = {"session_id": streams.checkout_states(stream), "user_id": streams.entitlement_states(stream, subs, users)}
+    for part in reversed(parts) if late else parts:
+        part.coalesce(1).write.mode("append").parquet(where)
+        for key, fold in folds.items():  # each run takes what has come since the last one
+            streams.write_states(fold, f"{tmp_path}/{key}", f"{tmp_path}/{key}-check").awaitTermination(120)
     key = lambda df: sorted((r["session_id"], r["status"], r["payment_status"]) for r in df.collect())
-    assert key(state["txn"]) == key(streams.fold_transactions(table, start))
-    assert state["until"] == {r["user_id"]: r["premium_until"] for r in streams.fold_entitlements(table, subs, users).collect()}
+    states = streams.read_states(spark, f"{tmp_path}/session_id", "session_id")
+    assert key(streams.apply_checkouts(start, states)) == key(streams.fold_transactions(table, start))
+    until = streams.read_states(spark, f"{tmp_path}/user_id", "user_id").select("user_id", "premium_until")
+    assert sorted(until.collect()) == sorted(streams.fold_entitlements(table, subs, users).collect())
 
 
 def test_debounce(spark, arrived):

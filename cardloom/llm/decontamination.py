@@ -7,12 +7,14 @@ is the necessary prefix: windows and documents are joined on it. Each candidate
 join can apply the positional bound (the window's words before the token must exist), the length bound (and the words after
 it) and compare all words of the window exactly.
 
-Documents pass Python once, to be cut into words and shingles by array operations; only shingles that pass a
-Bloom filter of fixed size leave the task, whatever the benchmark's size. A token that is frequent in the
-documents meets a small, de-duplicated window table, and adaptive execution splits it.
-
-Null and empty texts have no words. Items without words have no windows. Repeated items are counted once per item
-id; repeated documents are rows of their own. Empty tables give empty or clean results.
+Documents pass Python twice, to be cut into words and shingles by array operations. The first pass counts the
+benchmark's tokens; the second gives the places of prefix tokens alone, with the words around them, so tokens that
+are frequent in the documents carry no context unless a window has no rarer one. Only shingles that pass a Bloom filter
+sized by the benchmark leave a task. A frequent token meets a de-duplicated window table, and adaptive execution splits it.
+
+Null and empty texts have no words. Items without words have no windows. Items of one id are one item; windows of items
+without id hit words, but no such item is counted or listed. Repeated documents are rows of their own; very long texts
+are scanned whole. Empty tables give empty or clean results. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import WordTable, ascii_words, bitmap_of, in_bitmap, map_batches, materialise, mix, text_key, text_slices
+from cardloom.llm.common import Scratch, WordTable, ascii_words, bitmap_of, in_bitmap, map_batches, materialise, mix, text_key, text_slices
 
 WINDOW, TOKEN = 10, 3
 
@@ -72,7 +74,33 @@ def _windows(bench: DataFrame, window: int, token: int) -> DataFrame:
     return map_batches(bench, task, "item string, words string, size int, tokens array<bigint>")
 
 
-def _candidates(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], window: int, context: bool) -> DataFrame:
+def _own_shingles(codes: np.ndarray, owner: np.ndarray, size: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the shingles that pass the filter and don't run over the end of a text."""
+    grams = _shingles(codes, size)
+    hits = np.flatnonzero(in_bitmap(bits, grams))
+    hits = hits[owner[hits] == owner[hits + size - 1]]
+    return hits, grams[hits].view(np.int64)
+
+
+def _token_counts(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+    """token, n: how often shingles that pass the filter stand in the documents; counted in each batch first."""
+    table = WordTable(ascii_words())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column(0), 1 << 21):
+                starts, _, codes = table.words(data, offsets[:-1])
+                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+                found = np.concatenate([_own_shingles(codes, owner, size, shared.value)[1] for size in sizes])
+                token, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    counted = map_batches(docs.select("t"), task, "token bigint, n bigint")
+    return counted.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _candidates(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], window: int) -> DataFrame:
     """One row per document: id, r1, r2, n_words and found array<struct<token, p, left, words>>, the shingles of the
     given sizes that pass the filter, at word p, with up to window - 1 words on the left and window words from p."""
     table = WordTable(ascii_words())
@@ -89,15 +117,11 @@ def _candidates(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], window: i
                 owner = np.repeat(np.arange(n), np.diff(first))
                 found: list[list] = [[] for _ in range(n)]
                 for size in sizes:
-                    grams = _shingles(codes, size)
-                    hits = np.flatnonzero(in_bitmap(bits, grams))
-                    hits = hits[owner[hits] == owner[hits + size - 1]]  # not over the end of a text
-                    for h, token in zip(hits.tolist(), grams[hits].view(np.int64).tolist(), strict=True):
+                    hits, tokens = _own_shingles(codes, owner, size, bits)
+                    for h, token in zip(hits.tolist(), tokens.tolist(), strict=True):
                         i = owner[h]
-                        words = ""
                         low, high = max(int(first[i]), h - window + 1), min(int(first[i + 1]), h + window)
-                        if context:
-                            words = " ".join(_lower(data[starts[k] : ends[k]].tobytes()) for k in range(low, high))
+                        words = " ".join(_lower(data[starts[k] : ends[k]].tobytes()) for k in range(low, high))
                         found[i].append((token, h - int(first[i]), h - low, words))
                 flat = [x for own in found for x in own]
                 cuts = np.zeros(n + 1, np.int32)
@@ -129,29 +153,33 @@ def _covered(spans: Column) -> Column:
 def scan(df: DataFrame, bench: DataFrame, text: str = "text", id_column: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, token: int = TOKEN) -> DataFrame:
     """One row per row of df: id, r1, r2 (hash of the text), n_words, n_hit, items (sorted array<string>)."""
     docs = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
-    r1, r2 = text_key(F.col("t"))
-    docs = docs.select("id", "t", r1.alias("r1"), r2.alias("r2"))
-    made = _windows(bench.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("t")), window, token)
-    windows = materialise(
-        made.groupBy("words").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.sort_array(F.collect_set("item")).alias("items")), "windows"
+    items = bench.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("t"))
+    with Scratch(df.sparkSession) as hold:
+        out = materialise(_scan(docs, items, window, token, hold), "scanned")
+    return out.withColumnRenamed("id", id_column)
+
+
+def _scan(docs: DataFrame, items: DataFrame, window: int, token: int, hold: Scratch) -> DataFrame:
+    windows = hold.table(
+        _windows(items, window, token).groupBy("words").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.sort_array(F.collect_set("item")).alias("items")), "windows"
     )
-    vocabulary = materialise(windows.select(F.explode("tokens").alias("token")).distinct(), "tokens")
+    vocabulary = hold.table(windows.select(F.explode("tokens").alias("token")).distinct(), "tokens")
     sizes = list(range(1, token + 1)) if not windows.filter(F.col("size") < token).isEmpty() else [token]
 
-    # rarity: how often each token of the benchmark stands in the documents; those that never do rule a window out
-    seen = _candidates(docs, bitmap_of(vocabulary, "token"), sizes, window, context=True).withColumn("row", F.monotonically_increasing_id())
-    seen = materialise(seen, "seen")
-    places = seen.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(vocabulary.join(counts, "token"), "rarity")
+    # rarity: how often each token of the benchmark stands in the documents; one that never does rules a window out
+    counts = hold.table(vocabulary.join(_token_counts(docs, bitmap_of(vocabulary, "token"), sizes), "token"), "rarity")
     ranked = windows.select("words", "size", "items", F.posexplode("tokens").alias("offset", "token")).join(counts, "token", "left")
     prefix = ranked.groupBy("words").agg(
         F.first("size").alias("size"), F.first("items").alias("items"),
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("low"),
-    ).filter("low.n > 0").select("words", "size", "items", "low.offset", "low.token")
-    prefix = materialise(prefix.select(F.col("words").alias("window"), "size", "items", "offset", "token"), "prefixes")
+    ).filter("low.n > 0").select(F.col("words").alias("window"), "size", "items", "low.offset", "low.token")
+    prefix = hold.table(prefix, "prefixes")
 
-    met = places.join(prefix, "token").filter("left >= offset")
+    r1, r2 = text_key(F.col("t"))
+    keyed = docs.select("id", "t", r1.alias("r1"), r2.alias("r2"))
+    seen = _candidates(keyed, bitmap_of(prefix.select("token").distinct(), "token"), sizes, window)
+    seen = hold.table(seen.withColumn("row", F.monotonically_increasing_id()), "seen")
+    met = seen.select("row", F.explode("found").alias("f")).select("row", "f.*").join(prefix, "token").filter("left >= offset")
     own = F.split("words", " ")
     met = met.withColumn("own", own).filter(F.size("own") - F.col("left") >= F.col("size") - F.col("offset"))
     same = F.array_join(F.slice("own", F.col("left") - F.col("offset") + 1, F.col("size")), " ") == F.col("window")
@@ -160,10 +188,8 @@ def scan(df: DataFrame, bench: DataFrame, text: str = "text", id_column: str = "
         F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     ).select("row", _covered(F.col("spans")).cast("bigint").alias("n_hit"), "items")
-    by_doc = materialise(by_doc, "hits")
     out = seen.select("row", "id", "r1", "r2", "n_words").join(by_doc, "row", "left")
-    return out.select(F.col("id").alias(id_column), "r1", "r2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("id", "r1", "r2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def drop_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", id_column: str = "doc_id", **options) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import materialise, text_key
+from cardloom.llm.common import Scratch, materialise, text_key
 
 #: Characters stripped at both ends of a line to make its key; A-Z are lower-cased, nothing else.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -33,14 +33,14 @@ def _hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
 
 
-def _in_groups(placed: DataFrame, groups: DataFrame, min_documents: int) -> DataFrame:
+def _in_groups(placed: DataFrame, groups: DataFrame, min_documents: int, hold: Scratch) -> DataFrame:
     """The rows of placed (d1, d2, p, a, b), once for each text, whose lines stand in min_documents groups."""
-    placed = materialise(placed.distinct(), "placed-lines")
+    placed = hold.table(placed.distinct(), "placed-lines")
     of = groups.select("d1", "d2", F.col("group").cast("string").alias("g")).groupBy("d1", "d2").agg(F.min("g").alias("g"))
     voter = F.coalesce(F.concat(F.lit("g"), "g"), F.concat_ws(" ", F.col("d1").cast("string"), F.col("d2").cast("string")))
     votes = placed.select("d1", "d2", "a", "b").distinct().join(of, ["d1", "d2"], "left").select("a", "b", voter.alias("v")).distinct()
     shared = votes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("a", "b")
-    return placed.join(materialise(shared, "shared-lines"), ["a", "b"])
+    return placed.join(hold.table(shared, "shared-lines"), ["a", "b"])
 
 
 def drop_shared_lines(df: DataFrame, text: str = "text", min_key_chars: int = 1, min_documents: int = 10, groups: DataFrame | None = None) -> DataFrame:
@@ -62,13 +62,14 @@ def drop_shared_lines(df: DataFrame, text: str = "text", min_key_chars: int = 1,
         .groupBy("h.a", "h.b").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_documents).select("a", "b")
     )
-    frequent = materialise(counted, "frequent-lines")
-    placed = lines.select("d1", "d2", F.posexplode("h").alias("p", "h")).filter("h is not null").select("d1", "d2", "p", "h.a", "h.b")
-    placed = placed.join(frequent, ["a", "b"])
-    if groups is not None:
-        placed = _in_groups(placed, groups, min_documents)
-    drops = placed.groupBy("d1", "d2").agg(F.sort_array(F.collect_set("p")).alias("gone"))
-    drops = materialise(drops, "dropped-lines")
+    with Scratch(df.sparkSession) as hold:
+        frequent = hold.table(counted, "frequent-lines")
+        placed = lines.select("d1", "d2", F.posexplode("h").alias("p", "h")).filter("h is not null").select("d1", "d2", "p", "h.a", "h.b")
+        placed = placed.join(frequent, ["a", "b"])
+        if groups is not None:
+            placed = _in_groups(placed, groups, min_documents, hold)
+        drops = placed.groupBy("d1", "d2").agg(F.sort_array(F.collect_set("p")).alias("gone"))
+        drops = materialise(drops, "dropped-lines")
     joined = docs.withColumns({"w": whole, "d1": key[0], "d2": key[1]}).join(drops, ["d1", "d2"], "left")
     parts = F.split("w", "\n", -1)
     edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("parts")))

@@ -99,6 +99,8 @@ def test_decontamination(spark):
     assert got == contaminated([(r[0], r[1]) for r in rows], bench)
     clean = decontamination.drop_contaminated(clashing(df), items)
     assert clean.count() == sum(n for (_, _, hit, _), n in got.items() if not hit) and clean.columns == clashing(df).columns
+    nameless = spark.createDataFrame([(None, prose(1, 25))], items.schema)
+    assert {(r["n_hit"] > 0, tuple(r["items"])) for r in decontamination.scan(df, nameless).collect()} == {(True, ()), (False, ())}
     none = spark.createDataFrame([], items.schema)
     assert decontamination.scan(df, none).filter("n_hit > 0").count() == 0 and decontamination.scan(frame(spark, []), items).count() == 0
 

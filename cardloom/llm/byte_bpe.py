@@ -3,7 +3,12 @@
 Two tiers resolve a pre-token. A minimal perfect hash over the vocabulary answers whole pre-tokens that are
 tokens themselves with one probe and one comparison of bytes. The others are merged by rank: a heap of
 candidate merges over a doubly linked list of bytes. Each Python worker remembers what it has resolved, up to
-a fixed number of entries, so that a word is merged once and not once per occurrence.
+a fixed number of entries, so that a word is merged once and not once per occurrence. Where the pattern is known to
+begin a pre-token at every white-space character that a non-space follows (public_tokenizers.PATTERN), words are looked
+up whole; any other pattern finds its pre-tokens itself.
+
+Null and empty texts have no ids. Repeated rows give repeated rows; an empty table gives an empty one. Very long texts
+are encoded whole. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
@@ -114,6 +120,11 @@ class Encoder:
         self.keys = list(ranks)
         self.ids = [ranks[k] for k in self.keys]
         self.hash = PerfectHash(self.keys)
+        self.splits_at_spaces = pattern == public_tokenizers.PATTERN
+        told = hashlib.sha256(pattern.encode())
+        for key, rank in sorted(ranks.items()):
+            told.update(b"%d %d " % (len(key), rank) + key)
+        self.digest = told.digest()
         self._ready = False
 
     def __getstate__(self):
@@ -183,11 +194,11 @@ class Encoder:
         return known
 
     def ids_of(self, text: str) -> np.ndarray:
-        """All ids of a text. A white-space character that a non-space follows always begins a pre-token, so a
+        """All ids of a text. If a white-space character that a non-space follows always begins a pre-token, a
         text without longer runs is cut before its spaces and line ends, and each part is looked up whole."""
         if not text:
             return np.zeros(0, np.uint32)
-        if self.loose(text):
+        if not self.splits_at_spaces or self.loose(text):
             return np.frombuffer(b"".join(map(self.piece_ids, self.find(text))), np.uint32)
         first, *parts = text.replace("\n", " \n").split(" ")
         head = b"".join(map(self.piece_ids, self.find(first)))
@@ -225,13 +236,12 @@ class _Strings:
         return self.flat[places].tobytes()
 
 
-#: One encoder for each vocabulary and Python worker, kept over tasks with what it has resolved.
-_WARM: dict[int, Encoder] = {}
+#: One encoder for each vocabulary, pattern and Python worker, kept over tasks with what it has resolved.
+_WARM: dict[bytes, Encoder] = {}
 
 
 def warm(encoder: Encoder) -> Encoder:
-    key = hash((encoder.pattern, len(encoder.keys), encoder.keys[-1] if encoder.keys else b""))
-    own = _WARM.setdefault(key, encoder)
+    own = _WARM.setdefault(encoder.digest, encoder)
     own.prepare()
     return own
 

@@ -85,6 +85,27 @@ def test_bpe_equals_library(spark):
     assert [r["decoded"] for r in byte_bpe.decode(odd, BPE_RANKS).orderBy("doc_id").collect()] == [None, None, b""]
 
 
+def test_bpe_of_two_vocabularies_and_other_patterns(spark, tmp_path):
+    """One process, two vocabularies of the same size and last entry; a pattern that doesn't split at white space."""
+    import base64
+
+    docs = spark.createDataFrame([(1, "abc"), (2, ".\n"), (3, "ab c\nd")], "doc_id long, text string").coalesce(1)
+    single = [bytes([b]) for b in range(256)]
+    for name, merged in (("one", [b"ab", b"abc"]), ("two", [b"bc", b"abc"])):
+        own = single + merged[:1] + [b".\n", b"zz"]
+        (tmp_path / name).write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % i for i, k in enumerate(own)))
+    for name in ("one", "two", "one"):
+        for pattern in (public_tokenizers.PATTERN, r"[^ ]+|\s+"):
+            ranks = byte_bpe.read_ranks(str(tmp_path / name))
+            library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            got = {r["doc_id"]: list(r["ids"]) for r in byte_bpe.encode(docs, str(tmp_path / name), pattern).collect()}
+            assert got == {r["doc_id"]: library.encode_ordinary(r["text"]) for r in docs.collect()}
+    clash = docs.withColumn("ids", F.lit(7)).withColumn("k0", F.lit(8))
+    kept = byte_bpe.encode(clash, str(tmp_path / "one"), public_tokenizers.PATTERN, keep=("doc_id", "k0"))
+    assert kept.columns == ["doc_id", "k0", "ids"] and kept.filter("k0 = 8").count() == 3
+    assert byte_bpe.encode(docs.limit(0), str(tmp_path / "one"), public_tokenizers.PATTERN).count() == 0
+
+
 def test_perfect_hash_is_minimal():
     keys = [b"k%d" % i for i in range(5000)]
     table = byte_bpe.PerfectHash(keys)
@@ -112,6 +133,16 @@ def test_toxicity(spark):
     right = [(got[i] >= 0.5) == bool(t) for i, _, t in labels if i is not None and i in got and t is not None and i >= 1000 and i % 5 == 0]
     assert len(right) > 40 and sum(right) / len(right) > 0.9
     assert all(0 <= s <= 1 for s in got.values()) and toxicity.score(docs, model).count() == docs.count()
+    # brute force: gains of every window, and the score that the model makes of their counts
+    plain, bad = toxicity._compressor(model.ordinary), toxicity._compressor(model.toxic + model.ordinary)
+    for i, t, *_ in rows[:20]:
+        counts = Counter(min(max(len(plain(w)) - len(bad(w)) - toxicity.LOWEST, 0), toxicity.BINS - 1) for w in toxicity.windows(t.lower().encode()))
+        assert got[i] == pytest.approx(model.scores(toxicity.np.array([[counts[k] for k in range(toxicity.BINS)]], float))[0])
+    assert any(w.encode() in model.toxic for w in insults) and not any(w.encode() in model.ordinary for w in insults)
+    two = docs.unionByName(frame(spark, [(1000, "zz " + t, "en", "s") for i, t, *_ in rows if i == 1000]))  # the smallest text of an id counts
+    assert toxicity.fit(clashing(two), clashing(marks), use=held, settings=toxicity.Training(documents=100)) == model
+    nothing = toxicity.fit(docs.limit(0), marks.limit(0), use=held)
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, nothing).collect())
     empty = toxicity.fit(docs, marks.filter("toxic = 0"), use=held)
     assert all(r["score"] < 0.5 for r in toxicity.score(docs, empty).collect())
     assert toxicity.score(frame(spark, []), model).count() == 0
@@ -144,6 +175,19 @@ def test_language(spark):
     held = [got[i][0] == lang for i, _, lang, _ in rows[:200] if i % 4 == 2 and i > 9]
     assert sum(held) / len(held) > 0.95 and got[301] == ("und", 0.0) and got[300][0] == "bb" and got[1] == ("und", 0.0)
     assert all(0 <= s <= 1 for _, s in got.values())
+    # brute force: each word scored alone, added up, the largest sum wins
+    for doc, text, *_ in [*rows[:40], rows[200], rows[202]]:
+        scores = sum(model.word_scores(language_id.cut(b" " + w.encode())).sum(axis=0) for w in re.findall(r"[^\W\d_]+", text.lower()))
+        best = int(scores.argmax())
+        if doc > 9:
+            assert got[doc] == (model.languages[best], pytest.approx(1 / language_id.np.exp(scores - scores.max()).sum()))
+    again = language_id.fit(clashing(docs.repartition(3)).withColumn("langs", F.lit(1)), BPE_RANKS, use=F.col("doc_id") % 4 != 2)
+    assert (again.prob == model.prob).all()  # however the table is split
+    twins = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(("zz", "mm", "nn") * 3)], "doc_id long, text string, lang string")
+    tied = language_id.fit(twins, BPE_RANKS, use=F.lit(True))
+    assert tied.languages == ["mm", "nn", "zz"] and {(r["lang_pred"], round(r["score"], 6)) for r in language_id.predict(twins, tied).collect()} == {("mm", 0.333333)}
+    many = spark.createDataFrame([(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("bo", "ka", "re")), f"l{i:03d}") for i in range(230)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many, BPE_RANKS, use=F.lit(True), settings=language_id.Training(rounds=1)).languages) == 230
     nothing = language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")), BPE_RANKS, use=F.lit(True))
     assert {r["lang_pred"] for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.predict(frame(spark, []), model).count() == 0

@@ -2,9 +2,11 @@
 
 Built-in functions only. A conversation is one record: its turns are gathered, ordered by turn (then role and
 text, so that ties and repeated rows have one order), checked by a finite-state machine over the roles and written
-as segments. Texts can't forge turns: the template's control strings are escaped inside them and can be restored.
+as segments. Texts can't forge turns: whatever the template, the characters that its control strings begin with are
+written otherwise inside texts and roles, and can be restored.
 
-Null text and null role count as empty. Roles outside the automaton make a conversation invalid; it is still
+Null text and null role count as empty. A conversation is one record however long its texts. Other columns may have any
+names and are left out. Roles outside the automaton make a conversation invalid; it is still
 formatted and says so in `valid`. An empty table gives an empty one.
 """
 
@@ -30,22 +32,32 @@ class Template:
     })
     ends: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        marks = (self.open, self.after_role, self.close)
+        if not all(marks) or any("\\" in m for m in marks):
+            raise ValueError("control strings must not be empty or hold a backslash")
+        if any(m[-k:] == self.open[:k] for m in marks for k in range(1, len(self.open))):
+            raise ValueError("no control string may end as the opening one begins")
 
-def escape(text: Column) -> Column:
-    """No `<|` and no line end is left in a role and no `<|` in a text; unescape() restores every string."""
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    def codes(self, role: bool = False) -> dict[str, str]:
+        """What is written for the escape sign and for each character that begins a control string: the sign and a
+        letter that no control string holds."""
+        specials = dict.fromkeys(["\\", self.open[0], self.close[0], *([self.after_role[0]] if role else [])])
+        letters = (c for c in map(chr, range(0x61, 0x10000)) if c not in self.open + self.after_role + self.close)
+        return {c: "\\" + next(letters) for c in specials}
 
 
-def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+def escape(text: Column, template: Template | None = None, role: bool = False) -> Column:
+    """No character is left that begins a control string (in a role: the mark behind it too); unescape() restores all."""
+    for c, code in (template or Template()).codes(role).items():  # the escape sign first
+        text = F.replace(text, F.lit(c), F.lit(code))
+    return text
 
 
-def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("\n"), F.lit("<\\/"))
-
-
-def unescape_role(role: Column) -> Column:
-    return unescape(F.replace(role, F.lit("<\\/"), F.lit("\n")))
+def unescape(text: Column, template: Template | None = None, role: bool = False) -> Column:
+    for c, code in reversed((template or Template()).codes(role).items()):
+        text = F.replace(text, F.lit(code), F.lit(c))
+    return text
 
 
 def _valid(roles: Column, template: Template) -> Column:
@@ -71,8 +83,8 @@ def format_chats(df: DataFrame, template: Template | None = None, conv: str = "c
     segment = lambda value, loss: F.struct(value.alias("text"), loss.alias("loss"))
     never = F.lit(False)
     segments = F.flatten(F.transform("turns", lambda x: F.array(
-        segment(F.concat(F.lit(t.open), escape_role(x["role"]), F.lit(t.after_role)), never),
-        segment(escape(x["text"]), x["role"].isin(*t.loss_roles)),
+        segment(F.concat(F.lit(t.open), escape(x["role"], t, role=True), F.lit(t.after_role)), never),
+        segment(escape(x["text"], t), x["role"].isin(*t.loss_roles)),
         segment(F.lit(t.close), never),
     )))
     out = chats.select(F.col("c").alias(conv), _valid(F.col("turns.role"), t).alias("valid"), segments.alias("segments"))
@@ -85,15 +97,15 @@ def read_back(df: DataFrame, template: Template | None = None, formatted: str =
     parts = F.filter(F.split(F.col(formatted), _quoted(t.open), -1), lambda x, i: i > 0)
     role_of = lambda x: F.substring_index(x, t.after_role, 1)
     turns = F.transform(parts, lambda x: F.struct(
-        unescape_role(role_of(x)).alias("role"),
-        unescape(F.substr(x, F.length(role_of(x)) + len(t.after_role) + 1, F.length(x) - F.length(role_of(x)) - len(t.after_role) - len(t.close))).alias("text"),
+        unescape(role_of(x), t, role=True).alias("role"),
+        unescape(F.substr(x, F.length(role_of(x)) + len(t.after_role) + 1, F.length(x) - F.length(role_of(x)) - len(t.after_role) - len(t.close)), t).alias("text"),
     ))
     return df.withColumn(name, turns)
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: Template | None = None) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
 
 
 def _quoted(mark: str) -> str:

@@ -61,7 +61,7 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit,
        sha256(coalesce(t.items, '')) AS items_sha256, p.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
-_ESCAPED = "replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+_ESCAPED = "replace(replace(text, chr(92), chr(92) || 'a'), '<', chr(92) || 'b')"
 
 OP10 = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -15,22 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE_ROOT = Path(__file__).resolve().parents[2]
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables that driver and executors share: the one in spark.checkpoint.dir.
+from cardloom.functions.scratch import scratch_dir
 
-    Where that setting is missing, a temporary folder is made and set, but on one machine only (local mode): on a
-    cluster every executor would write into a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-cardloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cardloom-{spark.sparkContext.applicationId}"
+_PACKAGE_ROOT = Path(__file__).resolve().parents[2]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -78,11 +64,10 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_cardloom_shipped", False):
         return
-    target = Path(tempfile.mkdtemp(prefix="spark-cardloom-")) / "cardloom_llm.zip"
+    target = Path(tempfile.mkdtemp(prefix="spark-cardloom-")) / "cardloom.zip"
     with zipfile.ZipFile(target, "w") as out:
-        out.write(_PACKAGE_ROOT / "cardloom" / "__init__.py", "cardloom/__init__.py")
-        for path in sorted((_PACKAGE_ROOT / "cardloom" / "llm").glob("*.py")):
-            out.write(path, f"cardloom/llm/{path.name}")
+        for path in sorted((_PACKAGE_ROOT / "cardloom").rglob("*.py")):
+            out.write(path, path.relative_to(_PACKAGE_ROOT))
     context.addPyFile(str(target))
     context._cardloom_shipped = True
 

@@ -1,5 +1,7 @@
 """Operators that need other rows: token files, sharding, decontamination, near duplicates, chats, the pipeline."""
 
+import hashlib
+import math
 import os
 import random
 import re
@@ -27,7 +29,7 @@ def test_token_counts(spark, tmp_path, width, block):
     eod = 50256
     docs = frame(spark, awkward()[:8] + [(30 + i, prose(i, 30 + i), "en", "s") for i in range(40)]).repartition(3)
     path = f"file://{tmp_path}/tokens"
-    token_counts.write_token_files(clashing(docs), path, BPE_RANKS, public_tokenizers.PATTERN, eod, width=width)
+    token_counts.write_token_files(clashing(docs), path, BPE_RANKS, public_tokenizers.PATTERN, eod, width=width, order="doc_id")
     got = token_counts.scan_token_files(spark, path, eod, width=width, block_bytes=block)
     want = byte_bpe.round_trip(docs, BPE_RANKS, public_tokenizers.PATTERN)
     assert sorted(r["n_tokens"] for r in got.collect()) == sorted(r["n_tokens"] for r in want.collect())
@@ -36,8 +38,14 @@ def test_token_counts(spark, tmp_path, width, block):
         for k, r in enumerate(got.filter(F.col("file") == file["file"]).orderBy("ordinal").collect()):
             assert (r["ordinal"], r["first_token"], r["closed"]) == (k, at, True)
             at += r["n_tokens"] + 1
-    with pytest.raises(ValueError, match="free"):
-        token_counts.write_token_files(docs, path + "2", BPE_RANKS, public_tokenizers.PATTERN, 5)
+    by_place = [r["n_tokens"] for r in got.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("int"), "ordinal").collect()]
+    ids = want.filter("doc_id >= 30").orderBy("doc_id").collect()
+    assert by_place[-len(ids) :] == [r["n_tokens"] for r in ids]  # document by document
+    for bad, what in ((5, "free"), (0xD800, "character"), (0x110000, "character"), (10, "character")):
+        with pytest.raises(ValueError, match=what):
+            token_counts.write_token_files(docs, path + "2", BPE_RANKS, public_tokenizers.PATTERN, bad, width=4)
+    token_counts.write_token_files(docs.limit(0), path + "3", BPE_RANKS, public_tokenizers.PATTERN, eod)
+    assert token_counts.scan_token_files(spark, path + "3", eod).count() == 0
 
 
 def test_open_end_and_empty_files(spark, tmp_path):
@@ -60,6 +68,15 @@ def test_sharding(spark):
         slots = sorted(r["slot"] for r in got if r["shard"] == shard)
         assert slots == list(range(len(slots)))
     assert all(r["grown_shard"] in (r["shard"], 24) for r in got) and any(r["grown_shard"] == 24 for r in got)
+    def winner(key, n):
+        draws = [(int(hashlib.md5(f"{'' if key is None else key}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for k in range(n)]
+        return min(range(n), key=lambda k: -math.log(draws[k]))
+
+    assert all((r["shard"], r["grown_shard"]) == (winner(r["doc_id"], 24), winner(r["doc_id"], 25)) for r in got)
+    own = spark.range(3).withColumnRenamed("id", "k").withColumns({n: F.lit(1) for n in ("_salt", "salt", "part", "n", "row", "start", "scores")})
+    assert sharding.assign(own, "k", [1, 1]).columns == [*own.columns, "shard"]
+    with pytest.raises(ValueError, match="already"):
+        sharding.assign(own.withColumn("Shard", F.lit(0)), "k", [1, 1])
     sizes = Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got)
     assert sizes == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
     weighted = Counter(r["shard"] for r in sharding.assign(spark.range(4000).withColumnRenamed("id", "k"), "k", [1, 3]).collect())
@@ -248,6 +265,22 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_of_any_template(spark):
+    """Texts of its own marks, their parts and escape signs forge nothing; a very long text comes back whole."""
+    for template in (chat_format.Template(open="[TURN]", close="[END]\n"), chat_format.Template(open="@", after_role=":", close="b\n"), chat_format.Template(open="<s>", after_role="</r>", close="</s>")):
+        rng = random.Random(3)
+        parts = [template.open, template.close, template.after_role, "\\", "\\a", "\\b", "a", "b", "[", "TURN]", "@user:", "x y"]
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(60)] + ["long " * 100_000]
+        rows = [(i, k, r, t) for i, t in enumerate(texts) for k, r in enumerate(("user" + rng.choice(parts), "assistant"))]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        back = chat_format.read_back(chat_format.format_chats(df, template), template).withColumn("loss", chat_format.loss_text(F.col("segments"), template)).collect()
+        got = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["turns"]], r["loss"]) for r in back}
+        assert got == {i: ([(r, t) for j, _, r, t in rows if j == i], texts[i]) for i in range(len(texts))}
+    for bad in ({"open": ""}, {"open": "a\\"}, {"open": "ab", "after_role": "xa"}):
+        with pytest.raises(ValueError, match="control string"):
+            chat_format.Template(**bad)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -4,11 +4,14 @@ A token file is nothing but token ids (2 or 4 bytes each, little-endian) with an
 document. Files are cut into blocks of fixed size; each task reads blocks, finds the separators with one vectorised
 comparison and reports what stands before the first, between them and behind the last. A prefix scan over the block
 reports (a running sum that restarts behind every block with a separator) stitches documents that span blocks.
-The scan's window is one row per block and file: at 4 MB a block, 250,000 rows for a file of a terabyte.
+The scan's window holds counts alone, one row per block and file: at 4 MB a block, 250,000 rows for a file of a
+terabyte. The lengths between separators stay with their blocks and meet the scan's result again by file and block.
 
 Empty files have no documents. Tokens behind the last separator are a document with closed = false. A file whose
-size is no multiple of the id's size is an error. Empty documents count 0 tokens. Files are read through
-pyarrow's file systems (local, s3, gs, hdfs), as byte ranges.
+size is no multiple of the id's size is an error. Empty documents count 0 tokens; documents may be longer than blocks.
+Repeated documents are documents of their own. An empty table gives files without documents. Files are read through
+pyarrow's file systems (local, s3, gs, hdfs), as byte ranges. Files say nothing of other columns, so these may have
+any names. write_token_files() numbers its files in the order of a column where one is given.
 """
 
 from __future__ import annotations
@@ -23,17 +26,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm.byte_bpe import Encoder, _texts, read_ranks, warm
-from cardloom.llm.common import map_batches, ship_package
+from cardloom.llm.common import map_batches, materialise, ship_package
 
 BLOCK_BYTES = 4 << 20
 
 
-def write_token_files(df: DataFrame, path: str, ranks_path: str, pattern: str, eod: int, text: str = "text", width: int = 2) -> None:
+def write_token_files(df: DataFrame, path: str, ranks_path: str, pattern: str, eod: int, text: str = "text", width: int = 2, order: str | None = None) -> None:
     """Encode every whole text (null: no tokens) and write flat files, one for each task.
 
-    Spark's text writer puts raw bytes and a separator of our choice: the end-of-document id itself.
+    Spark's text writer puts raw bytes and a separator of our choice: the end-of-document id itself. As this separator
+    is written as a character, it must be one: no surrogate (55296 to 57343), nothing above 0x10FFFF, no line feed or
+    carriage return. With order, the documents are sorted by that column over all files.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
+    if not 0 < eod <= 0x10FFFF or 0xD800 <= eod <= 0xDFFF or eod in (10, 13):
+        raise ValueError("the end-of-document id must be the code of a character")
     ranks = read_ranks(ranks_path)
     if eod in set(ranks.values()) or eod >= 1 << 8 * width or max(ranks.values(), default=0) >= 1 << 8 * width:
         raise ValueError("the end-of-document id must be free and fit the width")
@@ -46,7 +53,8 @@ def write_token_files(df: DataFrame, path: str, ranks_path: str, pattern: str, e
                 rows = [encoder.ids_of(t).astype(kind).tobytes() for t in _texts(batch.column(0).slice(at, 500))]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
-    encoded = map_batches(df.select(F.col(f"`{text}`").cast("string").alias("t")), task, "value binary")
+    texts = df.select(F.col(f"`{text}`").cast("string").alias("t"), (F.col(f"`{order}`") if order else F.lit(0)).alias("o"))
+    encoded = map_batches((texts.repartitionByRange("o").sortWithinPartitions("o") if order else texts).select("t"), task, "value binary")
     encoding = {2: "UTF-16LE", 4: "UTF-32LE"}[width]
     encoded.select(F.col("value").cast("string")).write.option("encoding", encoding).option("lineSep", chr(eod)).text(path)
 
@@ -91,19 +99,20 @@ def scan_token_files(spark: SparkSession, path: str, eod: int, width: int = 2, b
                 )
 
     found = map_batches(blocks, task, "file string, block bigint, n bigint, ends bigint, head bigint, tail bigint, inner array<bigint>")
+    found = materialise(found, "token-blocks")
     in_order = Window.partitionBy("file").orderBy("block")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    scanned = found.withColumns({
+    scanned = found.select("file", "block", "n", "ends", "head", "tail").withColumns({
         "ordinal": F.coalesce(F.sum("ends").over(before), F.lit(0)),
         "token": F.coalesce(F.sum("n").over(before), F.lit(0)),
         "run": F.coalesce(F.sum((F.col("ends") > 0).cast("int")).over(before), F.lit(0)),
         "last": F.lead("block").over(in_order).isNull(),
+        "open_tail": F.last(F.when(F.col("ends") > 0, F.col("tail")), ignorenulls=True).over(before),
     })
     # tokens open at a block's start: the tail of the last block with a separator and all of those since
     since = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    open_from = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scanned = scanned.withColumn("carry", F.coalesce(F.sum("n").over(since), F.lit(0))
-                                 + F.coalesce(F.last(F.when(F.col("ends") > 0, F.col("tail")), ignorenulls=True).over(open_from), F.lit(0)))
+    carry = F.coalesce(F.sum(F.when(F.col("ends") == 0, F.col("n"))).over(since), F.lit(0)) + F.coalesce("open_tail", F.lit(0))
+    scanned = scanned.withColumn("carry", carry).join(found.select("file", "block", "inner"), ["file", "block"])
     lengths = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carry") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<bigint>"))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("n"))
     lengths = F.transform(lengths, lambda x: F.struct(x.alias("n"), F.lit(True).alias("closed")))

@@ -1,16 +1,19 @@
 """Operator 8: language identification with segmentation-marginalised unigrams.
 
-The pieces are those of a fixed public vocabulary of byte strings. Each language has a probability for each piece;
-a word's probability is the sum over all its segmentations of the product of their pieces, computed by the forward
-algorithm; a text's is the product over its words. Piece probabilities are fitted by expectation
-maximisation (forward-backward) on word counts of a bounded sample of labelled documents.
+The pieces are those of a fixed public vocabulary of byte strings, all of them, and the single bytes. Each language has a
+probability for each piece; a word's probability is the sum over all its segmentations of the product of their pieces,
+computed by the forward algorithm; a text's is the product over its words. Piece probabilities are fitted by expectation
+maximisation (forward-backward) on word counts of a bounded sample of labelled documents: each round is a Spark job over
+the words, which adds up expected piece counts; the driver holds pieces x languages numbers, whatever the number of words.
 
 A word is a lower-cased run of letters with a leading space; words over 40 bytes are cut into parts of
 40. In a task, the distinct words of a few megabytes are scored at once: piece numbers come from a hash table over rolling
 hashes, and the forward sums of all words of a length are array operations.
 
 Null texts and texts without letters are `und` with score 0. Without any labelled sample everything is `und`. Labelled
-rows without language are not learnt from. Repeated rows are predicted alike.
+rows without language are not learnt from. Every language of the labelled rows can be predicted; of languages with equal
+probability the first by name is. Texts are read whole, however long. Repeated rows are predicted alike; an empty table
+gives an empty one. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,21 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import WordTable, map_batches, materialise, mix, text_slices
+from cardloom.llm.common import Scratch, WordTable, map_batches, mix, text_slices
 
-LONGEST_PIECE, LONGEST_WORD, UNKNOWN = 12, 40, "und"
+LONGEST_WORD, UNKNOWN = 40, "und"
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the labelled sample: documents and distinct words of each language, languages in all."""
+    """Bounds of the labelled sample: documents, and most frequent distinct words, of each language."""
 
     documents: int = 200
     words: int = 60_000
-    languages: int = 200
     rounds: int = 4
 
 
@@ -45,7 +47,8 @@ class Pieces:
     SLOTS = 1 << 18
 
     def __init__(self, pieces: list[bytes]):
-        pieces = [p for p in dict.fromkeys(pieces) if 0 < len(p) <= LONGEST_PIECE]
+        pieces = [p for p in dict.fromkeys(pieces) if p]
+        self.longest = max(map(len, pieces), default=1)
         known = set(pieces)
         pieces += [bytes([b]) for b in range(256) if bytes([b]) not in known]
         self.count = len(pieces)
@@ -91,7 +94,7 @@ class Pieces:
         out = {}
         for i in range(size):
             code = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(size, i + LONGEST_PIECE) + 1):
+            for j in range(i + 1, min(size, i + self.longest) + 1):
                 code = (code + words[:, j - 1].astype(np.uint64) + np.uint64(1)) * step
                 out[i, j] = self.find(code)
         return out
@@ -102,8 +105,9 @@ def _forward(lattice: dict, n: int, size: int, prob: np.ndarray) -> list[np.ndar
     alpha = [np.ones((n, prob.shape[1]))]
     for j in range(1, size + 1):
         total = np.zeros((n, prob.shape[1]))
-        for i in range(max(0, j - LONGEST_PIECE), j):
-            total += alpha[i] * prob[lattice[i, j]]
+        for i in range(j):
+            if (i, j) in lattice:
+                total += alpha[i] * prob[lattice[i, j]]
         alpha.append(total)
     return alpha
 
@@ -141,26 +145,60 @@ def read_pieces(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
 
-def _maximise(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int) -> np.ndarray:
-    """Expected piece counts (pieces x languages) of words with counts (words x languages)."""
+#: Expected counts are added up as whole numbers of this unit, so that the order of adding doesn't matter.
+_UNIT = 2.0**-24
+
+
+def _expected(pieces: Pieces, words: list[bytes], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Expected piece counts (pieces x languages) of words with counts (words x languages), by forward and backward sums."""
     k = counts.shape[1]
-    prob = np.full((pieces.count + 1, k), 1.0 / pieces.count)
+    total = np.zeros((pieces.count + 1, k))
+    for index, matrix in _by_size(words):
+        size, lattice = matrix.shape[1], pieces.lattice(matrix)
+        alpha = _forward(lattice, len(index), size, prob)
+        beta = [None] * size + [np.ones((len(index), k))]
+        for i in range(size - 1, -1, -1):
+            beta[i] = sum(beta[j] * prob[lattice[i, j]] for j in range(i + 1, size + 1) if (i, j) in lattice)
+        scale = counts[index] / np.maximum(alpha[size], 1e-300)
+        for (i, j), number in lattice.items():
+            seen = np.flatnonzero(number >= 0)
+            if len(seen):
+                share = alpha[i][seen] * prob[number[seen]] * beta[j][seen] * scale[seen]
+                for c in range(k):
+                    total[:, c] += np.bincount(number[seen], share[:, c], minlength=pieces.count + 1)
+    return total
+
+
+def _maximise(pieces: Pieces, words: DataFrame, languages: int, rounds: int) -> np.ndarray:
+    """Piece probabilities (pieces + 1 x languages, the last row 0) from words (w, langs array<int>, counts array<bigint>)."""
+    prob = np.full((pieces.count + 1, languages), 1.0 / pieces.count)
     prob[-1] = 0
-    batches = [(index, m.shape[1], pieces.lattice(m)) for index, m in _by_size(words)]
+    context = words.sparkSession.sparkContext
     for _ in range(rounds):
-        total = np.zeros((pieces.count + 1, k))
-        for index, size, lattice in batches:
-            alpha = _forward(lattice, len(index), size, prob)
-            beta = [None] * size + [np.ones((len(index), k))]
-            for i in range(size - 1, -1, -1):
-                beta[i] = sum(beta[j] * prob[lattice[i, j]] for j in range(i + 1, min(size, i + LONGEST_PIECE) + 1))
-            scale = counts[index] / np.maximum(alpha[size], 1e-300)
-            for (i, j), number in lattice.items():
-                share = alpha[i] * prob[number] * beta[j] * scale
-                seen = number >= 0
-                for c in range(k):
-                    total[:, c] += np.bincount(number[seen], share[seen, c], minlength=pieces.count + 1)
-        total[-1] = 0
+        shared = context.broadcast((pieces, prob))  # pieces x languages
+
+        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, now = shared.value
+            total = np.zeros(now.shape)
+            for batch in batches:
+                parts: list[bytes] = []
+                counts = []
+                for w, langs, ns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    row = np.zeros(now.shape[1])
+                    row[langs] = ns
+                    pieces_of = cut(b" " + w.encode())
+                    parts += pieces_of
+                    counts += [row] * len(pieces_of)
+                if parts:
+                    total += _expected(own, parts, np.array(counts), now)
+            piece, lang = np.nonzero(total[:-1])
+            units = np.rint(total[piece, lang] / _UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(units)], ["piece", "lang", "n"])
+
+        counted = map_batches(words, task, "piece int, lang int, n bigint").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        shared.unpersist()
+        total = np.zeros((pieces.count + 1, languages))
+        total[counted["piece"].to_numpy(), counted["lang"].to_numpy()] = counted["n"].to_numpy() * _UNIT
         pooled = total.sum(axis=1, keepdims=True) + 1e-3
         pooled[-1] = 0
         smooth = total + 0.01 * total.sum(axis=0) * pooled / pooled.sum()
@@ -179,27 +217,25 @@ def fit(docs: DataFrame, pieces_path: str, use: Column, text: str = "text", lang
     known = docs.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & use).select(
         F.col(f"`{id_column}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("t")
     )
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(s.languages).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    languages = [r["lang"] for r in sizes]
     pieces = Pieces(read_pieces(pieces_path))
     if not languages:
         return Model([], pieces, np.zeros((pieces.count + 1, 0)))
     # about `documents` of each language, by a hash of the id
-    share = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, s.documents / r["n"])))), F.col("lang"))
+    table = F.create_map(*(F.lit(x) for i, r in enumerate(sizes) for x in (r["lang"], F.struct(F.lit(i).alias("number"), F.lit(min(1.0, s.documents / r["n"])).alias("share")))))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(F.col("lang").isin(languages)).filter(draw < share)
+    sample = known.withColumn("l", F.element_at(table, F.col("lang"))).filter(draw < F.col("l.share"))
     word = F.explode(F.split(_letters(F.col("t")), " "))
-    counted = sample.select("lang", word.alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    rows = materialise(counted.orderBy(F.desc("n"), "lang", "w").limit(s.words * len(languages)), "language-words").collect()
-    table: dict[bytes, np.ndarray] = {}
-    number = {name: i for i, name in enumerate(languages)}
-    for r in rows:
-        for part in cut(b" " + r["w"].encode()):
-            table.setdefault(part, np.zeros(len(languages)))[number[r["lang"]]] += r["n"]
-    words = list(table)
-    if not words:
-        return Model([], pieces, np.zeros((pieces.count + 1, 0)))
-    return Model(languages, pieces, _maximise(pieces, words, np.array([table[w] for w in words]), s.rounds))
+    counted = sample.select("l.number", word.alias("w")).filter("w <> ''").groupBy("number", "w").agg(F.count(F.lit(1)).alias("n"))
+    top = Window.partitionBy("number").orderBy(F.desc("n"), "w")  # of a language's bounded sample
+    chosen = counted.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= s.words)
+    pairs = chosen.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("number", "n"))).alias("of"))
+    with Scratch(docs.sparkSession) as hold:
+        words = hold.table(pairs.select("w", F.col("of.number").alias("langs"), F.col("of.n").alias("counts")).repartitionByRange("w").sortWithinPartitions("w"), "words")
+        if words.isEmpty():
+            return Model([], pieces, np.zeros((pieces.count + 1, 0)))
+        return Model(languages, pieces, _maximise(pieces, words, len(languages), s.rounds))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

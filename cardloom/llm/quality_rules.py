@@ -2,8 +2,11 @@
 
 No Python runs on the executors and nothing is shuffled: each text is measured where it is read.
 Null text: no words. Empty text: no words, one line. Both fail the base rule. Repeated rows are measured alike;
-an empty table gives an empty one; other columns are passed through untouched, and a table that already has a
-column of a measure's name keeps it beside the measure.
+an empty table gives an empty one; texts of any length are measured whole. Other columns are passed through untouched;
+where one has a measure's name, the measure gets an underscore behind its name.
+
+The stop words are those of four languages: a text in another language has few of them and is rejected, so use other
+rules for it.
 """
 
 from __future__ import annotations
@@ -137,7 +140,7 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     name = free_name(df, "_verdict")
     names = [*MEASURES, "base_failed", "broken_rules", "kept"]
     judged = df.withColumn(name, verdict(F.col(f"`{text}`"), rules))
-    return judged.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"{name}.{n}").alias(n) for n in names))
+    return judged.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"{name}.{n}").alias(free_name(df, n)) for n in names))
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

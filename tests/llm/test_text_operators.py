@@ -41,6 +41,8 @@ def test_quality_measures(spark):
     kept = quality_rules.keep_good(clashing(frame(spark, [(1, english, "en", "s"), (2, english.upper(), "en", "s"), (3, "a a a a " + english.replace(" ", " % "), "en", "s"), (4, None, None, None)])))
     assert [r["doc_id"] for r in kept.collect()] == [1]
     assert quality_rules.apply_rules(frame(spark, [])).count() == 0
+    taken = quality_rules.apply_rules(clashing(frame(spark, rows))).filter("doc_id = 21").select("n_words", "n_words_", "kept", "kept_", "word_chars").first()
+    assert tuple(taken)[:3] == (1, measured(loop)[0], 1) and taken["kept_"] is False and taken["word_chars"] == measured(loop)[1]
 
 
 def lines_dropped(texts, chars, documents):

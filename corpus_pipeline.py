@@ -1,7 +1,11 @@
 """A corpus pipeline of five training-data operators: each stage works on all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared scratch
-folder and rereads. All but the last keep the columns of documents.
+folder and rereads. All but the last keep the columns of documents, and any others that the table has.
+
+Null and empty texts have no words and go in the first stage. Texts are read whole in every stage, however long. Rows that
+repeat are duplicates of each other: one stays. Of texts that are equally good members of a group the one of the smallest
+doc_id stays; rows without id come last. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ With groups of texts, a group counts as one document: a line then needs min_docu
 are counted first, since no line has more groups than rows; groups are looked up for the lines that this leaves.
 
 Each row is a document. Null text counts as one empty line and comes back empty; rows that repeat both id and
-text count as documents of their own and get the same result. An empty table gives an empty one. Columns besides
-text are passed through, whatever their names.
+text count as documents of their own and get the same result. An empty table gives an empty one. Texts are read whole,
+however long. Columns besides text are passed through; where one has the name of a count, the count gets an underscore
+behind its name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import Scratch, materialise, text_key
+from cardloom.llm.common import Scratch, free_name, materialise, text_key
 
 #: Characters stripped at both ends of a line to make its key; A-Z are lower-cased, nothing else.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -85,4 +86,4 @@ def drop_shared_lines(df: DataFrame, text: str = "text", min_key_chars: int = 1,
             "nd": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint"),
         })
     )
-    return out.select(*(F.col("kept" if n == at else n).alias(c) for n, c in zip(names, df.columns, strict=True)), F.col("nl").alias("n_lines"), F.col("nd").alias("n_dropped"))
+    return out.select(*(F.col("kept" if n == at else n).alias(c) for n, c in zip(names, df.columns, strict=True)), F.col("nl").alias(free_name(df, "n_lines")), F.col("nd").alias(free_name(df, "n_dropped")))

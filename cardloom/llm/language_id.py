@@ -88,7 +88,8 @@ class Pieces:
         return out
 
     def lattice(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """words: n x size bytes. Piece numbers of all words' bytes [i, j), -1 where there is no such piece."""
+        """words: n x size bytes. Piece numbers of all words' bytes [i, j), -1 where there is no such piece; no entry where
+        no word has one."""
         size = words.shape[1]
         step = np.uint64(0x9E3779B97F4A7C15)
         out = {}
@@ -96,7 +97,9 @@ class Pieces:
             code = np.zeros(len(words), np.uint64)
             for j in range(i + 1, min(size, i + self.longest) + 1):
                 code = (code + words[:, j - 1].astype(np.uint64) + np.uint64(1)) * step
-                out[i, j] = self.find(code)
+                number = self.find(code)
+                if number.max(initial=-1) >= 0:
+                    out[i, j] = number
         return out
 
 
@@ -152,21 +155,20 @@ _UNIT = 2.0**-24
 def _expected(pieces: Pieces, words: list[bytes], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Expected piece counts (pieces x languages) of words with counts (words x languages), by forward and backward sums."""
     k = counts.shape[1]
-    total = np.zeros((pieces.count + 1, k))
+    numbers, shares = [np.zeros(0, np.int64)], [np.zeros((0, k))]
     for index, matrix in _by_size(words):
         size, lattice = matrix.shape[1], pieces.lattice(matrix)
         alpha = _forward(lattice, len(index), size, prob)
-        beta = [None] * size + [np.ones((len(index), k))]
-        for i in range(size - 1, -1, -1):
-            beta[i] = sum(beta[j] * prob[lattice[i, j]] for j in range(i + 1, size + 1) if (i, j) in lattice)
+        beta = [np.zeros((len(index), k)) for _ in range(size)] + [np.ones((len(index), k))]
+        for i, j in sorted(lattice, reverse=True):
+            beta[i] += beta[j] * prob[lattice[i, j]]
         scale = counts[index] / np.maximum(alpha[size], 1e-300)
         for (i, j), number in lattice.items():
             seen = np.flatnonzero(number >= 0)
-            if len(seen):
-                share = alpha[i][seen] * prob[number[seen]] * beta[j][seen] * scale[seen]
-                for c in range(k):
-                    total[:, c] += np.bincount(number[seen], share[:, c], minlength=pieces.count + 1)
-    return total
+            numbers.append(number[seen])
+            shares.append(alpha[i][seen] * prob[number[seen]] * beta[j][seen] * scale[seen])
+    number, share = np.concatenate(numbers), np.concatenate(shares)
+    return np.column_stack([np.bincount(number, share[:, c], minlength=pieces.count + 1) for c in range(k)])
 
 
 def _maximise(pieces: Pieces, words: DataFrame, languages: int, rounds: int) -> np.ndarray:

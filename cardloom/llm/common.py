@@ -122,7 +122,7 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPAN = 1 << 22
+_SPAN = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

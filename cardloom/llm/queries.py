@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import byte_bpe, chat_format, decontamination, language_id, line_dedup, near_dedup, quality_rules, sharding, token_counts, toxicity
+from cardloom.llm import byte_bpe, cap_filters, chat_format, decontamination, language_id, line_dedup, near_dedup, periodic_runs, quality_rules, sharding, token_counts, toxicity, whitening
 from cardloom.llm.common import scratch_dir
 
 #: Vocabulary of the byte-level BPE queries.
@@ -95,6 +95,40 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _repeated_tail(docs: DataFrame) -> DataFrame:
+    """documents with h % 10 = 0 repeat words from a = g % n on with period 1 + (n - a) div (3 + g % 8); h is the CRC-32 of
+    doc_id, g = h div 10. Other texts, and those of rows without id, stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    a = F.col("g") % n
+    with_a = some.withColumn("a", F.when(n > 0, a))
+    with_p = with_a.withColumn("p", F.lit(1) + F.expr("(size(words) - a) div (3 + g % 8)"))
+    place = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    return with_p.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.transform("words", place), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _repeated_tail(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return found.withColumns({"longest": longest, "told": F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise("")}).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("(1000 * longest.length) div (-longest.period)").alias("exponent_milli"), F.sha2("told", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_line_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_byte_bpe, op8_language_id, op9_minhash_near_dedup, op10_chat_format)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_line_dedup, op4_token_counts, op5_sharding, op6_decontamination, op7_byte_bpe, op8_language_id, op9_minhash_near_dedup, op10_chat_format, op11_cap_filters, op12_periodic_runs, op13_whitening)
 }

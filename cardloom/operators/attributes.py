@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.functions.rows import free_name
+from cardloom.functions.rows import free_name, ordered_fold
 from cardloom.functions.text import filled, plain_number, strip
 from cardloom.operators.projections import attribute_label
 
@@ -198,18 +198,31 @@ def _with_used(attributes: Column, used: Callable[[Column, Column], Column]) ->
 
 def spend_slots(cards: DataFrame, actions: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Cards after actions (id, item, delta), one after another in the given order: a slot's `usati` stays between 0 and
-    its total. Actions on slots that are not there change nothing. A card's actions are folded as one list.
+    its total. Actions on slots that are not there change nothing.
+
+    An action is a shift held between two bounds, and so are several in a row: (shift, low, high) of a slot's whole log is
+    folded without gathering it, so a slot may have any number of actions. Actions that `order` does not tell apart are
+    taken by size.
     """
-    moves = F.sort_array(F.collect_list(F.struct(*order, "item", F.col("delta").cast("double").alias("delta"))))
-    by_card = actions.filter("item is not null and delta is not null").groupBy(F.col("id").alias("of")).agg(moves.alias("moves"))
+    slots = cards.select("id", F.posexplode(_set_slots(F.col("attributes"))).alias("item", "slot"))
+    slots = slots.select("id", "item", _slot_number(F.col("slot"), "totale").alias("total")).distinct()
+    moves = actions.filter("item is not null and delta is not null").select("id", "item", *order, F.col("delta").cast("double").alias("delta"))
+    step = F.struct(F.col("delta").alias("shift"), F.lit(0.0).alias("low"), F.greatest(F.lit(0.0), "total").alias("high"))
+
+    def then(a: Column, b: Column) -> Column:
+        held = lambda u: F.least(b["high"], F.greatest(b["low"], u + b["shift"]))
+        return F.struct((a["shift"] + b["shift"]).alias("shift"), held(a["low"]).alias("low"), held(a["high"]).alias("high"))
+
+    runs = ordered_fold(moves.join(slots, ["id", "item"]), ["id", "item", "total"], [*order, "delta"], step, then, "run")
+    by_card = runs.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("item", "total", "run")).alias("runs"))  # one for each slot
     now = cards.alias("now").join(by_card.alias("log"), F.col("now.id") == F.col("log.of"), "left")
 
     def used(slot: Column, i: Column) -> Column:
-        own = F.filter("log.moves", lambda m: m["item"] == i)
-        clamp = lambda u, m: F.greatest(F.lit(0.0), F.least(_slot_number(slot, "totale"), u + m["delta"]))
-        return F.aggregate(own, _slot_number(slot, "usati"), clamp)
+        own = F.get(F.filter("log.runs", lambda m: (m["item"] == i) & (m["total"] == _slot_number(slot, "totale"))), F.lit(0))["run"]
+        start = _slot_number(slot, "usati")
+        return F.when(own.isNull(), start).otherwise(F.least(own["high"], F.greatest(own["low"], start + own["shift"])))
 
-    spent = F.when(F.col("log.moves").isNull(), F.col("now.attributes")).otherwise(_with_used(F.col("now.attributes"), used))
+    spent = F.when(F.col("log.runs").isNull(), F.col("now.attributes")).otherwise(_with_used(F.col("now.attributes"), used))
     return now.select(*((spent if c == "attributes" else F.col(f"now.`{c}`")).alias(c) for c in cards.columns))
 
 
@@ -251,7 +264,9 @@ def list_to_lines(items: Column) -> Column:
 def parse_generated(df: DataFrame, reply: str = "reply") -> DataFrame:
     """Generator replies to name, description, story, attributes (JSON) and ok; ok = false is the quarantine.
 
-    A code fence and its json tag are cut off, then everything outside the first { and the last }.
+    A code fence and its json tag are cut off, then everything outside the first { and the last }. A reply that is JSON but
+    no object (a number, text, list, null) has no fields to pick from and is quarantined; so is one whose attributes are
+    neither left out, null nor an object.
     """
     text = strip(F.col(reply))
     fenced = F.split_part(text, F.lit("```"), F.lit(2))
@@ -260,7 +275,10 @@ def parse_generated(df: DataFrame, reply: str = "reply") -> DataFrame:
     df = df.withColumn(t, strip(F.when(text.startswith("```"), fenced).otherwise(text)))
     start, back = F.locate("{", F.col(t)), F.locate("}", F.reverse(t))
     cut = F.when((start > 0) & (back > 0), F.substr(t, start, F.length(t) - back - start + 2)).otherwise(F.col(t))
-    df = df.withColumn(v, F.try_parse_json(cut)).withColumn("ok", F.col(v).isNotNull())
+    df = df.withColumn(v, F.try_parse_json(cut))
+    given = F.schema_of_variant(F.try_variant_get(v, "$.attributes", "variant"))
+    fine = F.schema_of_variant(v).startswith("OBJECT") & (given.isNull() | given.startswith("OBJECT") | (given == "VOID"))
+    df = df.withColumn("ok", F.coalesce(fine, F.lit(False)))
     get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
     out = {k: F.when(F.col("ok"), F.coalesce(get(k), F.lit(""))) for k in ("name", "description", "story")}
     out["attributes"] = F.when(F.col("ok"), F.coalesce(get("attributes"), F.lit("{}")))

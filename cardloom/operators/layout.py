@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.functions.rows import free_name, number_rows
+from cardloom.functions.rows import free_name, number_rows, with_next
 
 # Card width and height in mm, columns and rows of an A4 page, by format.
 FORMATS = {"mini": (44.0, 61.6, 4, 4), "standard": (63.0, 88.2, 3, 3), "grande": (86.0, 120.4, 2, 2)}
@@ -79,9 +79,9 @@ def poll_outcome(polls: DataFrame, max_attempts: int = 15) -> DataFrame:
 
 
 def debounce(events: DataFrame, milliseconds: int = 250) -> DataFrame:
-    """The changes (user_id, event_id, ts) that no other change of the same user follows within the time, its end included."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    after = F.lead("ts").over(order)
-    late = after.isNull() | (F.timestamp_diff("MICROSECOND", F.col("ts"), after) > milliseconds * 1000)
-    last = free_name(events, "last")
-    return events.withColumn(last, late).filter(last).drop(last)
+    """The changes (user_id, event_id, ts) that no other change of the same user follows within the time, its end included.
+
+    Gaps are found by range partitions: a user's changes are dealt to as many tasks as they need."""
+    after = free_name(events, "after")
+    met = with_next(events, ["user_id"], ["ts", "event_id"], "ts", after)
+    return met.filter(F.col(after).isNull() | (F.timestamp_diff("MICROSECOND", F.col("ts"), F.col(after)) > milliseconds * 1000)).drop(after)

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.rows import first_of, last_set
+from cardloom.functions.scratch import new_path, written
 from cardloom.functions.text import filled
+from cardloom.operators.joins import activations
 from cardloom.operators.predicates import unpaid
 from cardloom.operators.projections import conform
 from cardloom.sources import schemas
@@ -20,17 +22,31 @@ from cardloom.sources import schemas
 PATCHABLE = ("name", "description", "story", "language", "type", "custom_type", "artwork_path", "attributes", "back")
 
 
-def apply_toggles(log: DataFrame) -> DataFrame:
-    """(user_id, id) selected after a log (user_id, event_id, ts, action, card_id) of toggle, clear and all.
+def selection_sets(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A log (user_id, event_id, ts, action, card_id) of toggle, clear and all as one signed set for each user.
 
-    Only what follows a user's last reset counts; after `all`, an odd number of toggles takes a card out (kind = out).
+    Two tables: users (user_id) whose set is everything but what is listed, and the listed (user_id, id); the set of any
+    other user is what is listed. Only what follows a user's last reset counts, an odd number of toggles lists a card, and
+    `all` stays one row: it is never spread over cards.
     """
     seq = F.struct("ts", "event_id")
     log = log.select("user_id", "event_id", "ts", "action", "card_id")
     resets = log.filter("action <> 'toggle'").groupBy("user_id").agg(F.max(seq).alias("at"), F.max_by("action", seq).alias("reset"))
     met = log.filter("action = 'toggle'").join(resets, "user_id", "left").filter("at is null or struct(ts, event_id) > at")
-    odd = met.groupBy("user_id", F.col("card_id").alias("id")).agg((F.count(F.lit(1)) % 2).alias("odd"), F.first("reset").alias("reset")).filter("odd = 1")
-    return odd.select("user_id", "id", F.when(F.col("reset") == "all", "out").otherwise("in").alias("kind"))
+    odd = met.groupBy("user_id", F.col("card_id").alias("id")).agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1")
+    return resets.filter("reset = 'all'").select("user_id"), odd.select("user_id", "id")
+
+
+def apply_toggles(log: DataFrame, cards: DataFrame) -> DataFrame:
+    """(user_id, id) of the chosen cards: each user's signed set, resolved against the user's own cards.
+
+    Cards of users whose set is everything lose the listed ones; of all others only the listed ones stay. Listed cards that
+    a user doesn't have are not chosen.
+    """
+    everything, listed = selection_sets(log)
+    mine, keys = cards.select("user_id", "id"), ["user_id", "id"]
+    rest = mine.join(everything, "user_id", "left_semi").join(listed, keys, "left_anti")
+    return rest.unionByName(mine.join(everything, "user_id", "left_anti").join(listed, keys, "left_semi"))
 
 
 def patch_cards(cards: DataFrame, patches: DataFrame, as_of: str, order: Sequence[str] = ()) -> DataFrame:
@@ -105,6 +121,30 @@ def settle(transactions: DataFrame, provider: DataFrame, as_of: str) -> DataFram
     return met.select(*(changed.get(c, F.col(f"now.`{c}`")).alias(c) for c in transactions.columns))
 
 
+def settle_and_activate(transactions: DataFrame, provider: DataFrame, subscriptions: DataFrame, users: DataFrame, as_of: str, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Transactions after settle(), and users after the activations that follow, from one change set: what is settled is
+    activated, and nothing else is.
+
+    provider: session_id, payment_status, status, and of paid sessions user_id, subscription and customer. The change set is
+    written before either table is made from it. A session without user, or of an unknown one, is settled only. Of several
+    sessions of one user that settle together the last in `order` (columns of provider; then session_id) counts.
+    """
+    paid = (F.col("payment_status") == "paid") | (F.col("status") == "complete")
+    last = first_of(provider.filter(F.coalesce(paid, F.lit(False))), ["session_id"], [*order, "user_id", "subscription", "customer"], last=True)
+    open_ = transactions.filter(unpaid(F.col("payment_status"))).select("session_id")
+    change = last.join(open_, "session_id", "left_semi").select("session_id", "user_id", "subscription", "customer", *order)
+    change = written(change, new_path(transactions.sparkSession, "change"))
+    settled = settle(transactions, change.select("session_id", F.lit("paid").alias("payment_status"), F.lit(None).cast("string").alias("status")), as_of)
+    active = activations(change, subscriptions, users, as_of).join(change.select("session_id", *order), "session_id")
+    active = first_of(active, ["user_id"], [*order, "session_id"], last=True)
+    until = F.date_format("premium_until", "yyyy-MM-dd'T'HH:mm:ss")
+    new = active.select("user_id", F.struct(until.alias("premium_until"), F.col("subscription").alias("stripe_subscription_id"), F.col("customer").alias("stripe_customer_id")).alias("given")).alias("new")
+    met = users.alias("now").join(new, F.col("now.user_id") == F.col("new.user_id"), "left")
+    set_ = lambda c: F.when(F.col("new.given").isNotNull(), F.col(f"new.given.{c}")).otherwise(F.col(f"now.{c}") if c in users.columns else F.lit(None).cast("string")).alias(c)
+    three = ("premium_until", "stripe_subscription_id", "stripe_customer_id")
+    return settled, met.select(*(F.col(f"now.`{c}`") for c in users.columns if c not in three), *map(set_, three))
+
+
 def reconcile_prices(desired: DataFrame, existing: DataFrame) -> DataFrame:
     """desired (lookup_key, amount, currency) with action: keep, create, or replace if amount or currency differ.
 

@@ -83,21 +83,28 @@ def prompt_schema(card_type: str) -> str:
     return f'"attributes": {json.dumps(shown, ensure_ascii=False)}'
 
 
+def _conformed(source: Column | None, kind: T.DataType | None, target: T.DataType, default) -> Column:
+    """A value of type kind as the declared type: structs field by field, arrays and maps value by value."""
+    if isinstance(target, T.StructType):
+        known = {f.name: f.dataType for f in kind} if isinstance(kind, T.StructType) else {}
+        inner = default or {}
+        return F.struct(*(_conformed(source[f.name] if f.name in known else None, known.get(f.name), f.dataType, inner.get(f.name)).alias(f.name) for f in target))
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    if isinstance(target, T.ArrayType) and isinstance(kind, T.ArrayType) and isinstance(target.elementType, nested):
+        return F.transform(source, lambda x: F.when(x.isNotNull(), _conformed(x, kind.elementType, target.elementType, default)))
+    if isinstance(target, T.MapType) and isinstance(kind, T.MapType) and isinstance(target.valueType, nested):
+        return F.transform_values(source, lambda _, x: F.when(x.isNotNull(), _conformed(x, kind.valueType, target.valueType, default)))
+    value = (F.lit(None) if source is None else source).cast(target)
+    return value if default is None or isinstance(target, nested) else F.coalesce(value, F.lit(default).cast(target))
+
+
 def conform(df: DataFrame, schema: T.StructType, defaults: dict) -> DataFrame:
-    """Exactly the declared columns: unknown ones go, missing ones come as null, nulls take their default (also
-    inside structs)."""
-    def column(field: T.StructField, source: Column | None, default) -> Column:
-        if isinstance(field.dataType, T.StructType):
-            inner = default or {}
-            parts = [
-                column(f, source[f.name] if source is not None else None, inner.get(f.name)).alias(f.name) for f in field.dataType
-            ]
-            return F.struct(*parts)
-        value = F.lit(None) if source is None else source
-        value = value.cast(field.dataType)
-        return value if default is None else F.coalesce(value, F.lit(default).cast(field.dataType))
-
-    return df.select(*(column(f, F.col(f.name) if f.name in df.columns else None, defaults.get(f.name)).alias(f.name) for f in schema))
+    """Exactly the declared columns: unknown ones go, missing ones come as null, nulls take their default.
+
+    The same holds for fields inside structs, and inside structs that lists and maps hold: their defaults are those of the
+    list or map. A null item stays null."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return df.select(*(_conformed(F.col(f"`{f.name}`") if f.name in kinds else None, kinds.get(f.name), f.dataType, defaults.get(f.name)).alias(f.name) for f in schema))
 
 
 def redact(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.functions.rows import free_name
 from cardloom.operators.attributes import parsed, text_of
 from cardloom.operators.layout import FORMATS
 
 
 def mutation_counts(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """How many rows each requested key meets; none is a 404."""
-    counted = keys.join(target.select(*on, F.lit(1).alias("_hit")), on, "left").groupBy(*on).agg(F.count("_hit").alias("matched"))
+    """How many rows each requested key meets, however often it is asked for; none is a 404. Rows are counted before they are joined."""
+    hits = free_name(target.select(*on), "hits")
+    there = target.groupBy(*on).agg(F.count(F.lit(1)).alias(hits))
+    counted = keys.select(*on).distinct().join(there, on, "left").select(*on, F.coalesce(hits, F.lit(0).cast("bigint")).alias("matched"))
     return counted.withColumn("status", F.when(F.col("matched") == 0, 404).otherwise(200))
 
 

@@ -19,6 +19,8 @@ add("srt_2_list_cards", "cards", lambda c: listing.list_cards(c, "user_7", "all"
     "SELECT id, user_id, type, name, created_at FROM cards WHERE user_id = 'user_7' AND regexp_matches(name, 'ring|gizmo', 'i') ORDER BY created_at DESC, id LIMIT 1000")
 add("srt_1_newest", "cards", lambda c: listing.newest(c, 1000).select(*_LIST),
     "SELECT id, user_id, type, name, created_at FROM cards ORDER BY created_at DESC, id LIMIT 1000")
+add("srt_1_newest_of_each", "cards", lambda c: listing.newest_of_each(c, n=5).select(*_LIST),
+    "SELECT id, user_id, type, name, created_at FROM cards QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) <= 5")
 add("flt_1_owned_by", "cards", lambda c: predicates.owned_by(c, "user_3").select(*_LIST), "SELECT id, user_id, type, name, created_at FROM cards WHERE user_id = 'user_3'")
 add("flt_2_of_type", "cards", lambda c: predicates.of_type(c, "weapon").select(*_LIST), "SELECT id, user_id, type, name, created_at FROM cards WHERE type = 'weapon'")
 add("flt_3_search_name", "cards", lambda c: predicates.search_name(c, " ^SMALL|bolt ").select(*_LIST),
@@ -253,7 +255,7 @@ add("mut_1_patch_cards", "cards", lambda c: mutations.patch_cards(c, _patches(c)
         CASE WHEN {_MINE} AND id::BIGINT % 10 = 0 THEN 'Seconda' ELSE story END AS story, CASE WHEN {_MINE} THEN '{AS_OF}' END AS updated_at FROM cards""")
 _doomed = lambda c: c.filter(F.col("id").cast("bigint") % 5 == 0).select("id", F.when(F.col("id").cast("bigint") % 2 == 0, F.col("user_id")).otherwise("stranger").alias("user_id"))
 add("mut_2_delete_cards", "cards", lambda c: mutations.delete_cards(c, _doomed(c)).select("id", "user_id"), "SELECT id, user_id FROM cards WHERE id::BIGINT % 10 <> 0")
-add("agg_1_mutation_counts", "cards", lambda c: rollups.mutation_counts(c, _doomed(c), ["id", "user_id"]),
+add("agg_1_mutation_counts", "cards", lambda c: rollups.mutation_counts(c, _doomed(c).unionByName(_doomed(c)), ["id", "user_id"]),
     "SELECT id, CASE WHEN id::BIGINT % 2 = 0 THEN user_id ELSE 'stranger' END AS user_id, CASE WHEN id::BIGINT % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS matched, CASE WHEN id::BIGINT % 2 = 0 THEN 200 ELSE 404 END AS status FROM cards WHERE id::BIGINT % 5 = 0")
 add("mut_3_create_cards", "cards", lambda c: mutations.create_cards(c.select("id", "user_id", "type", "name"), AS_OF).select("id", "user_id", "type", "name", "description", "language", "back.emblem", "created_at"),
     f"SELECT id, user_id, type, name, '' AS description, 'it' AS language, 'flame' AS emblem, '{AS_OF}' AS created_at FROM cards")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.scratch import new_path
 from cardloom.plans.common import Book, iso, iso_sql
-from cardloom.sources import readers
+from cardloom.plans.events import envelopes
+from cardloom.sources import readers, schemas
 from cardloom.sources.adapters import AS_OF
 
 BOOK = Book()
@@ -32,6 +33,19 @@ def _cards(cards: DataFrame) -> DataFrame:
 
 add("src_1_read_cards", "cards", _cards,
     """SELECT id, user_id, type, custom_type, name, story, 'it' AS language, attributes, artwork_path, created_at, CASE WHEN id::BIGINT % 5 = 0 THEN 'plain' ELSE 'classic' END AS style, 'flame' AS emblem FROM cards""")
+def _quarantined(cards: DataFrame) -> DataFrame:
+    """Lines of cards, some cut off and some with a wrong type: what is read, and what is kept apart."""
+    path = new_path(cards.sparkSession, "lines")
+    n = F.col("id").cast("bigint")
+    line = F.to_json(F.struct("id", "user_id", "name"))
+    cards.select(F.when(n % 7 == 0, F.substring(line, 1, 12)).when(n % 11 == 0, F.concat(F.lit('{"id":"'), "id", F.lit('","back":3}'))).otherwise(line).alias("line")).write.text(path)
+    good, bad = readers.read_json_checked(cards.sparkSession, path, schemas.CARD)
+    return good.select("id", F.lit("read").alias("fate")).unionByName(bad.select(F.regexp_extract("line", '"id":"([0-9]+)', 1).alias("id"), F.when(F.length("file") > 0, "kept apart").alias("fate")))
+
+
+add("src_1_quarantine", "cards", _quarantined,
+    """SELECT CASE WHEN id::BIGINT % 7 = 0 THEN regexp_extract(substring('{"id":"' || id || '","user_id"', 1, 12), '"id":"([0-9]+)', 1) ELSE id END AS id,
+        CASE WHEN id::BIGINT % 7 = 0 OR id::BIGINT % 11 = 0 THEN 'kept apart' ELSE 'read' END AS fate FROM cards""")
 add("src_2_read_users", "users", lambda u: readers.read_users(u.sparkSession, _as_json(u.withColumn("is_admin", F.when(F.col("is_admin"), True)), "users")).select("user_id", "email", "auth_provider", "is_admin", "premium_manual", "premium_until"),
     "SELECT user_id, email, auth_provider, is_admin, premium_manual, premium_until FROM users")
 add("src_3_read_sessions", "sessions", lambda s: readers.read_sessions(s.sparkSession, _as_json(s.withColumn("expires_at", F.when(F.col("session_token").endswith("3"), "soon").otherwise(F.concat("expires_at", F.lit("Z")))), "sessions")).select("user_id", "session_token", iso("expires_at").alias("expires_at")),
@@ -43,9 +57,7 @@ add("src_5_read_transactions", "transactions", lambda t: readers.read_transactio
 
 
 def _events(payments: DataFrame) -> DataFrame:
-    inner = F.struct(F.col("session_id").alias("id"), "payment_status", F.struct("user_id").alias("metadata"), "subscription")
-    raw = payments.select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("id"), F.unix_seconds("ts").alias("created"), "type", F.struct(inner.alias("object")).alias("data"))
-    return readers.read_payment_events(payments.sparkSession, _as_json(raw, "events")).withColumn("ts", iso("ts"))
+    return readers.read_payment_events(payments.sparkSession, _as_json(envelopes(payments), "events")).withColumn("ts", iso("ts"))
 
 
 add("src_6_read_payment_events", "payments", _events,
@@ -64,24 +76,25 @@ add("src_7_read_price_catalogue", "desired_prices", _catalogue, f"{_PRICE.format
 
 
 def _uploads(files: DataFrame) -> DataFrame:
-    """One file for each user: the paths of the user's files as lines."""
+    """A file for each record, in a folder of its owner: its storage path as a line."""
     path = new_path(files.sparkSession, "uploads")
-    files.select("user_id", "storage_path").repartition("user_id").write.partitionBy("user_id").option("compression", "none").text(path)
-    found = readers.ingest_uploads(files.sparkSession, path, "user_1")
-    return found.groupBy("user_id", "content_type", "is_deleted").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("length"), F.count_distinct("storage_path").alias("n_paths"))
+    files.select("user_id", "id", "storage_path").repartition("user_id").write.partitionBy("user_id", "id").option("compression", "none").text(path)
+    found = readers.ingest_uploads(files.sparkSession, path, "user_id")
+    named = F.col("original_filename").startswith("part-") & F.col("storage_path").startswith(F.concat(F.lit("cards/uploads/"), "user_id", F.lit("/")))
+    return found.select("user_id", "content_type", "is_deleted", "length", named.alias("named"))
 
 
 add("src_8_ingest_uploads", "files", _uploads,
-    """SELECT 'user_1' AS user_id, 'application/octet-stream' AS content_type, false AS is_deleted, count(DISTINCT user_id) AS n_files, sum(length(storage_path) + 1)::BIGINT AS length, count(DISTINCT user_id) AS n_paths FROM files""")
+    """SELECT user_id, 'application/octet-stream' AS content_type, false AS is_deleted, (length(storage_path) + 1)::BIGINT AS length, true AS named FROM files""")
 
 
 def _appended(cards: DataFrame) -> DataFrame:
-    """Two appends to one table."""
+    """Two appends to one table, each of them run twice."""
     path = new_path(cards.sparkSession, "appended")
     rows = cards.select("id", "user_id", "name")
-    readers.append_rows(rows, path, AS_OF)
-    readers.append_rows(rows.withColumn("id", F.concat(F.lit("again_"), "id")), path, AS_OF)
-    return cards.sparkSession.read.parquet(path)
+    for batch in ("one", "one", "two", "two"):
+        readers.append_rows(rows if batch == "one" else rows.withColumn("id", F.concat(F.lit("again_"), "id")), path, AS_OF, batch=batch)
+    return readers.read_appended(cards.sparkSession, path)
 
 
 add("snk_1_append_rows", "cards", _appended,

@@ -50,9 +50,11 @@ def fold_transactions(events: DataFrame, transactions: DataFrame) -> DataFrame:
     return apply_checkouts(transactions, checkout_states(events))
 
 
-def entitlement_states(events: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
-    """user_id, ts, event_id, premium_until after each known user's last effective event. Replays count again, paid or not."""
-    subs = subscriptions.select(F.col("sub_id").alias("subscription"), F.col("user_id").alias("s_user"), "current_period_end")
+def entitlement_effects(events: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
+    """user_id, until, ts, event_id of the events that set a known user's entitlement. Of several rows of a subscription the
+    first (user, period end) counts."""
+    subs = subscriptions.select(F.col("sub_id").alias("subscription"), F.col("user_id").alias("s_user"), "current_period_end").filter("subscription is not null")
+    subs = first_of(subs, ["subscription"], ["s_user", "current_period_end"])
     met = route_events(events).join(subs, "subscription", "left")
     period = F.timestamp_seconds("current_period_end")
     person = F.when(F.col("route") == "invoice", F.col("s_user")).otherwise(F.col("user_id"))
@@ -61,7 +63,12 @@ def entitlement_states(events: DataFrame, subscriptions: DataFrame, users: DataF
         .when(F.col("route") == "invoice", period).otherwise(F.col("ts"))
     )
     effects = met.select(person.alias("user_id"), until.alias("until"), "ts", "event_id").filter("user_id is not null and until is not null")
-    effects = effects.join(users.select("user_id"), "user_id", "left_semi")
+    return effects.join(users.select("user_id"), "user_id", "left_semi")
+
+
+def entitlement_states(events: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
+    """user_id, ts, event_id, premium_until after each known user's last effective event. Replays count again, paid or not."""
+    effects = entitlement_effects(events, subscriptions, users)
     seq = F.struct("ts", "event_id")
     last = effects.groupBy("user_id").agg(F.max(seq).alias("at"), F.max_by("until", seq).alias("premium_until"))
     return last.select("user_id", "at.ts", "at.event_id", "premium_until")

@@ -6,9 +6,9 @@ computed by the forward algorithm; a text's is the product over its words. Piece
 maximisation (forward-backward) on word counts of a bounded sample of labelled documents: each round is a Spark job over
 the words, which adds up expected piece counts; the driver holds pieces x languages numbers, whatever the number of words.
 
-A word is a lower-cased run of letters with a leading space; words over 40 bytes are cut into parts of
-40. In a task, the distinct words of a few megabytes are scored at once: piece numbers come from a hash table over rolling
-hashes, and the forward sums of all words of a length are array operations.
+A word is a lower-cased run of letters with a leading space, whole, however long. In a task, the distinct words of a few
+megabytes are scored at once: piece numbers come from a hash table over rolling hashes, and the forward sums of all short
+words of a length are array operations; those of a long word go along its places, on logarithms.
 
 Null texts and texts without letters are `und` with score 0. Without any labelled sample everything is `und`. Labelled
 rows without language are not learnt from. Every language of the labelled rows can be predicted; of languages with equal
@@ -24,20 +24,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import Scratch, WordTable, map_batches, mix, text_slices
 
-LONGEST_WORD, UNKNOWN = 40, "und"
+UNKNOWN = "und"
+#: Words of more bytes are summed one by one on logarithms, place by place, and so are those with a sum under _LEAST: the
+#: same sums, safe from underflow.
+_TOGETHER, _LEAST = 48, 1e-250
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the labelled sample: documents, and most frequent distinct words, of each language."""
+    """Bound of the labelled sample: documents of each language. All their words are learnt from."""
 
     documents: int = 200
-    words: int = 60_000
     rounds: int = 4
 
 
@@ -103,6 +105,34 @@ class Pieces:
         return out
 
 
+    def along(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece number) of all pieces in one word of any length, by their ends."""
+        data = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+        step, code = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(data), np.uint64)
+        starts, ends, numbers = [], [], []
+        for size in range(1, min(self.longest, len(data)) + 1):
+            code = (code[: len(data) - size + 1] + data[size - 1 :]) * step
+            number = self.find(code)
+            at = np.flatnonzero(number >= 0)
+            starts.append(at), ends.append(at + size), numbers.append(number[at])
+        start, end, number = (np.concatenate(x) for x in (starts, ends, numbers))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], number[order]
+
+
+def _log_sums(start: np.ndarray, end: np.ndarray, logp: np.ndarray, size: int) -> np.ndarray:
+    """Logarithms of the forward sums at each place of a word (size + 1 x languages); pieces sorted by their ends."""
+    out = np.full((size + 1, logp.shape[1]), -np.inf)
+    out[0] = 0.0
+    cuts = np.searchsorted(end, np.arange(size + 2))
+    for j in range(1, size + 1):
+        part = slice(cuts[j], cuts[j + 1])
+        terms = out[start[part]] + logp[part]
+        top = np.maximum(terms.max(axis=0), -1e300)
+        out[j] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return out
+
+
 def _forward(lattice: dict, n: int, size: int, prob: np.ndarray) -> list[np.ndarray]:
     """prob: (pieces + 1) x languages, the last row 0. Forward sums at each position, n x languages."""
     alpha = [np.ones((n, prob.shape[1]))]
@@ -122,26 +152,31 @@ class Model:
     prob: np.ndarray
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of each word (at most LONGEST_WORD bytes) in each language."""
+        """Log probability of each word, whole, in each language."""
         out = np.zeros((len(words), len(self.languages)))
+        with np.errstate(divide="ignore"):
+            logp = np.log(self.prob)
+        alone = [k for k, word in enumerate(words) if len(word) > _TOGETHER]
         for index, matrix in _by_size(words):
             lattice = self.pieces.lattice(matrix)
-            out[index] = np.log(np.maximum(_forward(lattice, len(index), matrix.shape[1], self.prob)[-1], 1e-300))
+            sums = _forward(lattice, len(index), matrix.shape[1], self.prob)[-1]
+            out[index] = np.log(np.maximum(sums, _LEAST))
+            alone += index[(sums < _LEAST).any(axis=1)].tolist()
+        for k in alone:
+            start, end, number = self.pieces.along(words[k])
+            out[k] = _log_sums(start, end, logp[number], len(words[k]))[-1]
         return out
 
 
 def _by_size(words: list[bytes], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    sizes = np.array([len(w) for w in words])
-    for size in np.unique(sizes):
+    """Words of up to _TOGETHER bytes by their size: numbers and bytes."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    for size in np.unique(sizes[sizes <= _TOGETHER]):
         whole = np.flatnonzero(sizes == size)
         for index in np.array_split(whole, -(-len(whole) // most)):
             yield index, np.frombuffer(b"".join(words[i] for i in index), np.uint8).reshape(len(index), size)
 
 
-def cut(word: bytes) -> list[bytes]:
-    return [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
-
-
 def read_pieces(path: str) -> list[bytes]:
     """Byte strings of a rank file."""
     with open(path, "rb") as lines:
@@ -156,17 +191,30 @@ def _expected(pieces: Pieces, words: list[bytes], counts: np.ndarray, prob: np.n
     """Expected piece counts (pieces x languages) of words with counts (words x languages), by forward and backward sums."""
     k = counts.shape[1]
     numbers, shares = [np.zeros(0, np.int64)], [np.zeros((0, k))]
+    alone = [row for row, word in enumerate(words) if len(word) > _TOGETHER]
     for index, matrix in _by_size(words):
         size, lattice = matrix.shape[1], pieces.lattice(matrix)
         alpha = _forward(lattice, len(index), size, prob)
+        low = (alpha[size] < _LEAST).any(axis=1)
+        alone += index[low].tolist()
         beta = [np.zeros((len(index), k)) for _ in range(size)] + [np.ones((len(index), k))]
         for i, j in sorted(lattice, reverse=True):
             beta[i] += beta[j] * prob[lattice[i, j]]
-        scale = counts[index] / np.maximum(alpha[size], 1e-300)
+        scale = np.where(low[:, None], 0.0, counts[index]) / np.maximum(alpha[size], _LEAST)
         for (i, j), number in lattice.items():
             seen = np.flatnonzero(number >= 0)
             numbers.append(number[seen])
             shares.append(alpha[i][seen] * prob[number[seen]] * beta[j][seen] * scale[seen])
+    with np.errstate(divide="ignore"):
+        logp = np.log(prob)
+    for row in alone:
+        start, end, number = pieces.along(words[row])
+        size = len(words[row])
+        ahead = _log_sums(start, end, logp[number], size)
+        back = np.argsort(-start, kind="stable")  # the same sums from the end: the word mirrored
+        behind = _log_sums(size - end[back], size - start[back], logp[number[back]], size)[::-1]
+        numbers.append(number)
+        shares.append(np.exp(ahead[start] + logp[number] + behind[end] - ahead[size]) * counts[row])
     number, share = np.concatenate(numbers), np.concatenate(shares)
     return np.column_stack([np.bincount(number, share[:, c], minlength=pieces.count + 1) for c in range(k)])
 
@@ -188,9 +236,8 @@ def _maximise(pieces: Pieces, words: DataFrame, languages: int, rounds: int) ->
                 for w, langs, ns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     row = np.zeros(now.shape[1])
                     row[langs] = ns
-                    pieces_of = cut(b" " + w.encode())
-                    parts += pieces_of
-                    counts += [row] * len(pieces_of)
+                    parts.append(b" " + w.encode())
+                    counts.append(row)
                 if parts:
                     total += _expected(own, parts, np.array(counts), now)
             piece, lang = np.nonzero(total[:-1])
@@ -230,9 +277,7 @@ def fit(docs: DataFrame, pieces_path: str, use: Column, text: str = "text", lang
     sample = known.withColumn("l", F.element_at(table, F.col("lang"))).filter(draw < F.col("l.share"))
     word = F.explode(F.split(_letters(F.col("t")), " "))
     counted = sample.select("l.number", word.alias("w")).filter("w <> ''").groupBy("number", "w").agg(F.count(F.lit(1)).alias("n"))
-    top = Window.partitionBy("number").orderBy(F.desc("n"), "w")  # of a language's bounded sample
-    chosen = counted.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= s.words)
-    pairs = chosen.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("number", "n"))).alias("of"))
+    pairs = counted.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("number", "n"))).alias("of"))
     with Scratch(docs.sparkSession) as hold:
         words = hold.table(pairs.select("w", F.col("of.number").alias("langs"), F.col("of.n").alias("counts")).repartitionByRange("w").sortWithinPartitions("w"), "words")
         if words.isEmpty():
@@ -259,15 +304,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 total = np.zeros((n, len(m.languages)))
                 if len(starts) and m.languages:
                     _, first, which = np.unique(codes, return_index=True, return_inverse=True)
-                    parts, of = [], []
-                    for d, i in enumerate(first.tolist()):
-                        for part in cut(b" " + data[starts[i] : ends[i]].tobytes()):
-                            parts.append(part)
-                            of.append(d)
-                    scores = m.word_scores(parts)
+                    scores = m.word_scores([b" " + data[starts[i] : ends[i]].tobytes() for i in first.tolist()])
                     for c in range(len(m.languages)):
-                        distinct = np.bincount(of, scores[:, c], minlength=len(first))
-                        total[:, c] = np.bincount(owner, distinct[which], minlength=n)
+                        total[:, c] = np.bincount(owner, scores[which, c], minlength=n)
                 worded = np.bincount(owner, minlength=n) > 0
                 langs, score = [UNKNOWN] * n, np.zeros(n)
                 if m.languages:

@@ -30,11 +30,16 @@ def _crc(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+def _crc_is(modulus: int, rest: int):
+    """Rows without id are never held out; they are not learnt from either."""
+    return F.coalesce(_crc(modulus) == rest, F.lit(False))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), use=_crc(5) != 0)
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", _crc_is(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, BPE_RANKS, use=_crc(4) != 2)
-    return language_id.predict(docs, model).select("doc_id", (_crc(4) == 2).alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, model).select("doc_id", _crc_is(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

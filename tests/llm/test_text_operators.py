@@ -1,6 +1,7 @@
 """Operators that work on each text: quality rules, toxicity, line dedup, byte-level BPE, language id."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -179,7 +180,7 @@ def test_language(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
     # brute force: each word scored alone, added up, the largest sum wins
     for doc, text, *_ in [*rows[:40], rows[200], rows[202]]:
-        scores = sum(model.word_scores(language_id.cut(b" " + w.encode())).sum(axis=0) for w in re.findall(r"[^\W\d_]+", text.lower()))
+        scores = sum(model.word_scores([b" " + w.encode()])[0] for w in re.findall(r"[^\W\d_]+", text.lower()))
         best = int(scores.argmax())
         if doc > 9:
             assert got[doc] == (model.languages[best], pytest.approx(1 / language_id.np.exp(scores - scores.max()).sum()))
@@ -193,3 +194,76 @@ def test_language(spark):
     nothing = language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")), BPE_RANKS, use=F.lit(True))
     assert {r["lang_pred"] for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.predict(frame(spark, []), model).count() == 0
+
+
+def _segmentations(word, known):
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if word[:n] in known:
+            for rest in _segmentations(word[n:], known):
+                yield [word[:n], *rest]
+
+
+def _toy_pieces():
+    np = language_id.np
+    pieces = language_id.Pieces([b"ab", b"bc", b"abc", b"bb", b"cab", b"aabb"])
+    rng = np.random.default_rng(3)
+    prob = rng.random((pieces.count + 1, 2)) ** 3 * 1e-3
+    prob[-1] = 0
+    number = lambda p: int(pieces.find(np.array([pieces._code(p)], np.uint64))[0])
+    return pieces, prob, number
+
+
+def test_expected_counts_equal_enumeration(monkeypatch):
+    """Counts of forward and backward sums against all segmentations of short words, by either way of summing."""
+    np = language_id.np
+    pieces, prob, number = _toy_pieces()
+    known = {b"a", b"b", b"c", b"ab", b"bc", b"abc", b"bb", b"cab", b"aabb"}
+    rng = random.Random(5)
+    words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 9))) for _ in range(25)]
+    counts = np.array([[rng.randint(0, 5), rng.randint(1, 3)] for _ in words], float)
+    want = np.zeros((pieces.count + 1, 2))
+    for word, n in zip(words, counts, strict=True):
+        ways = [[number(p) for p in way] for way in _segmentations(word, known)]
+        weight = np.array([np.prod(prob[way], axis=0) for way in ways])
+        for way, share in zip(ways, weight / weight.sum(axis=0), strict=True):
+            for p in way:
+                want[p] += share * n
+    for together in (24, 0):
+        monkeypatch.setattr(language_id, "_TOGETHER", together)
+        assert np.allclose(language_id._expected(pieces, words, counts, prob), want, rtol=1e-10)
+    assert np.allclose(want[:-1].sum(axis=0) > 0, True)
+
+
+def test_words_of_any_length_are_summed_whole():
+    """1 to 5,000 bytes against sums in exact logarithms; a word is no sum of its parts."""
+    pieces, prob, number = _toy_pieces()
+    model = language_id.Model(["x", "y"], pieces, prob)
+    rng = random.Random(6)
+    known = {p: number(p) for p in (b"a", b"b", b"c", b"ab", b"bc", b"abc", b"bb", b"cab", b"aabb")}
+    for size in (1, 23, 24, 25, 26, 47, 48, 49, 200, 5000):
+        word = bytes(rng.choice(b"abc") for _ in range(size))
+        for c in range(2):
+            logs = [0.0]
+            for j in range(1, size + 1):
+                terms = [logs[j - len(p)] + math.log(prob[n, c]) for p, n in known.items() if word[:j].endswith(p)]
+                logs.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+            assert model.word_scores([word])[0, c] == pytest.approx(logs[-1], rel=1e-11)
+    long = b"aabb" * 15
+    assert model.word_scores([long])[0, 0] > model.word_scores([long[:39], long[39:]])[:, 0].sum()
+
+
+def test_languages_of_the_given_tables(spark):
+    """Held-out accuracy of the registered query."""
+    import os
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no generated tables here")
+    from cardloom.llm import queries
+
+    truth = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang")
+    met = queries.op8_language_id(spark, data).join(truth, "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = met.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert n > 150 and right > 0.99

@@ -13,15 +13,18 @@ Steps, all as joins on written tables:
 3. each bucket (band key) has a hub; a member is compared with the hub that it meets in most of its buckets;
 4. what the exact similarity of shingle multisets confirms is a link; links are contracted to components;
 5. members of buckets that still hold several components meet 16 hashed hubs of the bucket, links are contracted
-   again, and what is left in mixed buckets meets every member of another component, in blocks of 4,096. So no pair
-   is lost to a cap on bucket sizes, and members known to belong together are never paired.
+   again, and what is left in mixed buckets is joined by prefixes: two sets of the similarity share one of the rarest
+   elements of each, a fifth of them and one more. Elements that one set alone holds are the rarest of all, so a
+   document with a fifth of its own is in no pair. So no pair is lost to a cap on bucket sizes, members known to
+   belong together are never paired, and a bucket of many unlike documents is not compared with itself.
 A pair is only verified if two exact bounds allow the similarity: sizes, and parity bitmaps. Each element that one
 set alone holds flips one bit, so two bitmaps differ in at most as many bits as the sets have elements of their own;
 this rules out nearly all pairs below the similarity, and none at or above it. With 32 bands of 5 coordinates a pair
 of similarity 0.8 shares no bucket once in 300,000; nothing else can lose a link.
 
 Null texts are never duplicates. Texts without words are duplicates only of equal texts. Repeated rows are
-duplicates of each other. An empty table gives an empty one. Other columns may have any names.
+duplicates of each other. Ids may be of any type that can be ordered and printed. An empty table gives an empty one. Other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -49,9 +52,8 @@ class Settings:
     rows: int = 5
     #: 64-bit words of the parity bitmap (a multiple of 8).
     parity_words: int = 32
-    #: Members of a bucket that all others meet before the rest is compared, and members in a block of that rest.
+    #: Members of a bucket that all others meet before the rest is joined by prefixes.
     hubs: int = 16
-    block: int = 4096
 
     @property
     def coordinates(self) -> int:
@@ -204,7 +206,7 @@ def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
                     ["id", "r1", "r2", "k1", "k2", "size", "bands", "parity"],
                 )
 
-    return map_batches(docs, task, "id bigint, r1 bigint, r2 bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>, parity array<bigint>")
+    return map_batches(docs, task, f"id {docs.schema['id'].dataType.simpleString()}, r1 bigint, r2 bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>, parity array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -255,12 +257,18 @@ def _may_reach(a: str, b: str, settings: Settings) -> Column:
     return sized & (folded <= most) & (F.aggregate(bits, F.lit(0), lambda n, x: n + x) <= most)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings, hold: Scratch) -> DataFrame:
-    """The pairs (a, b) whose element sets have the similarity asked for."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = hold.table(reps.select("rep", "k1", "k2").join(ids, "rep"), "wanted")
+def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings, hold: Scratch) -> DataFrame:
+    """rep, elements of the reps named."""
+    wanted = hold.table(reps.select("rep", "k1", "k2").join(ids, "rep", "left_semi"), "wanted")
     sets = _sets(docs, wanted, settings).join(wanted, ["k1", "k2"])
-    sets = hold.table(sets.dropDuplicates(["rep"]).select("rep", "elements"), "sets")
+    return hold.table(sets.dropDuplicates(["rep"]).select("rep", "elements"), "sets")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings, hold: Scratch, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose element sets have the similarity asked for."""
+    if sets is None:
+        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        sets = _sets_of(ids, reps, docs, settings, hold)
     left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
@@ -326,7 +334,7 @@ def _relabel(labels: DataFrame, edges: DataFrame, hold: Scratch) -> DataFrame:
 def find_groups(df: DataFrame, text: str = "text", id_column: str = "doc_id", settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (row, id, r1, r2, rep: null without text) and labels (rep, comp) of reps with a partner."""
     s = settings or Settings()
-    docs = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
+    docs = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     with Scratch(df.sparkSession) as hold:
         r1, r2 = text_key(F.col("t"))
         signed = _sign(docs.select("id", "t", r1.alias("r1"), r2.alias("r2")), s).withColumn("row", F.monotonically_increasing_id())
@@ -359,26 +367,45 @@ def _labels(docs: DataFrame, reps: DataFrame, s: Settings, hold: Scratch) -> Dat
     held = _mixed(members, labels, hold)
     traits = hold.table(_traits(reps.join(held.select("rep").distinct(), "rep", "left_semi"), "rep", s), "traits")
     drawn = F.pmod(F.xxhash64("rep"), F.col("n")) < s.hubs  # all members of a bucket of so many
-    for few in (True, False):
-        if held.isEmpty():
-            break
+    if not held.isEmpty():
         side = hold.table(held.join(traits, "rep"), "sides")
-        hub = (side.filter(drawn) if few else side).select(*(F.col(c).alias(f"hub_{c.removeprefix('rep_')}" if c.startswith("rep_") else f"hub_{c}") for c in side.columns))
-        on = (F.col("key") == F.col("hub_key")) & (F.col("comp") != F.col("hub_comp"))
-        if not few:  # a bucket of more than a block is dealt to several tasks: each block of members meets all others
-            blocks = lambda n: F.ceil(F.col(n) / F.lit(s.block))
-            side = side.withColumn("at", F.pmod(F.xxhash64(F.lit("block"), "rep"), blocks("n")))
-            hub = hub.withColumn("hub_at", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks("hub_n") - 1)))
-            on = on & (F.col("at") == F.col("hub_at")) & (F.col("rep") < F.col("hub_rep"))
-        met = side.join(hub, on & _may_reach("rep", "hub", s))
+        hub = side.filter(drawn).select(*(F.col(c).alias(f"hub_{c.removeprefix('rep_')}" if c.startswith("rep_") else f"hub_{c}") for c in side.columns))
+        met = side.join(hub, (F.col("key") == F.col("hub_key")) & (F.col("comp") != F.col("hub_comp")) & _may_reach("rep", "hub", s))
         pairs = met.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
         links = _verified(hold.table(pairs, "pairs"), reps, docs, s, hold)
         if not links.isEmpty():
             labels = _relabel(labels, links, hold)
-            held = _mixed(held.drop("comp"), labels, hold) if few else held
+            held = _mixed(held.drop("comp"), labels, hold)
+    if not held.isEmpty():
+        left = hold.table(held.select("rep", "comp").distinct(), "left")
+        sets = _sets_of(left.select("rep"), reps, docs, s, hold)
+        links = _verified(hold.table(_prefix_pairs(sets, left, traits, s, hold), "pairs"), reps, docs, s, hold, sets)
+        if not links.isEmpty():
+            labels = _relabel(labels, links, hold)
     return labels
 
 
+def _prefix_pairs(sets: DataFrame, held: DataFrame, traits: DataFrame, s: Settings, hold: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that share an element of both prefixes and pass the exact bounds.
+
+    Of a set of n elements in one order for all, similarity t leaves at least ceil(t n) in common, so the first
+    n - ceil(t n) + 1 of each set meet. The order is by number of sets that hold an element, rarest first.
+    """
+    sized = sets.select("rep", F.size("elements").alias("n"), "elements")
+    tokens = sized.select("rep", F.explode("elements").alias("e"))
+    shared = hold.table(tokens.groupBy("e").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"), "elements")
+    known = tokens.join(shared, "e").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("sets", "e"))).alias("known"))
+    alone = F.col("n") - F.size("known")  # first in the order, and in no other set
+    reach = F.col("n") - F.ceil(s.similarity * F.col("n") - 1e-9) + 1 - alone
+    prefix = known.join(sized.select("rep", "n"), "rep").withColumn("reach", reach).filter("reach > 0")
+    prefix = prefix.join(held, "rep").select("rep", "comp", F.explode(F.slice("known", 1, F.col("reach").cast("int"))).alias("x")).select("rep", "comp", "x.e")
+    prefix = hold.table(prefix, "prefixes")
+    other = prefix.select(F.col("rep").alias("b"), F.col("comp").alias("b_comp"), "e")
+    pairs = prefix.withColumnRenamed("rep", "a").join(other, "e").filter("a < b and comp <> b_comp").select("a", "b").distinct()
+    trait = lambda side: traits.select(*(F.col(c).alias(c.replace("rep", side, 1)) for c in traits.columns))
+    return pairs.join(trait("a"), "a").join(trait("b"), "b").filter(_may_reach("a", "b", s)).select("a", "b")
+
+
 def _mixed(members: DataFrame, labels: DataFrame, hold: Scratch) -> DataFrame:
     """key, rep, n, comp of the members of buckets that hold several components."""
     held = hold.table(members.join(labels, "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "held")
@@ -421,14 +448,14 @@ def keep_one(df: DataFrame, text: str = "text", id_column: str = "doc_id", setti
     names = [f"c{i}" for i in range(len(df.columns))]
     id_at, text_at = names[df.columns.index(id_column)], names[df.columns.index(text)]
     rows, labels = find_groups(df, text, id_column, settings)
-    all_rows = _classes(rows, labels).filter("class is not null").select(F.coalesce("id", F.lit(0)).alias("i"), F.col("id").isNull().alias("z"), "r1", "r2", "is_first")
+    all_rows = _classes(rows, labels).filter("class is not null").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"), F.col("id").isNull().alias("z"), "r1", "r2", "is_first")
     fate = all_rows.groupBy("i", "z", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.max("is_first").alias("stays")).filter("not stays or n > 1")
     fate = materialise(fate, "fate")
     key = text_key(F.col(text_at).cast("string"))
-    ident = F.col(id_at).cast("bigint")
+    ident = F.col(id_at).cast("string")
     on = ["i", "z", "r1", "r2"]
     # no key where the text is null: such a row meets nothing
-    keyed = df.toDF(*names).withColumns({"i": F.when(F.col(text_at).isNotNull(), F.coalesce(ident, F.lit(0))), "z": ident.isNull(), "r1": key[0], "r2": key[1]})
+    keyed = df.toDF(*names).withColumns({"i": F.when(F.col(text_at).isNotNull(), F.coalesce(ident, F.lit(""))), "z": ident.isNull(), "r1": key[0], "r2": key[1]})
     out = keyed.join(fate.select(*on), on, "left_anti").select(*names)
     twins = fate.filter("stays")
     if not twins.isEmpty():

@@ -224,7 +224,7 @@ def test_parity_never_differs_more_than_the_sets():
 
 
 def test_large_group_of_variants(spark):
-    """700 variants of one text, pairwise on both sides of 0.8: buckets end in several components and in blocks."""
+    """700 variants of one text, pairwise on both sides of 0.8: buckets end in several components and are joined by prefixes."""
     rng = random.Random(12)
     base = prose(31, 90, 200).split()
     rows = []
@@ -234,13 +234,44 @@ def test_large_group_of_variants(spark):
             own[rng.randrange(90)] = f"neu{rng.randrange(40)}"
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    small = near_dedup.Settings(hubs=2, block=16)
+    small = near_dedup.Settings(hubs=2)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.group_documents(df, settings=small).collect()}
     assert got == dict(enumerate(groups(rows)))
     assert near_dedup.group_documents(df.limit(0)).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no generated tables here")
+def test_prefixes_miss_no_pair_and_make_few(spark, tmp_path):
+    """All pairs of the similarity are among those of the prefix join; sets alike in three quarters make none."""
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(12)
+    common = [f"c{i}" for i in range(60)]
+    sets = []
+    for k in range(120):
+        base = [f"g{k // 6}x{i}" for i in range(50)]
+        sets.append(set(rng.choice(base, rng.integers(38, 50), replace=False)) | set(rng.choice(common, rng.integers(0, 5), replace=False)))
+    sets += [set(common) | {f"own{k}x{i}" for i in range(20)} for k in range(80)]  # similarity 0.6 to each other
+    code = {e: i * 7919 for i, e in enumerate(sorted(set().union(*sets)))}
+    rows = [(k, [code[e] for e in s]) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "rep long, elements array<bigint>")
+    held = table.select("rep", F.col("rep").alias("comp"))
+    s = near_dedup.Settings()
+    traits = near_dedup._traits(table.select("rep", F.size("elements").cast("bigint").alias("size"), F.array_repeat(F.lit(0).cast("bigint"), s.parity_words).alias("parity")), "rep", s)
+    from cardloom.llm.common import Scratch
+
+    with Scratch(spark) as hold:
+        met = {(r["a"], r["b"]) for r in near_dedup._prefix_pairs(table, held, traits, s, hold).collect()}
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert len(alike) > 20 and alike <= met and not any(a >= 120 and b >= 120 for a, b in met)
+
+
+def test_ids_that_are_texts(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("x", "other words that stand alone here"), (None, "one two three four five six"), ("n", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in near_dedup.group_documents(df).collect()} == {("a", "a"), ("b", "a"), ("x", "x"), (None, "a"), ("n", "n")}
+    assert {r["doc_id"] for r in near_dedup.keep_one(df).collect()} == {"a", "x", "n"}
+
+
 def test_near_duplicates_of_the_given_table(spark):
     """Whole table: every pair that shares an element is counted; recall 1, and no two classes are joined wrongly."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import instant
-from cardloom.operators import joins, listing, mutations, predicates, projections
+from cardloom.functions.scratch import new_path
+from cardloom.operators import joins, listing, mutations, postings, predicates, projections
 from cardloom.plans.cards import _case
 from cardloom.plans.common import Book, iso, iso_sql
 from cardloom.sources.adapters import AS_OF
@@ -30,6 +31,12 @@ _TOKEN = "coalesce(nullif(cookie, ''), CASE WHEN starts_with(\"authorization\",
 add("prj_14_token", "requests", lambda r: projections.with_token(r).select("request_id", "token"), f"SELECT request_id, {_TOKEN} AS token FROM requests")
 add("flt_5_live_files", "files", lambda f: predicates.live_files(f).select("id", "storage_path"), "SELECT id, storage_path FROM files WHERE NOT is_deleted")
 add("flt_6_search_users", "users", lambda u: predicates.search_users(u, "00012 C").select("user_id", "email"), "SELECT user_id, email FROM users WHERE contains(lower(name || ' ' || email), lower('00012 C'))")
+def _indexed(users):
+    table = postings.build_postings(users, "user_id", F.concat("name", F.lit(" "), "email"), new_path(users.sparkSession, "postings"))
+    return postings.search_users_indexed(users, table, "00012 C").select("user_id", "email")
+
+
+add("flt_6_search_users_indexed", "users", _indexed, "SELECT user_id, email FROM users WHERE contains(lower(name || ' ' || email), lower('00012 C'))")
 add("flt_7_valid_sessions", "sessions", lambda s: predicates.valid_sessions(s, AS_OF).select("session_token", "user_id"), f"SELECT session_token, user_id FROM sessions WHERE try_cast(expires_at AS TIMESTAMP) >= TIMESTAMP '{AS_OF}'")
 add("flt_8_not_paid", "transactions", lambda t: predicates.not_paid(t).select("session_id", "payment_status"), "SELECT session_id, payment_status FROM transactions WHERE payment_status IS DISTINCT FROM 'paid'")
 add("flt_9_active_price", "prices", lambda p: predicates.active_price(p.withColumn("lookup_key", (F.col("lookup_key").cast("bigint") % 100).cast("string"))).select("lookup_key", "id"),

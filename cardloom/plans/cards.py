@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.operators import attributes as att
+from cardloom.functions.scratch import new_path
+from cardloom.operators import postings, attributes as att
 from cardloom.operators import compose, layout, listing, mutations, predicates, projections, rollups
 from cardloom.plans.common import Book
 from cardloom.sources import schemas
@@ -25,6 +26,13 @@ add("flt_1_owned_by", "cards", lambda c: predicates.owned_by(c, "user_3").select
 add("flt_2_of_type", "cards", lambda c: predicates.of_type(c, "weapon").select(*_LIST), "SELECT id, user_id, type, name, created_at FROM cards WHERE type = 'weapon'")
 add("flt_3_search_name", "cards", lambda c: predicates.search_name(c, " ^SMALL|bolt ").select(*_LIST),
     "SELECT id, user_id, type, name, created_at FROM cards WHERE regexp_matches(name, '^SMALL|bolt', 'i')")
+def _indexed(cards):
+    """The search over a posting table of the names, built in the shared scratch folder."""
+    table = postings.build_postings(cards, "id", F.col("name"), new_path(cards.sparkSession, "postings"))
+    return postings.search_name_indexed(cards, table, "small.*bolt|gizmo").select(*_LIST)
+
+
+add("flt_3_search_name_indexed", "cards", _indexed, "SELECT id, user_id, type, name, created_at FROM cards WHERE regexp_matches(name, 'small.*bolt|gizmo', 'i')")
 add("flt_4_lookup", "cards", lambda c: predicates.lookup_row(c, id="42", user_id="user_42").select(*_LIST), "SELECT id, user_id, type, name, created_at FROM cards WHERE id = '42' AND user_id = 'user_42' LIMIT 1")
 add("prj_1_conform", "cards", lambda c: projections.conform(c.drop("language").withColumn("extra", F.lit(1)), schemas.CARD, schemas.CARD_DEFAULTS).select("id", "language", "custom_type", "back.*"),
     "SELECT id, 'it' AS language, custom_type, 'classic' AS style, '#7f1d1d' AS color, 'flame' AS emblem, '' AS motto FROM cards")

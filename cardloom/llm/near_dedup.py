@@ -249,12 +249,20 @@ def _may_reach(a: str, b: str, settings: Settings) -> Column:
 
     The bitmap folded to 8 words, a parity bitmap too, goes first: it rules out most pairs at a small part of the cost.
     """
-    t, both = settings.similarity, F.col(f"{a}_size") + F.col(f"{b}_size")
-    sized = F.least(f"{a}_size", f"{b}_size") >= t * F.greatest(f"{a}_size", f"{b}_size") - 1e-9
-    most = both * ((1 - t) / (1 + t)) + 1e-6
-    folded = sum((F.bit_count(F.col(f"{a}_f{i}").bitwiseXOR(F.col(f"{b}_f{i}"))) for i in range(_FOLD)), F.lit(0))
     bits = F.zip_with(f"{a}_parity", f"{b}_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return sized & (folded <= most) & (F.aggregate(bits, F.lit(0), lambda n, x: n + x) <= most)
+    return _may_reach_folded(a, b, settings) & (F.aggregate(bits, F.lit(0), lambda n, x: n + x) <= _most_apart(a, b, settings))
+
+
+def _most_apart(a: str, b: str, settings: Settings) -> Column:
+    """Most elements of one set only that a pair of the similarity has."""
+    t = settings.similarity
+    return (F.col(f"{a}_size") + F.col(f"{b}_size")) * ((1 - t) / (1 + t)) + 1e-6
+
+
+def _may_reach_folded(a: str, b: str, settings: Settings) -> Column:
+    sized = F.least(f"{a}_size", f"{b}_size") >= settings.similarity * F.greatest(f"{a}_size", f"{b}_size") - 1e-9
+    folded = sum((F.bit_count(F.col(f"{a}_f{i}").bitwiseXOR(F.col(f"{b}_f{i}"))) for i in range(_FOLD)), F.lit(0))
+    return sized & (folded <= _most_apart(a, b, settings))
 
 
 def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings, hold: Scratch) -> DataFrame:
@@ -398,11 +406,14 @@ def _prefix_pairs(sets: DataFrame, held: DataFrame, traits: DataFrame, s: Settin
     alone = F.col("n") - F.size("known")  # first in the order, and in no other set
     reach = F.col("n") - F.ceil(s.similarity * F.col("n") - 1e-9) + 1 - alone
     prefix = known.join(sized.select("rep", "n"), "rep").withColumn("reach", reach).filter("reach > 0")
-    prefix = prefix.join(held, "rep").select("rep", "comp", F.explode(F.slice("known", 1, F.col("reach").cast("int"))).alias("x")).select("rep", "comp", "x.e")
+    folds = [f"rep_f{i}" for i in range(_FOLD)]
+    short = traits.select("rep", "rep_size", *folds).join(held, "rep")
+    prefix = prefix.join(short, "rep").select("rep", "comp", "rep_size", *folds, F.explode(F.slice("known", 1, F.col("reach").cast("int"))).alias("x")).select("rep", "comp", "rep_size", *folds, "x.e")
     prefix = hold.table(prefix, "prefixes")
-    other = prefix.select(F.col("rep").alias("b"), F.col("comp").alias("b_comp"), "e")
-    pairs = prefix.withColumnRenamed("rep", "a").join(other, "e").filter("a < b and comp <> b_comp").select("a", "b").distinct()
-    trait = lambda side: traits.select(*(F.col(c).alias(c.replace("rep", side, 1)) for c in traits.columns))
+    side = lambda name: prefix.select("e", F.col("comp").alias(f"{name}_comp"), F.col("rep").alias(name), *(F.col(c).alias(c.replace("rep", name, 1)) for c in ("rep_size", *folds)))
+    on = (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _may_reach_folded("a", "b", s)
+    pairs = side("a").join(side("b").withColumnRenamed("e", "b_e"), (F.col("e") == F.col("b_e")) & on).select("a", "b").distinct()
+    trait = lambda name: traits.select(*(F.col(c).alias(c.replace("rep", name, 1)) for c in traits.columns))
     return pairs.join(trait("a"), "a").join(trait("b"), "b").filter(_may_reach("a", "b", s)).select("a", "b")
 
 

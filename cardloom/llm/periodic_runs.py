@@ -43,8 +43,8 @@ class Settings:
     min_length: int = 6
     min_exponent: int = 4
     #: Bytes of text in a slice and candidates that are looked at together.
-    slice_bytes: int = 1 << 22
-    candidates: int = 1 << 21
+    slice_bytes: int = 1 << 20
+    candidates: int = 1 << 19
 
 
 # ---------------------------------------------------------------- words

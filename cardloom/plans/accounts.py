@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cardloom.functions.text import instant
 from cardloom.functions.scratch import new_path
 from cardloom.operators import joins, listing, mutations, postings, predicates, projections
-from cardloom.plans.cards import _case
+from cardloom.operators import touched as buckets
+from cardloom.plans.cards import _case, _touched
 from cardloom.plans.common import Book, iso, iso_sql
 from cardloom.sources.adapters import AS_OF
 
@@ -99,6 +100,9 @@ def _switches(users):
 
 add("mut_4_set_premium", "users", lambda u: mutations.set_premium(u, _switches(u), ["seq"]).select("user_id", "premium_manual"),
     f"SELECT user_id, CASE WHEN {_N} % 6 = 0 THEN {_N} % 4 = 0 WHEN {_N} % 3 = 0 THEN {_N} % 2 = 0 ELSE premium_manual END AS premium_manual FROM users")
+_sevens = lambda u: _switches(u).filter("user_id like '%7'")
+add("mut_4_premium_touched", "users", lambda u: _touched(u, ["user_id"], lambda t: buckets.set_premium(t, _sevens(u), ["seq"])).select("user_id", "premium_manual"),
+    f"SELECT user_id, CASE WHEN {_N} % 3 = 0 AND user_id LIKE '%7' THEN {_N} % 2 = 0 ELSE premium_manual END AS premium_manual FROM users")
 
 
 def _profiles(users):
@@ -122,6 +126,8 @@ add("mut_6_ensure_admins", "users", lambda u: mutations.ensure_admins(u, _seeds(
         UNION ALL SELECT 'new_' || user_id, 'x' || email, true, true FROM users WHERE {_N} % 50 = 1""")
 add("mut_7_revoke_sessions", "sessions", lambda s: mutations.revoke_sessions(s, s.filter("session_token like '%7'").select(F.col("session_token").alias("token"))).select("session_token", "user_id"),
     "SELECT session_token, user_id FROM sessions WHERE session_token NOT LIKE '%7'")
+add("mut_7_revoke_touched", "sessions", lambda s: _touched(s, ["session_token"], lambda t: buckets.revoke_sessions(t, s.filter("session_token like '%77'").select(F.col("session_token").alias("token")))).select("session_token", "user_id"),
+    "SELECT session_token, user_id FROM sessions WHERE session_token NOT LIKE '%77'")
 add("mut_9_reconcile_prices", "desired_prices prices", lambda d, p: mutations.reconcile_prices(d, p.filter("active")),
     """SELECT d.lookup_key, d.amount, d.currency, CASE WHEN p.id IS NULL THEN 'create' WHEN p.amount = d.amount AND p.currency = d.currency THEN 'keep' ELSE 'replace' END AS action
        FROM desired_prices d LEFT JOIN (SELECT * FROM prices WHERE active) p ON p.lookup_key = d.lookup_key""")

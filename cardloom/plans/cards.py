@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.scratch import new_path
 from cardloom.operators import postings, attributes as att
-from cardloom.operators import compose, layout, listing, mutations, predicates, projections, rollups
+from cardloom.operators import compose, layout, listing, mutations, predicates, projections, rollups, touched
 from cardloom.plans.common import Book
 from cardloom.sources import schemas
 from cardloom.sources.adapters import AS_OF
@@ -261,8 +261,22 @@ _MINE = "id::BIGINT % 4 = 2"
 add("mut_1_patch_cards", "cards", lambda c: mutations.patch_cards(c, _patches(c), AS_OF, ["seq"]).select("id", "name", "story", "updated_at"),
     f"""SELECT id, CASE WHEN {_MINE} AND id::BIGINT % 18 = 0 THEN 'Ultima' WHEN {_MINE} AND id::BIGINT % 3 = 0 THEN 'Rinominata' ELSE name END AS name,
         CASE WHEN {_MINE} AND id::BIGINT % 10 = 0 THEN 'Seconda' ELSE story END AS story, CASE WHEN {_MINE} THEN '{AS_OF}' END AS updated_at FROM cards""")
+
+
+def _touched(c, keys, change):
+    """The whole table after a change of the buckets that it touches."""
+    table = touched.bucketed(c, new_path(c.sparkSession, "buckets"), keys, 64)
+    change(table)
+    return table.read(c.sparkSession)
+
+
+add("mut_1_patch_touched", "cards", lambda c: _touched(c, ["id"], lambda t: touched.patch_cards(t, _patches(c).filter("user_id = 'user_3'"), AS_OF, ["seq"])).select("id", "name", "story", "updated_at"),
+    f"""SELECT id, CASE WHEN {_MINE} AND user_id = 'user_3' AND id::BIGINT % 18 = 0 THEN 'Ultima' WHEN {_MINE} AND user_id = 'user_3' AND id::BIGINT % 3 = 0 THEN 'Rinominata' ELSE name END AS name,
+        CASE WHEN {_MINE} AND user_id = 'user_3' AND id::BIGINT % 10 = 0 THEN 'Seconda' ELSE story END AS story, CASE WHEN {_MINE} AND user_id = 'user_3' THEN '{AS_OF}' END AS updated_at FROM cards""")
 _doomed = lambda c: c.filter(F.col("id").cast("bigint") % 5 == 0).select("id", F.when(F.col("id").cast("bigint") % 2 == 0, F.col("user_id")).otherwise("stranger").alias("user_id"))
 add("mut_2_delete_cards", "cards", lambda c: mutations.delete_cards(c, _doomed(c)).select("id", "user_id"), "SELECT id, user_id FROM cards WHERE id::BIGINT % 10 <> 0")
+add("mut_2_delete_touched", "cards", lambda c: _touched(c, ["id"], lambda t: touched.delete_cards(t, _doomed(c).filter("user_id = 'user_3'"))).select("id", "user_id"),
+    "SELECT id, user_id FROM cards WHERE id::BIGINT % 10 <> 0 OR user_id <> 'user_3'")
 add("agg_1_mutation_counts", "cards", lambda c: rollups.mutation_counts(c, _doomed(c).unionByName(_doomed(c)), ["id", "user_id"]),
     "SELECT id, CASE WHEN id::BIGINT % 2 = 0 THEN user_id ELSE 'stranger' END AS user_id, CASE WHEN id::BIGINT % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS matched, CASE WHEN id::BIGINT % 2 = 0 THEN 200 ELSE 404 END AS status FROM cards WHERE id::BIGINT % 5 = 0")
 add("mut_3_create_cards", "cards", lambda c: mutations.create_cards(c.select("id", "user_id", "type", "name"), AS_OF).select("id", "user_id", "type", "name", "description", "language", "back.emblem", "created_at"),

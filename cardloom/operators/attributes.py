@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions.rows import free_name, ordered_fold
+from cardloom.functions.scratch import new_path, scope, written
 from cardloom.functions.text import filled, plain_number, strip
+from cardloom.operators.edits import fold_long_logs
 from cardloom.operators.projections import attribute_label
 
 # The six abilities in their order, and the fields on the front of a card by type.
@@ -231,15 +233,28 @@ def long_rest(cards: DataFrame) -> DataFrame:
     return cards.withColumn("attributes", _with_used(F.col("attributes"), lambda _, __: F.lit(0.0)))
 
 
-def edit_attributes(cards: DataFrame, edits: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+def edit_attributes(cards: DataFrame, edits: DataFrame, order: Sequence[str] = (), longest: int = 10_000) -> DataFrame:
     """id, attributes (map<string, string>, key order kept) after a log of edits (id, action, key, value): set, remove
-    or add, one after another in the given order. A card's edits are folded as one list.
+    or add, one after another in the given order; edits that it does not tell apart are taken by action, key and value.
 
-    `add` takes the first free campo_1, campo_2, ...; set and remove without key change nothing.
+    `add` takes the first free campo_1, campo_2, ...; set and remove without key, and other actions, change nothing. Logs of up
+    to `longest` edits are folded as one list a card, longer ones by fold_long_logs(), whose result is the same; it wants
+    unique card ids.
     """
-    none = F.from_json(F.lit("{}"), "map<string,string>")
+    maps = cards.select("id", F.coalesce(F.from_json("attributes", "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")).alias("now"))
+    log = edits.filter("action = 'add' or action in ('set', 'remove') and key is not null").select("id", *order, "action", "key", "value")
+    path = new_path(cards.sparkSession, "edits")
+    with scope(cards.sparkSession):
+        counts = log.groupBy("id").count().filter(F.col("count") > longest).select("id")
+        long = written(counts.join(cards.select("id").distinct(), "id", "left_semi"), new_path(cards.sparkSession, "long"))
+        if long.isEmpty():
+            return _edited_by_list(maps, log, order)
+        rest = _edited_by_list(maps.join(long, "id", "left_anti"), log.join(long, "id", "left_anti"), order)
+        return written(rest.union(fold_long_logs(maps.join(long, "id", "left_semi"), log.join(long, "id", "left_semi"), order)), path)
+
+
+def _edited_by_list(maps: DataFrame, log: DataFrame, order: Sequence[str]) -> DataFrame:
     steps = F.sort_array(F.collect_list(F.struct(*order, "action", "key", "value")))
-    log = edits.filter("action = 'add' or key is not null").groupBy("id").agg(steps.alias("steps"))
 
     def apply(m: Column, e: Column) -> Column:
         names = F.transform(F.sequence(F.lit(1), F.size(m) + 1), lambda i: F.concat(F.lit("campo_"), i.cast("string")))
@@ -249,7 +264,7 @@ def edit_attributes(cards: DataFrame, edits: DataFrame, order: Sequence[str] = (
         return F.when(e["action"] == "add", F.map_concat(m, F.create_map(free, F.lit("")))).when(e["action"] == "remove", F.map_filter(m, lambda k, _: k != e["key"])).when(
             e["action"] == "set", put).otherwise(m)
 
-    met = cards.select("id", F.coalesce(F.from_json("attributes", "map<string,string>"), none).alias("now")).join(log, "id", "left")
+    met = maps.join(log.groupBy("id").agg(steps.alias("steps")), "id", "left")
     return met.select("id", F.when(F.col("steps").isNull(), F.col("now")).otherwise(F.aggregate("steps", F.col("now"), apply)).alias("attributes"))
 
 

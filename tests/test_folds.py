@@ -88,6 +88,40 @@ def test_spending_follows_the_sequential_fold(spark):
     assert plan.count("collect_list") == 1  # that of a card's few slots
 
 
+def edited(attributes, log):
+    """The log edit by edit."""
+    m = dict(attributes)
+    for action, key, value in log:
+        if action == "add":
+            m[next(f"campo_{i}" for i in range(1, len(m) + 2) if f"campo_{i}" not in m)] = ""
+        elif action == "remove":
+            m.pop(key, None)
+        elif action == "set" and key is not None:
+            m[key] = value
+    return list(m.items())
+
+
+@pytest.mark.parametrize("longest", [30])
+def test_editing_follows_the_sequential_fold(spark, longest):
+    """Random logs with named and unnamed numbers, one of them with most edits; both ways, alone and beside each other."""
+    rng = random.Random(5 + longest)
+    keys = ["a", "b", "campo_2", "campo_3", "campo_7", "campo_07", "campo_x", None]
+    given = {"hot": {"b": "1", "campo_3": "2", "campo_4": "3"}, "c1": {}, "c2": {"campo_1": "x"}, "c3": {"a": None}, "quiet": {"z": "1", "a": "2"}}
+    logs = {c: [] for c in given} | {"nowhere": [], None: []}
+    for c, n in (("hot", 1200), ("c1", 40), ("c2", 70), ("c3", 9), ("nowhere", 90), (None, 90)):
+        weights = {"hot": (2, 5, 3), "c1": (1, 0, 0), "c2": (0, 1, 1)}.get(c, (1, 1, 1))
+        for _ in range(n):
+            action = rng.choices(["add", "remove", "set"], weights)[0] if rng.random() < 0.98 else "other"
+            logs[c].append((action, rng.choice(keys), rng.choice(["v", "w", None])))
+    rows = [(c, i, *e) for c, log in logs.items() for i, e in enumerate(log)]
+    rng.shuffle(rows)
+    edits = spark.createDataFrame(rows, "id string, at int, action string, key string, value string").repartition(5)
+    cards = spark.createDataFrame([(c, json.dumps(m)) for c, m in given.items()], "id string, attributes string")
+    found = att.edit_attributes(cards, edits, ["at"], longest=longest)
+    got = {r["id"]: [tuple(e) for e in r["entries"]] for r in found.select("id", F.map_entries("attributes").alias("entries")).collect()}
+    assert got == {c: edited(m, logs[c]) for c, m in given.items()}
+
+
 def test_sets_that_are_everything(spark):
     start = dt.datetime(2024, 1, 1)
     cards = spark.createDataFrame([(u, f"{u}{i}") for u in ("a", "b", "c", "d", "e") for i in range(4)], "user_id string, id string")

@@ -76,10 +76,13 @@ add("src_7_read_price_catalogue", "desired_prices", _catalogue, f"{_PRICE.format
 
 
 def _uploads(files: DataFrame) -> DataFrame:
-    """A file for each record, in a folder of its owner: its storage path as a line."""
-    path = new_path(files.sparkSession, "uploads")
-    files.select("user_id", "id", "storage_path").repartition("user_id").write.partitionBy("user_id", "id").option("compression", "none").text(path)
-    found = readers.ingest_uploads(files.sparkSession, path, "user_id")
+    """A file for each record, in the folder of its owner: its storage path as a line. The number of tasks is named, or the
+    few bytes would be coalesced to one task that opens all files one after another."""
+    spark = files.sparkSession
+    path = new_path(spark, "uploads")
+    dealt = files.select("user_id", "storage_path").repartition(8 * spark.sparkContext.defaultParallelism, "user_id")
+    dealt.write.partitionBy("user_id").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    found = readers.ingest_uploads(spark, path, "user_id")
     named = F.col("original_filename").startswith("part-") & F.col("storage_path").startswith(F.concat(F.lit("cards/uploads/"), "user_id", F.lit("/")))
     return found.select("user_id", "content_type", "is_deleted", "length", named.alias("named"))
 

@@ -29,13 +29,20 @@ def _fold(text: str) -> str:
     return text.translate(str.maketrans(_ALIKE, _PLAIN)).lower()
 
 
+#: Rows that one task sorts or groups: a search's memory doesn't grow with the table.
+TASK_ROWS = 1_000_000
+
+
 def build_postings(df: DataFrame, key: str, text: Column, path: str) -> DataFrame:
-    """gram, key of all rows with a key, written at path: range-partitioned and sorted by gram."""
+    """gram, key of all rows with a key, written at path: range-partitioned and sorted by gram. Rows that share a key may
+    repeat a posting: to tell them apart here would hold all pairs of a task in memory."""
     rows = df.select(F.col(f"`{key}`").alias("key"), folded(text).alias("t")).filter("key is not null and length(t) >= 3")
     grams = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substr("t", i, F.lit(3)))
     pairs = rows.select("key", F.explode(F.array_distinct(grams)).alias("gram")).filter(F.col("gram").rlike(r"^[\x00-\x7F]{3}$"))
-    pairs = pairs.select("gram", "key").distinct()  # several rows may share a key
-    return written(pairs.repartitionByRange("gram", "key").sortWithinPartitions("gram"), path)
+    most = rows.agg(F.sum(F.length("t") - 2)).first()[0] or 0
+    salted = pairs.select("gram", "key", F.xxhash64(F.monotonically_increasing_id()).alias("salt"))  # splits rows that share a key
+    ranged = salted.repartitionByRange(most // TASK_ROWS + 1, "gram", "key", "salt")
+    return written(ranged.select("gram", "key").sortWithinPartitions("gram"), path)
 
 
 def literals(pattern: str) -> list[list[str]] | None:
@@ -55,15 +62,25 @@ def grams_of(texts: list[str]) -> set[str]:
     return {t[i : i + 3] for t in texts for i in range(len(t) - 2) if t[i : i + 3].isascii()}
 
 
+def _all_of(grams: list[str]) -> Column:
+    """Aggregate: whether a group's postings hold all of the grams, however often; a bit for each, 60 at a time."""
+    met = F.lit(True)
+    for at in range(0, len(grams), 60):
+        part = grams[at : at + 60]
+        bit = F.coalesce(*(F.when(F.col("gram") == g, F.lit(1 << i).cast("bigint")) for i, g in enumerate(part)))
+        met = met & F.coalesce(F.bit_or(bit) == F.lit((1 << len(part)) - 1).cast("bigint"), F.lit(False))
+    return met
+
+
 def candidates(postings: DataFrame, branches: list[list[str]] | None) -> DataFrame | None:
     """key of the rows that hold all grams of one alternative at least; None where an alternative has no gram."""
     sets = [sorted(grams_of(texts)) for texts in branches or []]
     if not sets or not all(sets):
         return None
     found = postings.filter(F.col("gram").isin(sorted(set().union(*sets))))
-    counts = [F.count(F.when(F.col("gram").isin(grams), 1)) == len(grams) for grams in sets]
-    met = counts[0]
-    for one in counts[1:]:
+    held = [_all_of(grams) for grams in sets]
+    met = held[0]
+    for one in held[1:]:
         met = met | one
     return found.groupBy("key").agg(met.alias("met")).filter("met").select("key")
 

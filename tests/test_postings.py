@@ -70,3 +70,16 @@ def test_users(spark, tmp_path):
     for text in ("anna", "A ANNA@", "bo bo", "x.test", "o", "nobody", "i i@x"):
         want = sorted(r["user_id"] for r in search_users(users, text).collect())
         assert sorted(r["user_id"] for r in post.search_users_indexed(users, table, text).collect()) == want, text
+
+
+def test_no_pairs_are_held_to_be_told_apart(spark, tmp_path, monkeypatch):
+    """Postings are sorted in as many tasks as there are rows for, without an aggregate; repeated ones change no search."""
+    monkeypatch.setattr(post, "TASK_ROWS", 500)
+    plans = []
+    monkeypatch.setattr(post, "written", lambda df, path: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.write.parquet(path) or spark.read.parquet(path))
+    long = "".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(90))
+    many = spark.createDataFrame([(str(i % 50), f"Palla {i}") for i in range(400)] + [("long", long)] * 3, "id string, name string")
+    table = post.build_postings(many, "id", F.col("name"), f"file://{tmp_path}/names")
+    assert "Aggregate" not in plans[0] and len(list((tmp_path / "names").glob("part-*"))) > 1
+    for pattern in ("palla", "palla 39", "^palla 1|palla 7", long, long[::-1]):
+        assert rows(post.search_name_indexed(many, table, pattern)) == rows(search_name(many, pattern)), pattern

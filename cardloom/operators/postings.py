@@ -82,7 +82,8 @@ def candidates(postings: DataFrame, branches: list[list[str]] | None) -> DataFra
     met = held[0]
     for one in held[1:]:
         met = met | one
-    return found.groupBy("key").agg(met.alias("met")).filter("met").select("key")
+    dealt = found.repartition(found.count() // TASK_ROWS + 1, "key")  # else the few bytes of a common gram are coalesced to few tasks
+    return dealt.groupBy("key").agg(met.alias("met")).filter("met").select("key")
 
 
 def _of(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:

@@ -83,3 +83,9 @@ def test_no_pairs_are_held_to_be_told_apart(spark, tmp_path, monkeypatch):
     assert "Aggregate" not in plans[0] and len(list((tmp_path / "names").glob("part-*"))) > 1
     for pattern in ("palla", "palla 39", "^palla 1|palla 7", long, long[::-1]):
         assert rows(post.search_name_indexed(many, table, pattern)) == rows(search_name(many, pattern)), pattern
+
+
+def test_candidates_are_grouped_in_as_many_tasks_as_rows_need(spark, names, monkeypatch):
+    monkeypatch.setattr(post, "TASK_ROWS", 2)
+    found = post.candidates(names, post.literals("palla"))
+    assert found.count() == 3 and found.rdd.getNumPartitions() >= 5

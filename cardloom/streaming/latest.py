@@ -13,8 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -45,40 +44,41 @@ class Newest(StatefulProcessor):
         fields = [T.StructField("at", T.LongType()), T.StructField("event_id", self.id_type), T.StructField("value", T.StringType()), T.StructField("flag", T.BooleanType()), T.StructField("timer", T.LongType())]
         self.state = handle.getValueState("newest", T.StructType(fields))
 
-    def _frame(self, key, kind: str, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=list(FIELDS))
-        out.insert(0, self.key, key[0])
-        out.insert(0, "kind", kind)
-        return out
+    def _row(self, key, kind: str, values: tuple) -> Row:
+        return Row(**{"kind": kind, self.key: key[0], **dict(zip(FIELDS, values, strict=True))})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         horizon = timerValues.getCurrentWatermarkInMs() * 1000
-        now = self.state.get() if self.state.exists() else None
+        now = self.state.get()
         newest, flag, late, changed = (tuple(now[:3]) if now else None), bool(now and now[3]), [], False
-        for part in rows:
-            for row in part[list(FIELDS)].itertuples(index=False, name=None):
-                if row[0] < horizon:
-                    late.append(row)
-                    continue
-                changed, flag = True, flag or bool(row[3])
-                if newest is None or row[:2] > newest[:2]:
-                    newest = row[:3]
+        for given in rows:
+            row = tuple(given[f] for f in FIELDS)
+            if row[0] < horizon:
+                late.append(row)
+                continue
+            changed, flag = True, flag or bool(row[3])
+            if newest is None or row[:2] > newest[:2]:
+                newest = row[:3]
+        out = []
         if changed:
-            due = newest[0] // 1000 + self.retention
-            if now and now[4] != due:
-                self.handle.deleteTimer(now[4])
-            if not now or now[4] != due:
+            due = now[4] if now else newest[0] // 1000 + self.retention
+            if not now:  # a timer that newer events have overtaken is set anew when it fires: no calls for each change
                 self.handle.registerTimer(due)
-            self.state.update((int(newest[0]), newest[1] if isinstance(newest[1], str) else int(newest[1]), newest[2], flag, int(due)))
-            yield self._frame(key, "state", [(*newest, flag)])
-        if late:
-            yield self._frame(key, "late", late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            now = self.state.get()
-            self.state.clear()
-            yield self._frame(key, "closed", [tuple(now[:4])])
+            self.state.update((*newest, flag, due))
+            out.append(self._row(key, "state", (*newest, flag)))
+        return iter(out + [self._row(key, "late", row) for row in late])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = self.state.get()
+        if not now:
+            return iter([])
+        due = now[0] // 1000 + self.retention
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            self.state.update((*now[:4], due))
+            return iter([])
+        self.state.clear()
+        return iter([self._row(key, "closed", tuple(now[:4]))])
 
     def close(self) -> None:
         pass
@@ -91,7 +91,7 @@ def newest_events(stream: DataFrame, key: str, delay: str, retention: str) -> Da
     given = timed.select(F.col(key).cast("string").alias(key), F.unix_micros("ts").alias("at"), "event_id", F.col("value").cast("string").alias("value"), "flag")
     id_type = given.schema["event_id"].dataType
     out = T.StructType([T.StructField("kind", T.StringType()), T.StructField(key, T.StringType()), T.StructField("at", T.LongType()), T.StructField("event_id", id_type), T.StructField("value", T.StringType()), T.StructField("flag", T.BooleanType())])
-    return given.groupBy(key).transformWithStateInPandas(Newest(key, id_type, _seconds(retention)), out, outputMode="Update", timeMode="EventTime")
+    return given.groupBy(key).transformWithState(Newest(key, id_type, _seconds(retention)), out, outputMode="Update", timeMode="EventTime")
 
 
 def checkout_events(events: DataFrame) -> DataFrame:

@@ -71,3 +71,44 @@ def test_lengths_of_time():
     assert latest._seconds("2 days") == 172_800 and latest._seconds("1 minute") == 60
     with pytest.raises(ValueError):
         latest._seconds("soon")
+
+
+class Handle:
+    """Stands for state and timers of one key, and counts the calls that go to the engine."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls, self.watermark = None, [], 0, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_change_takes_two_calls_and_no_frame():
+    handle = Handle()
+    fold = latest.Newest("session_id", T.LongType(), 60)
+    fold.init(handle)
+    event = lambda second, n: T.Row(session_id="a", at=second * 1_000_000, event_id=n, value="v", flag=False)
+    for n in range(5):
+        assert [(r["kind"], r["event_id"]) for r in fold.handleInputRows(("a",), iter([event(10 * n, n)]), handle)] == [("state", n)]
+    assert handle.timers == [60_000] and handle.calls == 5 * 2 + 1
+    handle.watermark = 61_000  # the timer of the first event fires; the key was active until second 40
+    assert list(fold.handleExpiredTimer(("a",), handle, None)) == [] and handle.timers == [60_000, 100_000]
+    handle.watermark = 101_000
+    assert [(r["kind"], r["event_id"]) for r in fold.handleExpiredTimer(("a",), handle, None)] == [("closed", 4)] and handle.value is None

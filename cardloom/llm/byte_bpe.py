@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import free_name, map_batches
 
 #: Words and pre-tokens that one worker remembers before it starts afresh (about 200 bytes each).
-MEMO_ENTRIES, PIECE_ENTRIES = 500_000, 400_000
+MEMO_ENTRIES, PIECE_ENTRIES = 120_000, 80_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -313,6 +313,7 @@ def _run(df, ranks_path, pattern, text, keep, added, columns) -> DataFrame:
     rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)), F.col(f"`{text}`").cast("string").alias("t"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         encoder = warm(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):  # few texts at a time: ids of a batch are held until it is sent

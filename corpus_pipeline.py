@@ -56,8 +56,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows that go to a Python worker at once. Workers and the JVM's buffers outlive a stage, so all stages share this bound.
+_ROWS, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, _BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(_ROWS, before)
     return docs

@@ -405,3 +405,14 @@ def test_pipeline_takes_awkward_tables(spark, tmp_path):
         kept = {r["doc_id"] for r in docs.collect()}
         assert kept == ({9, 50} if name == "full" else set())  # 9 is the very long text and docs.count() == len(kept)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(kept)
+
+
+def test_pipeline_bounds_rows_that_go_to_python(spark, tmp_path, monkeypatch):
+    """Every stage's Python workers get at most 2,000 rows at once, and the setting is put back."""
+    spark.range(5000).selectExpr("id as doc_id").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n bigint"))])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = [r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(found) == 5000 and max(found) <= 2000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

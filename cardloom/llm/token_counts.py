@@ -25,12 +25,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.byte_bpe import Encoder, _texts, read_ranks, warm
+from cardloom.llm.byte_bpe import Encoder, encoded, read_ranks, warm
 from cardloom.llm.common import map_batches, materialise, ship_package
 
 BLOCK_BYTES = 4 << 20
 
 
+_KINDS = {2: "<u2", 4: "<u4"}
+
+
+def _id_bytes(encoder: Encoder, texts: pa.Array, width: int) -> Iterator[pa.Array]:
+    """The ids of each text as bytes, for runs of texts."""
+    for ids, ends in encoded(encoder, texts):
+        buffers = [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(ids.astype(_KINDS[width]))]
+        yield pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
+
+
 def write_token_files(df: DataFrame, path: str, ranks_path: str, pattern: str, eod: int, text: str = "text", width: int = 2, order: str | None = None) -> None:
     """Encode every whole text (null: no tokens) and write flat files, one for each task.
 
@@ -38,7 +48,6 @@ def write_token_files(df: DataFrame, path: str, ranks_path: str, pattern: str, e
     is written as a character, it must be one: no surrogate (55296 to 57343), nothing above 0x10FFFF, no line feed or
     carriage return. With order, the documents are sorted by that column over all files.
     """
-    kind = {2: "<u2", 4: "<u4"}[width]
     if not 0 < eod <= 0x10FFFF or 0xD800 <= eod <= 0xDFFF or eod in (10, 13):
         raise ValueError("the end-of-document id must be the code of a character")
     ranks = read_ranks(ranks_path)
@@ -49,9 +58,8 @@ def write_token_files(df: DataFrame, path: str, ranks_path: str, pattern: str, e
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = warm(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = [encoder.ids_of(t).astype(kind).tobytes() for t in _texts(batch.column(0).slice(at, 500))]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
+            for rows in _id_bytes(encoder, batch.column(0), width):
+                yield pa.RecordBatch.from_arrays([rows], ["value"])
 
     texts = df.select(F.col(f"`{text}`").cast("string").alias("t"), (F.col(f"`{order}`") if order else F.lit(0)).alias("o"))
     encoded = map_batches((texts.repartitionByRange("o").sortWithinPartitions("o") if order else texts).select("t"), task, "value binary")
@@ -71,7 +79,7 @@ def _range(uri: str, offset: int, size: int) -> bytes:
 
 def scan_token_files(spark: SparkSession, path: str, eod: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """file, ordinal (from 0 in each file), first_token, n_tokens, closed: one row per document."""
-    kind = {2: "<u2", 4: "<u4"}[width]
+    kind = _KINDS[width]
     block_bytes -= block_bytes % width
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").filter("length > 0")

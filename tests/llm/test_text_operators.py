@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,43 @@ def test_bpe_of_two_vocabularies_and_other_patterns(spark, tmp_path):
     assert byte_bpe.encode(docs.limit(0), str(tmp_path / "one"), public_tokenizers.PATTERN).count() == 0
 
 
+def merges_counted():
+    encoder = byte_bpe.Encoder(byte_bpe.read_ranks(BPE_RANKS), public_tokenizers.PATTERN)
+    encoder.prepare()
+    pieces, merge = [], encoder.merge
+    encoder.merge = lambda piece: pieces.append(piece) or merge(piece)
+    return encoder, pieces
+
+
+def test_bpe_merges_a_word_once():
+    """More words than were remembered before, each once more with other signs behind it: none is merged again."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiouéü") for _ in range(5)) for _ in range(150_000)]
+    texts = [" " + " ".join(w + sign for w in words[at : at + 5000]) for sign in ("", ".", "!!") for at in range(0, len(words), 5000)]
+    encoder, pieces = merges_counted()
+    got = byte_bpe._digest_columns(encoder, pa.array(texts))
+    assert len(pieces) == len(set(pieces)) and len(pieces) <= len(set(words)) + 2
+    assert sum(x.nbytes for t in encoder.tables for x in (*t.words, t.sizes, t.at, t.counts)) + encoder.pool.nbytes < 85 << 20
+    assert got[2].to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
+def test_bpe_of_runs_small_tables_and_broken_text(monkeypatch):
+    """Tables that are full after a few words; white space, signs and letters in all orders; neighbours that are UTF-8 only together."""
+    monkeypatch.setattr(byte_bpe, "MEMO_BITS", {1: 8, 2: 8, 4: 6})
+    monkeypatch.setattr(byte_bpe, "_RUN_PARTS", 100)
+    encoder = merges_counted()[0]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    rng = random.Random(12)
+    letters = "ab  \n\t\r\x1c\x85\xa0\u2028\u3000'stlé×ÀñЖ漢ª²5٣\u0301\u200b0#!.&\0\x7f\U0001f600"
+    raw = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))).encode() for _ in range(3000)]
+    raw += [None, b"", b"\xc3", b"\xa9 ab", b"a\xed\xa0\x80b", b"x" * 32, b"x" * 33, b" " * 500, b"ab " * 5000]
+    texts = [(x or b"").decode("utf-8", "replace") for x in raw]
+    held = pa.array(raw, pa.binary())
+    runs = list(byte_bpe.encoded(encoder, pa.Array.from_buffers(pa.string(), len(held), held.buffers())))
+    got = [ids[a:b].tolist() for ids, ends in runs for a, b in zip(ends, ends[1:], strict=False)]
+    assert got == [library.encode_ordinary(t) for t in texts]
+
+
 def test_perfect_hash_is_minimal():
     keys = [b"k%d" % i for i in range(5000)]
     table = byte_bpe.PerfectHash(keys)

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,23 @@ def test_token_counts(spark, tmp_path, width, block):
     assert token_counts.scan_token_files(spark, path + "3", eod).count() == 0
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_token_files_merge_a_word_once(width):
+    """More words than were remembered before, in two rounds with other signs behind them."""
+    import numpy as np
+
+    encoder = byte_bpe.Encoder(byte_bpe.read_ranks(BPE_RANKS), public_tokenizers.PATTERN)
+    encoder.prepare()
+    pieces, merge = [], encoder.merge
+    encoder.merge = lambda piece: pieces.append(piece) or merge(piece)
+    rng = random.Random(13)
+    own = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiouéü") for _ in range(5)) for _ in range(130_000)]
+    texts = [" " + " ".join(w + sign for w in own[at : at + 5000]) for sign in (",", "") for at in range(0, len(own), 5000)] + [None, ""]
+    rows = [x for part in token_counts._id_bytes(encoder, pa.array(texts), width) for x in part.to_pylist()]
+    assert len(pieces) == len(set(pieces)) and len(rows) == len(texts)
+    assert [encoder.bytes_of.joined(np.frombuffer(x, f"<u{width}")) for x in rows] == [(t or "").encode() for t in texts]
+
+
 def test_open_end_and_empty_files(spark, tmp_path):
     import numpy as np
 
